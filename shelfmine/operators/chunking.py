@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import let, strip
 from shelfmine.functions.text import chunk_id, pieces, short_hash
+from shelfmine.operators.rows import numbered, unfolded
 
 MAX_TOKENS = 500
 OVERLAP = 100
@@ -128,9 +129,7 @@ def section_chunks(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Chunks of ``(slug, section, text)`` rows with identifiers, hashes and counts."""
-    cut = sections.select(
-        "slug", "section", *keep, F.inline(windows(tokenizer(F.col("text")), max_tokens, overlap))
-    )
+    cut = unfolded(sections, windows(tokenizer(F.col("text")), max_tokens, overlap), "chunk", "slug", "section", *keep)
     return cut.select(
         chunk_id(F.col("slug"), F.col("section"), F.col("chunk"), F.col("text")).alias("chunk_id"),
         "slug",
@@ -155,7 +154,7 @@ def book_chunks(
 ) -> DataFrame:
     """The ingestion path for books: boilerplate off, reader sections, token windows."""
     body = strip_boilerplate(F.col(text))
-    sections = documents.select(F.col(slug).alias("slug"), F.inline(reader_sections(body, pattern)))
+    sections = unfolded(documents, reader_sections(body, pattern), "section", F.col(slug).alias("slug"))
     return section_chunks(sections, max_tokens, overlap, tokenizer)
 
 
@@ -186,7 +185,7 @@ def parsed_book_chunks(
             ),
         ),
     )
-    rows = documents.select(F.col(slug).alias("slug"), F.posexplode(F.flatten(chapters)).alias("_i", "_c")).select(
+    rows = numbered(documents, F.flatten(chapters), "_i", "_c", F.col(slug).alias("slug")).select(
         "slug", (F.col("_i") + 1).alias("chunk_index"), "_c.*"
     )
     return rows.select(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmine.operators.rows import numbered
+
 MIN_GAP_SECONDS = 300
 SPEAKER_CAP = 2
 SMALL_LIST = 3
@@ -69,6 +71,6 @@ def diversify(
     goal = F.lit(target) if target is not None else F.greatest(F.lit(MIN_TARGET), F.floor(count / 2).cast("int"))
     by_rank = F.array_sort(F.transform("items", lambda i: i["rank"]))
     kept = F.when(count <= SMALL_LIST, by_rank).otherwise(F.slice(_fold(F.col("items"), gap_seconds, cap), 1, goal))
-    return listed.select("qid", F.posexplode(kept).alias("_i", "rank")).select(
+    return numbered(listed, kept, "_i", "rank", "qid").select(
         "qid", (F.col("_i") + 1).alias("position"), "rank"
     )

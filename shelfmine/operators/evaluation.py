@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.functions.arrays import run_lengths
+from shelfmine.functions.arrays import let, run_lengths
 from shelfmine.functions.text import words
+from shelfmine.operators.rows import unfolded_values
 from shelfmine.operators.skew import join_small, running_number
 from shelfmine.session import cut_lineage
 
@@ -95,13 +96,13 @@ ANCHOR_WORDS = 6
 
 def _shingles(tokens: Column, size: int) -> Column:
     """Distinct hashes of all runs of ``size`` words."""
-    last = F.size(tokens) - size
-    return F.when(
-        last >= 0,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, size), " ")))
-        ),
-    )
+
+    def hashed(all_tokens: Column) -> Column:
+        last = F.size(all_tokens) - size
+        run = lambda i: F.xxhash64(F.array_join(F.slice(all_tokens, i + 1, size), " "))
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), run)))
+
+    return let(tokens, hashed)
 
 
 def _character_runs(text: Column, size: int) -> Column:
@@ -127,7 +128,7 @@ def passages_in_texts(passages: DataFrame, texts: DataFrame, anchor_words: int =
     long_anchor = anchored.where(F.size("_inner") >= anchor_words).select(
         "passage_id", F.xxhash64(F.array_join(F.slice("_inner", 1, anchor_words), " ")).alias("_anchor")
     )
-    runs = texts.select("text_id", F.explode(_shingles(words(F.col("text")), anchor_words)).alias("_anchor"))
+    runs = unfolded_values(texts, _shingles(words(F.col("text")), anchor_words), "_anchor", "text_id")
     found = join_small(runs, long_anchor, ["_anchor"], "text_id").select("passage_id", "text_id")
 
     short = anchored.where((F.size("_inner") < anchor_words) & (F.length("passage") > 0))
@@ -137,7 +138,7 @@ def passages_in_texts(passages: DataFrame, texts: DataFrame, anchor_words: int =
         anchors = short.where(F.least(F.length("passage"), F.lit(8)) == size).select(
             "passage_id", F.xxhash64(F.substring("passage", 1, size)).alias("_anchor")
         )
-        runs = texts.select("text_id", F.explode(_character_runs(F.col("text"), size)).alias("_anchor"))
+        runs = unfolded_values(texts, _character_runs(F.col("text"), size), "_anchor", "text_id")
         more = join_small(runs, anchors, ["_anchor"], "text_id").select("passage_id", "text_id")
         found = found.unionByName(more)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import run_lengths
 from shelfmine.functions.text import index_terms
+from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import fits_broadcast, join_small
 
 K1 = 1.5
@@ -49,7 +50,7 @@ def build_index(
     tokens = tokenised(chunks, id_col, text_col, slug_col).select(
         "chunk_id", "slug", F.size("terms").alias("dl"), run_lengths(F.col("terms")).alias("runs")
     )
-    postings = tokens.select("chunk_id", "slug", "dl", F.inline("runs"))
+    postings = unfolded(tokens, F.col("runs"), "term", "chunk_id", "slug", "dl")
     return LexicalIndex(lengths=tokens.select("chunk_id", "slug", "dl"), postings=postings)
 
 
@@ -80,7 +81,7 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     """``(qid, slug?, term, qtf)``; a repeated query term counts as often as it occurs."""
     keep = [c for c in ("qid", "slug") if c in queries.columns]
     runs = run_lengths(index_terms(F.col(text_col)), "term", "qtf")
-    return queries.select(*keep, F.inline(runs))
+    return unfolded(queries, runs, "term", *keep)
 
 
 def term_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -141,33 +142,26 @@ def bm25_topk(
     With ``pad``, a query with fewer than ``k`` matching chunks is filled with the first chunks by identifier
     at score 0, as a full sort over all chunks would do.
     """
-    scores = bm25_scores(queries, index, text_col, k1, b).select("qid", "chunk_id", "score")
-    found = top_k(scores, k)
+    found = top_k(bm25_scores(queries, index, text_col, k1, b), k).select("qid", "rank", "chunk_id", "score")
     if not pad:
-        return found.select("qid", "rank", "chunk_id", "score")
-    return top_k(scores.unionByName(padding(queries, index, scores, k)), k).select("qid", "rank", "chunk_id", "score")
-
+        return found
+    # a query with fewer than k matches has them all in its list, so merging the short lists is exact
+    merged = found.drop("rank").unionByName(padding(queries, index, k))
+    return top_k(merged.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k).select(
+        "qid", "rank", "chunk_id", "score"
+    )
 
-def padding(queries: DataFrame, index: LexicalIndex, scores: DataFrame, k: int) -> DataFrame:
-    """Zero-score rows for the queries that match fewer than ``k`` chunks.
 
-    At most ``k - 1`` of the first ``k`` chunks can already be matched, so these suffice.
-    """
-    matched = scores.groupBy("qid").agg(F.count(F.lit(1)).alias("matched"))
-    short = queries.join(matched, "qid", "left").where(F.coalesce("matched", F.lit(0)) < k)
+def padding(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """The first ``k`` chunks of every query at score 0: of its slug when it has one, else of the corpus."""
+    rows = queries.select("qid", F.explode(_first_chunks(index, k)).alias("chunk_id"))
     if "slug" in queries.columns:
         order = W.partitionBy("slug").orderBy("chunk_id")
         first = index.lengths.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-        per_slug = first.select("slug", "chunk_id")
-        overall = _first_chunks(index, k)
-        bound = short.where(F.col("slug").isNotNull()).select("qid", "slug").join(per_slug, "slug")
-        free = short.where(F.col("slug").isNull()).select("qid", F.explode(overall).alias("chunk_id"))
-        candidates = bound.select("qid", "chunk_id").unionByName(free)
-    else:
-        candidates = short.select("qid", F.explode(_first_chunks(index, k)).alias("chunk_id"))
-    return candidates.join(scores, ["qid", "chunk_id"], "left_anti").select(
-        "qid", "chunk_id", F.lit(0.0).alias("score")
-    )
+        bound = queries.where(F.col("slug").isNotNull()).select("qid", "slug").join(first.select("slug", "chunk_id"), "slug")
+        free = queries.where(F.col("slug").isNull()).select("qid", F.explode(_first_chunks(index, k)).alias("chunk_id"))
+        rows = bound.select("qid", "chunk_id").unionByName(free)
+    return rows.withColumn("score", F.lit(0.0))
 
 
 def _first_chunks(index: LexicalIndex, k: int) -> Column:

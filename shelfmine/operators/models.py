@@ -39,8 +39,8 @@ CURRENCY_FACTOR = 1.5
 
 
 class Embedder(Protocol):
-    def embed(self, text: Column) -> Column:
-        """Unit vector ``array<double>`` of a text."""
+    def embed(self, rows: DataFrame, text: str) -> DataFrame:
+        """Rows with the unit vector ``array<double>`` of a text column as ``vector``."""
 
 
 class Summarizer(Protocol):
@@ -59,7 +59,7 @@ class HashingEmbedder:
 
     dimensions: int = 64
 
-    def embed(self, text: Column) -> Column:
+    def embed(self, rows: DataFrame, text: str) -> DataFrame:
         size = self.dimensions
 
         @F.pandas_udf("array<double>")
@@ -81,8 +81,9 @@ class HashingEmbedder:
                 [vector(w, c) if w is not None and len(w) else empty for w, c in zip(terms, counts)], dtype=object
             )
 
-        runs = run_lengths(index_terms(text))
-        return spread(F.transform(runs, lambda r: r["term"]), F.transform(runs, lambda r: r["tf"]))
+        counted = rows.withColumn("_runs", run_lengths(index_terms(F.col(text))))
+        terms, counts = F.transform("_runs", lambda r: r["term"]), F.transform("_runs", lambda r: r["tf"])
+        return counted.withColumn("vector", spread(terms, counts)).drop("_runs")
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import running_number, running_sum
 from shelfmine.session import cut_lineage
 
@@ -76,21 +77,16 @@ def _pack_rows(rows: DataFrame, group: str, order: str, max_tokens: int, overlap
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("turn"), "tok", "line"))).alias("turns")
     )
     bounds = packed_bounds(F.transform("turns", lambda t: t["tok"]), max_tokens, overlap)
+    chunks = F.transform(
+        "bounds",
+        lambda b, i: F.struct(
+            (i + 1).cast("long").alias("section"),
+            b["tokens"].alias("num_tokens"),
+            F.slice("turns", b["first"] + 1, b["past"] - b["first"]).alias("own"),
+        ),
+    )
     return (
-        gathered.withColumn("bounds", bounds)
-        .select(
-            group,
-            F.inline(
-                F.transform(
-                    "bounds",
-                    lambda b, i: F.struct(
-                        (i + 1).cast("long").alias("section"),
-                        b["tokens"].alias("num_tokens"),
-                        F.slice("turns", b["first"] + 1, b["past"] - b["first"]).alias("own"),
-                    ),
-                )
-            ),
-        )
+        unfolded(gathered.withColumn("bounds", bounds), chunks, "section", group)
         .select(
             group,
             "section",

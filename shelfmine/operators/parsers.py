@@ -22,6 +22,7 @@ from shelfmine.functions.text import (
 )
 from shelfmine.operators.chunking import Tokenizer, book_chunks, strip_boilerplate, windows
 from shelfmine.operators.packing import packed_bounds
+from shelfmine.operators.rows import numbered, unfolded
 
 # Start of a scene heading.
 SCENE_HEAD = r"(?iu)^(INT\.|EXT\.|INT/EXT\.|I/E\.|INT |EXT )"
@@ -69,7 +70,7 @@ def script_scenes(text: Column) -> Column:
 
 def script_chunks(documents: DataFrame, slug: str = "slug", text: str = "text", tokenizer: Tokenizer = pieces) -> DataFrame:
     """One chunk per scene: numbered heading, blank line, body."""
-    scenes = documents.select(F.col(slug).alias("slug"), F.inline(script_scenes(F.col(text))))
+    scenes = unfolded(documents, script_scenes(F.col(text)), "scene_number", F.col(slug).alias("slug"))
     full = F.concat_ws(
         "\n", F.concat(F.lit("SCENE "), F.col("scene_number"), F.lit(": "), F.col("heading")), F.lit(""), F.col("text")
     )
@@ -160,19 +161,15 @@ def conversation_chunks(
     )
     counts = F.transform("turns", lambda t: F.size(tokenizer(t["text"])))
     packed = turns.select("slug", "turns", packed_bounds(counts, max_tokens, overlap_turns).alias("bounds"))
-    cut = packed.select(
-        "slug",
-        F.inline(
-            F.transform(
-                "bounds",
-                lambda b, i: F.struct(
-                    (i + 1).alias("section"),
-                    F.slice("turns", b["first"] + 1, b["past"] - b["first"]).alias("own"),
-                    b["tokens"].alias("num_tokens"),
-                ),
-            )
+    groups = F.transform(
+        "bounds",
+        lambda b, i: F.struct(
+            (i + 1).alias("section"),
+            F.slice("turns", b["first"] + 1, b["past"] - b["first"]).alias("own"),
+            b["tokens"].alias("num_tokens"),
         ),
     )
+    cut = unfolded(packed, groups, "section", "slug")
     body = F.array_join(F.transform("own", lambda t: rendered_turn(t["speaker"], t["timestamp"], t["text"])), "\n")
     return cut.select("slug", "section", "own", "num_tokens", body.alias("text")).select(
         chunk_id(F.col("slug"), F.col("section"), F.lit(1), F.col("text")).alias("chunk_id"),
@@ -348,7 +345,7 @@ def _whole_or_windows(
         ),
     )
     keep = [c for c in sections.columns if c != "text"]
-    cut = counted.select(*keep, F.inline(F.when(F.size("_tokens") <= max_tokens, one).otherwise(many)))
+    cut = unfolded(counted, F.when(F.size("_tokens") <= max_tokens, one).otherwise(many), "chunk", *keep)
     identifier = F.format_string("%s_%02d_%03d_%s", F.col("slug"), F.col("ordinal"), F.col("chunk"), F.col("hash"))
     return cut.select(identifier.alias("chunk_id"), *keep, "chunk", F.col("body").alias("text"), "hash", "num_tokens",
                       "num_chars", "is_partial")
@@ -365,8 +362,8 @@ def techdoc_chunks(
 ) -> DataFrame:
     """Section chunks of technical documents; hash and length of a whole section leave out its heading."""
     ending = F.col(suffix) if suffix else F.lit(".md")
-    sections = documents.select(
-        F.col(slug).alias("slug"), F.posexplode(techdoc_sections(F.col(text), ending)).alias("_i", "_s")
+    sections = numbered(
+        documents, techdoc_sections(F.col(text), ending), "_i", "_s", F.col(slug).alias("slug")
     ).select(
         "slug",
         (F.col("_i") + 1).alias("ordinal"),
@@ -387,8 +384,8 @@ def report_chunks(
     tokenizer: Tokenizer = pieces,
 ) -> DataFrame:
     """Section chunks of reports; hash and length of a whole section include its heading."""
-    sections = documents.select(
-        F.col(slug).alias("slug"), F.posexplode(report_sections(F.col(text))).alias("_i", "_s")
+    sections = numbered(
+        documents, report_sections(F.col(text)), "_i", "_s", F.col(slug).alias("slug")
     ).select("slug", (F.col("_i") + 1).alias("ordinal"), "_s.*", has_table_report(F.col("_s.text")).alias("has_table"))
     full = F.concat(F.col("heading"), F.lit("\n\n"), F.col("text"))
     return _whole_or_windows(sections, full, full, max_tokens, overlap, tokenizer)
@@ -396,7 +393,7 @@ def report_chunks(
 
 def code_assets(documents: DataFrame, slug: str = "slug", text: str = "text") -> DataFrame:
     """Fenced code blocks of each document."""
-    return documents.select(F.col(slug).alias("slug"), F.posexplode(code_blocks(F.col(text))).alias("_i", "_b")).select(
+    return numbered(documents, code_blocks(F.col(text)), "_i", "_b", F.col(slug).alias("slug")).select(
         "slug", (F.col("_i") + 1).alias("ordinal"), F.lit("code").alias("asset_type"), "_b.*"
     )
 

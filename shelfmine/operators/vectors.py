@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmine.functions.arrays import let
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
 from shelfmine.operators.skew import measured_size
 
@@ -27,8 +28,11 @@ STRIPE = 8_192
 def l2_normalised(vector: Column) -> Column:
     """Unit vector in double precision; a zero vector stays as it is."""
     squared = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.transform(
-        vector, lambda x: F.when(squared > 0, x.cast("double") / F.sqrt(squared)).otherwise(x.cast("double"))
+    return let(
+        F.sqrt(squared),
+        lambda norm: F.transform(
+            vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))
+        ),
     )
 
 
@@ -60,7 +64,7 @@ class _Best:
         if len(vectors) == 0 or len(self.qid) == 0:
             return
         ids = vectors["chunk_id"].to_numpy()
-        scores = np.round(self.matrix @ _matrix(vectors["vector"]).T, SCORE_DIGITS)
+        scores = np.round(self.matrix @ _matrix(vectors["vector"]).T, SCORE_DIGITS) + 0.0
         allowed = np.ones(scores.shape, dtype=bool)
         bound = ~pd.isna(self.group)
         if bound.any():
