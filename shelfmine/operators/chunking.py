@@ -208,11 +208,6 @@ def word_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
     return windows(F.slice(all_words, 2, F.greatest(F.size(all_words) - 1, F.lit(0))), size, overlap, " ")
 
 
-def fixed_turn_windows(turns: Column, size: int = 10, overlap: int = 2) -> Column:
-    """Windows of a fixed number of turns."""
-    return windows(turns, size, overlap, "\n")
-
-
 def chunk_totals(chunks: DataFrame, by: str = "slug") -> DataFrame:
     """Chunk, character and token totals of each document."""
     return chunks.groupBy(by).agg(

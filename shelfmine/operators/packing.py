@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmine.operators.rows import unfolded
+from shelfmine.operators.rows import unfolded, unfolded_values
 from shelfmine.operators.skew import running_number, running_sum
 from shelfmine.session import cut_lineage
 
@@ -174,6 +174,30 @@ def _chain(steps: DataFrame, group: str) -> DataFrame:
     return reached
 
 
+def fixed_turn_windows(
+    turns: DataFrame, group: str, order: str, line: str, size: int = 10, overlap: int = 2
+) -> DataFrame:
+    """Windows of a fixed number of turns: ``(group, section, num_turns, text)``.
+
+    Every turn is sent to the windows that cover it, so a task gathers at most ``size`` turns at a time.
+    """
+    step = size - overlap
+    placed = running_number(turns.select(group, order, F.col(line).alias("line")), [group], order, "_n")
+    at = F.col("_n") - 1
+    first = F.greatest(F.floor((at - size + step) / F.lit(step)), F.lit(0))
+    covering = F.sequence(first, F.floor(at / F.lit(step)))
+    return (
+        unfolded_values(placed, covering, "window", group, order, "line")
+        .groupBy(group, (F.col("window") + 1).alias("section"))
+        .agg(
+            F.count(F.lit(1)).alias("num_turns"),
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda t: t["line"]), "\n"
+            ).alias("text"),
+        )
+    )
+
+
 def kept_history(
     messages: DataFrame, group: str, order: str, tokens: Column, head: Column, budget: int = 50_000
 ) -> DataFrame:

@@ -101,3 +101,35 @@ def fused_ctes(keyword: str, vector: str, name: str, keyword_weight: str, vector
       SELECT qid, chunk_id, rank, 0 AS src, {keyword_weight} AS w FROM {keyword}
       UNION ALL SELECT qid, chunk_id, rank, 1 AS src, {vector_weight} AS w FROM {vector})
     GROUP BY ALL)) WHERE rank <= {k})"""
+
+
+def relined(text: str, line: str) -> str:
+    """Text with every line ``l`` (one-based number ``i``) replaced by the expression ``line``."""
+    return joined(f"list_transform({lines(text)}, lambda l, i: {line})")
+
+
+def line_ctes(source: str) -> str:
+    return (
+        f"ln AS (SELECT doc_id, unnest({lines('t')}) AS l, generate_subscripts({lines('t')}, 1) AS i FROM {source})"
+    )
+
+
+def island_ctes(source: str, head: str, drop_empty: bool, name: str = "isl") -> str:
+    """{name}(doc_id, k, head, body): runs of lines after each head line, numbered per document."""
+    kept = "WHERE n > 0" if drop_empty else ""
+    return f"""{line_ctes(source)},
+hd AS (SELECT *, coalesce({head}, false) AS h FROM ln),
+gr AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hd),
+raw AS (SELECT doc_id, g, max(CASE WHEN h THEN l END) AS head, count(*) - 1 AS n,
+  coalesce(string_agg(l, {LF} ORDER BY i) FILTER (NOT h), '') AS body FROM gr WHERE g > 0 GROUP BY doc_id, g),
+{name} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS k, head, n, body FROM raw {kept})"""
+
+
+def window_rows(source: str, text: str, columns: str, size: int, step: int) -> str:
+    """Rows of token windows: the columns, c (zero-based), n tokens, body."""
+    return f"""SELECT {columns}, c // {step} AS c, least({size}, len(tk) - c) AS n, array_to_string(tk[c + 1 : c + {size}], '') AS body
+FROM (SELECT *, unnest(range(0, len(tk), {step})) AS c FROM (SELECT *, {pieces(text)} AS tk FROM {source}))"""
+
+
+def identifier(slug: str, section: str, chunk: str, text: str) -> str:
+    return f"format('{{}}_{{:02d}}_{{:03d}}_{{}}', {slug}, ({section})::BIGINT, ({chunk})::BIGINT, substr(md5({text}), 1, 7))"

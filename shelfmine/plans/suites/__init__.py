@@ -1,5 +1,8 @@
 """The registered queries by topic. Importing this package fills the registry."""
 
 from shelfmine.plans.suites import (  # noqa: F401
+    conversations,
+    parsing,
     retrieval,
+    telemetry,
 )
