@@ -2,6 +2,7 @@
 
 from shelfmine.plans.suites import (  # noqa: F401
     conversations,
+    library,
     parsing,
     retrieval,
     telemetry,
