@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmine.operators.skew import join_small
+
 # Default result limits by document type, for one document and for several.
 SINGLE_LIMITS = {"conversation": 15, "other": 5}
 MULTI_LIMITS = {"conversation": 8, "other": 3}
@@ -34,7 +36,7 @@ def delete_documents(ids: DataFrame, documents: DataFrame, *dependents: DataFram
 
 
 def without_slugs(table: DataFrame, slugs: DataFrame) -> DataFrame:
-    return table.join(slugs.select("slug").distinct(), "slug", "left_anti")
+    return join_small(table, slugs.select("slug").distinct(), ["slug"], table.columns[0], "left_anti").select(*table.columns)
 
 
 def replace_slugs(table: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def result_limit(doc_type: Column, several: bool = False) -> Column:
 def with_title(messages: DataFrame, documents: DataFrame) -> DataFrame:
     """Message with the title of the selected document appended, unless it is already mentioned."""
     titles = documents.select("slug", F.col("title").alias("_title"))
-    joined = messages.join(titles, "slug", "left")
+    joined = join_small(messages, titles, ["slug"], "message", "left")
     absent = F.col("_title").isNotNull() & ~F.contains(F.lower("message"), F.lower("_title"))
     extended = F.concat(F.col("message"), F.lit(" (for the document '"), F.col("_title"), F.lit("')"))
     return joined.withColumn("message", F.when(absent, extended).otherwise(F.col("message"))).drop("_title")

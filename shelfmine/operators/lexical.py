@@ -104,14 +104,15 @@ def bm25_scores(
     vocabulary = terms.select("term").distinct()
     wanted = join_small(index.postings, vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
 
+    corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
+    avgdl = corpus["avgdl"]
     if index.term_stats is not None:
         stats = join_small(index.term_stats, vocabulary, ["term"], "term", "left_semi", fits=small)
     else:
-        n = corpus_stats(index.lengths).select("n").scalar()
-        stats = document_frequency(wanted).select("term", idf_of(n, F.col("df")).alias("idf"))
-    avgdl = corpus_stats(index.lengths).select("avgdl").scalar()
+        stats = document_frequency(wanted).select("term", idf_of(corpus["n"], F.col("df")).alias("idf"))
 
-    weighted_terms = terms.join(stats.select("term", "idf"), "term")
+    # one row per vocabulary term, hence no larger than the counted query terms
+    weighted_terms = join_small(terms, stats.select("term", "idf"), ["term"], "qid", fits=small)
     if small and not index.clustered:
         # one exchange of the matching postings, whatever the number of queries; the sum below reuses it
         wanted = wanted.repartition("chunk_id")

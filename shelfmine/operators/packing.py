@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmine.operators.rows import unfolded, unfolded_values
-from shelfmine.operators.skew import running_number, running_sum
+from shelfmine.operators.skew import join_small, running_number, running_sum
 from shelfmine.session import cut_lineage
 
 ROW_TURNS = 20_000
@@ -67,8 +67,8 @@ def pack_turns(
     columns = [group, "section", "turn_start", "turn_end", "num_turns", "num_tokens", "text"]
     if large.isEmpty():
         return _pack_rows(rows, group, order, max_tokens, overlap).select(*columns)
-    ordinary = _pack_rows(rows.join(large, group, "left_anti"), group, order, max_tokens, overlap)
-    spread = _pack_spread(rows.join(large, group, "left_semi"), group, order, max_tokens, overlap)
+    ordinary = _pack_rows(join_small(rows, large, [group], order, "left_anti"), group, order, max_tokens, overlap)
+    spread = _pack_spread(join_small(rows, large, [group], order, "left_semi"), group, order, max_tokens, overlap)
     return ordinary.select(*columns).unionByName(spread.select(*columns))
 
 
@@ -106,7 +106,7 @@ def _pack_spread(rows: DataFrame, group: str, order: str, max_tokens: int, overl
     # the chunk starting at pos covers [pos, past); the chain goes on at nxt
     nxt = F.greatest(F.col("pos") + 1, F.col("past") - overlap)
     count = placed.groupBy(group).agg(F.max("pos").alias("_last"))
-    steps = ends.join(count, group).select(group, "pos", F.when(nxt <= F.col("_last"), nxt).alias("nxt"))
+    steps = join_small(ends, count, [group], "pos").select(group, "pos", F.when(nxt <= F.col("_last"), nxt).alias("nxt"))
     starts = _chain(steps, group)
     chosen = running_number(starts, [group], "pos", "section").join(ends, [group, "pos"])
     spans = chosen.select(
@@ -214,7 +214,7 @@ def kept_history(
     before = F.col("_upto") - F.col("_tokens")
     keep = F.col("_head") | (F.col("_total") - before <= budget) | (F.col(order) == F.col("_newest"))
     return (
-        summed.join(totals, group)
+        join_small(summed, totals, [group], order)
         .where(keep)
         .drop("_head", "_tokens", "_total", "_newest", "_upto")
     )

@@ -15,15 +15,15 @@ SALT_BUCKETS = 32
 BLOCK_ROWS = 100_000
 
 
-def measured_size(df: DataFrame, row_limit: int = BROADCAST_ROWS) -> tuple[int, int]:
-    """Rows and bytes of text form, counted over at most ``row_limit + 1`` rows."""
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text form, by one aggregate that is combined in the map side."""
     as_text = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    row = df.limit(row_limit + 1).agg(F.count(F.lit(1)), F.sum(as_text)).first()
+    row = df.agg(F.count(F.lit(1)), F.sum(as_text)).first()
     return row[0], row[1] or 0
 
 
 def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROWS, byte_limit: int = BROADCAST_BYTES) -> bool:
-    rows, size = measured_size(df, row_limit)
+    rows, size = measured_size(df)
     return rows <= row_limit and size <= byte_limit
 
 
@@ -39,9 +39,10 @@ def join_small(
 
     The small side is broadcast when its counted size fits. Beyond that, both sides are shuffled with a salt:
     rows of a hot key on the big side spread over ``SALT_BUCKETS`` tasks by the hash of ``salt_on``.
-    Supports inner and left-semi joins, for which repeating the small side is exact.
+    Every row of the big side has exactly one salt and meets a full copy of its key's small rows, so inner,
+    left, semi and anti joins are exact.
     """
-    if how not in ("inner", "left_semi"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     if fits is None:
         fits = fits_broadcast(small)

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import let
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
-from shelfmine.operators.skew import measured_size
 
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 1_024
 VECTOR_BLOCK = 65_536
 # rows of the product held at once inside a cell
-STRIPE = 8_192
+STRIPE = 4_096
 
 
 def l2_normalised(vector: Column) -> Column:
@@ -72,24 +71,32 @@ class _Best:
         if self.skip_self:
             allowed &= self.qid[:, None] != ids[None, :]
         scores = np.where(allowed, scores, -np.inf)
-        by_id = np.argsort(ids, kind="stable")
-        ordered = scores[:, by_id]
-        best = np.argsort(-ordered, axis=1, kind="stable")[:, : self.k]
-        values = np.take_along_axis(ordered, best, axis=1)
-        frame = pd.DataFrame(
-            {
-                "qid": np.repeat(self.qid, best.shape[1]),
-                "chunk_id": ids[by_id][best.ravel()],
-                "score": values.ravel(),
-            }
+        rows, columns = self._candidates(scores, ids)
+        values = scores[rows, columns]
+        found = np.isfinite(values)
+        self.parts.append(
+            pd.DataFrame({"qid": self.qid[rows[found]], "chunk_id": ids[columns[found]], "score": values[found]})
         )
-        self.parts.append(frame[np.isfinite(frame["score"])])
         if len(self.parts) > 16:
             self.parts = [self.result()]
 
+    def _candidates(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that may be among the best ``k`` of their row, ties included."""
+        if scores.shape[1] <= self.k:
+            return np.nonzero(np.ones(scores.shape, dtype=bool))
+        bound = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        at_least = scores >= bound[:, None]
+        if at_least.sum() <= 4 * self.k * len(scores):
+            return np.nonzero(at_least)
+        # many equal scores (copies of one vector): order ties by identifier right here
+        by_id = np.argsort(ids, kind="stable")
+        best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, : self.k]]
+        return np.repeat(np.arange(len(scores)), self.k), best.ravel()
+
     def result(self) -> pd.DataFrame:
         if not self.parts:
-            return pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
+            empty = pd.Series([], dtype=object)
+            return pd.DataFrame({"qid": empty, "chunk_id": empty, "score": pd.Series([], dtype=float)})
         merged = pd.concat(self.parts).sort_values(["qid", "score", "chunk_id"], ascending=[True, False, True])
         return merged.groupby("qid", sort=False).head(self.k)
 
@@ -110,8 +117,7 @@ def cosine_topk(
     queries = _with_group(queries).select("qid", "group_key", "vector")
     vectors = _with_group(vectors).select("chunk_id", "group_key", "vector")
     schema = f"qid {_sql_type(queries, 'qid')}, chunk_id {_sql_type(vectors, 'chunk_id')}, score double"
-    rows, _ = measured_size(queries.select("qid"), query_block)
-    if rows <= query_block:
+    if queries.count() <= query_block:
         cells = _one_query_block(queries, vectors, k, skip_self, schema)
     else:
         cells = _block_grid(queries, vectors, k, skip_self, schema, query_block, vector_block)
