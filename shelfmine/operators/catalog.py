@@ -22,12 +22,13 @@ def upsert_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         .drop("_id", "_added")
     )
     untouched = stored.join(incoming.select("slug"), "slug", "left_anti")
-    return untouched.unionByName(merged.select(*stored.columns))
+    return untouched.unionByName(merged).select(*stored.columns)
 
 
 def upsert_summaries(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows of ``incoming`` replace rows with the same keys."""
-    return stored.join(incoming.select(*keys), list(keys), "left_anti").unionByName(incoming.select(*stored.columns))
+    kept = stored.join(incoming.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(incoming.select(*stored.columns)).select(*stored.columns)
 
 
 def delete_documents(ids: DataFrame, documents: DataFrame, *dependents: DataFrame) -> tuple[DataFrame, ...]:
