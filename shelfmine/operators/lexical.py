@@ -17,6 +17,7 @@ from shelfmine.functions.arrays import run_lengths
 from shelfmine.functions.text import index_terms
 from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import fits_broadcast, join_small
+from shelfmine.session import cut_lineage
 
 K1 = 1.5
 B = 0.75
@@ -27,13 +28,14 @@ SCORE_DIGITS = 6
 class LexicalIndex:
     """``lengths(chunk_id, slug, dl)``, ``postings(chunk_id, slug, dl, term, tf)``, ``term_stats(term, df, idf)``.
 
-    ``clustered`` says that the postings are already partitioned by chunk (a bucketed table).
+    ``tokens(chunk_id, slug, dl, runs)`` is the row-per-chunk form of a lazy index. ``term_stats`` is set for a
+    stored index, whose postings are already partitioned by chunk (bucketed tables).
     """
 
     lengths: DataFrame
     postings: DataFrame
     term_stats: DataFrame | None = None
-    clustered: bool = False
+    tokens: DataFrame | None = None
 
 
 def tokenised(chunks: DataFrame, id_col: str, text_col: str, slug_col: str | None) -> DataFrame:
@@ -50,8 +52,12 @@ def build_index(
     tokens = tokenised(chunks, id_col, text_col, slug_col).select(
         "chunk_id", "slug", F.size("terms").alias("dl"), run_lengths(F.col("terms")).alias("runs")
     )
+    return index_of_tokens(tokens)
+
+
+def index_of_tokens(tokens: DataFrame) -> LexicalIndex:
     postings = unfolded(tokens, F.col("runs"), "term", "chunk_id", "slug", "dl")
-    return LexicalIndex(lengths=tokens.select("chunk_id", "slug", "dl"), postings=postings)
+    return LexicalIndex(lengths=tokens.select("chunk_id", "slug", "dl"), postings=postings, tokens=tokens)
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -77,6 +83,20 @@ def term_stats(index: LexicalIndex) -> DataFrame:
     return document_frequency(index.postings).select("term", "df", idf_of(n, F.col("df")).alias("idf"))
 
 
+# No token is empty, so the empty term can mark one row per chunk that carries its length.
+LENGTH_MARK = ""
+
+
+def _marked_postings(index: LexicalIndex) -> DataFrame:
+    """Postings plus one length row per chunk, from a single pass over the texts of a lazy index."""
+    if index.tokens is None:
+        lengths = index.lengths.select("chunk_id", "slug", "dl", F.lit(LENGTH_MARK).alias("term"), F.lit(0).alias("tf"))
+        return index.postings.select(*lengths.columns).unionByName(lengths)
+    mark = F.array(F.struct(F.lit(LENGTH_MARK).alias("term"), F.lit(0).alias("tf")))
+    runs = F.when(F.col("runs").isNull(), mark).otherwise(F.concat(mark, F.col("runs")))
+    return unfolded(index.tokens, runs, "term", "chunk_id", "slug", "dl")
+
+
 def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     """``(qid, slug?, term, qtf)``; a repeated query term counts as often as it occurs."""
     keep = [c for c in ("qid", "slug") if c in queries.columns]
@@ -102,20 +122,27 @@ def bm25_scores(
         terms = terms.withColumnRenamed("slug", "only_slug")
     small = fits_broadcast(terms)
     vocabulary = terms.select("term").distinct()
-    wanted = join_small(index.postings, vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
-
-    corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
-    avgdl = corpus["avgdl"]
     if index.term_stats is not None:
+        corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
+        wanted = join_small(index.postings, vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
         stats = join_small(index.term_stats, vocabulary, ["term"], "term", "left_semi", fits=small)
     else:
+        # The texts are tokenised once: what the queries need of them is written, and read three times.
+        marks = queries.sparkSession.createDataFrame([(LENGTH_MARK,)], "term string")
+        needed = vocabulary.unionByName(marks)
+        found = join_small(_marked_postings(index), needed, ["term"], "chunk_id", "left_semi", fits=small)
+        matched = cut_lineage(found.select("chunk_id", "slug", "dl", "term", "tf"), "postings")
+        lengths = matched.where(F.col("term") == LENGTH_MARK)
+        corpus = corpus_stats(lengths).select(F.struct("n", "avgdl")).scalar()
+        wanted = matched.where(F.col("term") != LENGTH_MARK)
         stats = document_frequency(wanted).select("term", idf_of(corpus["n"], F.col("df")).alias("idf"))
+        if small:
+            # one exchange of the matching postings, whatever the number of queries; the sum below reuses it
+            wanted = wanted.repartition("chunk_id")
+    avgdl = corpus["avgdl"]
 
     # one row per vocabulary term, hence no larger than the counted query terms
     weighted_terms = join_small(terms, stats.select("term", "idf"), ["term"], "qid", fits=small)
-    if small and not index.clustered:
-        # one exchange of the matching postings, whatever the number of queries; the sum below reuses it
-        wanted = wanted.repartition("chunk_id")
     hits = join_small(wanted, weighted_terms, ["term"], "chunk_id", fits=small)
     if by_slug:
         hits = hits.where(F.col("only_slug").isNull() | (F.col("only_slug") == F.col("slug")))

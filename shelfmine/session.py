@@ -40,14 +40,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def fresh_table_path(spark: SparkSession, stem: str) -> str:
     """A new path in the shared folder, never reused by another run."""
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+_written: list[str] = []
+
+
+def cut_lineage(df: DataFrame, stem: str = "step") -> DataFrame:
+    """Write the rows as a table in the shared folder and read them back.
+
+    The result survives the loss of any executor, is computed once however often it is used, and has known
+    size and prunable columns.
+    """
+    path = fresh_table_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_steps(spark: SparkSession) -> None:
+    """Delete the step tables written so far. Frames that still read them can no longer be used."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = paths(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfmine.operators.catalog import without_slugs
-from shelfmine.operators.lexical import LexicalIndex, build_index, term_stats
+from shelfmine.operators.lexical import LexicalIndex, build_index, index_of_tokens, term_stats
+from shelfmine.session import cut_lineage
 
 BUCKETS = 64
 PARTS = ("lengths", "postings", "term_stats")
@@ -25,6 +26,8 @@ def write_index(index: LexicalIndex, name: str, path: str, buckets: int = BUCKET
     """Write the three tables under ``path`` and register them as ``{name}_{part}``."""
     spark = index.postings.sparkSession
     folder = path.rstrip("/")
+    if index.tokens is not None:
+        index = index_of_tokens(cut_lineage(index.tokens, "tokens"))  # the texts are tokenised once
     bucketed = index.postings.repartition(buckets, "chunk_id")
     (
         bucketed.write.mode("overwrite")
@@ -35,7 +38,6 @@ def write_index(index: LexicalIndex, name: str, path: str, buckets: int = BUCKET
     )
     index.lengths.write.mode("overwrite").option("path", f"{folder}/lengths").saveAsTable(f"{name}_lengths")
     stored = LexicalIndex(spark.table(f"{name}_lengths"), spark.table(f"{name}_postings"))
-    # statistics come from the written postings, the texts are tokenised once
     term_stats(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option(
         "path", f"{folder}/term_stats"
     ).saveAsTable(f"{name}_term_stats")
@@ -49,7 +51,6 @@ def open_index(spark: SparkSession, name: str) -> LexicalIndex:
         lengths=spark.table(f"{name}_lengths"),
         postings=spark.table(f"{name}_postings"),
         term_stats=spark.table(f"{name}_term_stats"),
-        clustered=True,
     )
 
 
