@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,6 +202,17 @@ def has_table_report(text: Column) -> Column:
     return (_aligned_lines(text) >= 3) | text.rlike(r"(?U)(\d+\s+){3,}")
 
 
+def tabular_lines(text: Column) -> Column:
+    """Exploratory table test: lines with a digit and either a tab or a double space."""
+    return F.filter(lines_of(text), lambda l: (l.contains("\t") | l.contains("  ")) & l.rlike(r"\d"))
+
+
+def occurrences(text: Column, phrase: str) -> Column:
+    """``struct<count, first>``: how often a phrase occurs and the one-based position of the first one, 0 if none."""
+    pieces_between = F.size(F.split(text, re.escape(phrase), -1)) - 1
+    return F.struct(pieces_between.alias("count"), F.instr(text, phrase).alias("first"))
+
+
 def code_blocks(text: Column, default_language: str = "unknown") -> Column:
     """``array<struct<language, content, lines>>`` of the fenced blocks."""
     fence = F.lit(r"(?sU)```(\w+)?\n(.*?)```")

@@ -60,19 +60,24 @@ def running_sum(
     value: Column,
     name: str,
     block_rows: int = BLOCK_ROWS,
+    levels: int = 2,
 ) -> DataFrame:
     """Inclusive running sum per group in the order of a unique whole-number column.
 
     A window over the group alone would put a hot group into one task. Here each group is cut into blocks of
-    consecutive order values, so a task holds at most ``block_rows`` rows; only the block totals are summed
-    across the group.
+    consecutive order values, so a task holds at most ``block_rows`` rows; the block totals are summed across
+    the group by the same means, ``levels`` deep, which also covers order columns with wide gaps.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows))).withColumn("_value", value)
     inside = W.partitionBy(*group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = blocked.withColumn("_local", F.sum("_value").over(inside))
-    totals = blocked.groupBy(*group, "_block").agg(F.sum("_value").alias("_total"))
-    before = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    totals = blocked.groupBy(*group, F.col("_block").alias("_at")).agg(F.sum("_value").alias("_total"))
+    if levels > 1:
+        upto = running_sum(totals, group, "_at", F.col("_total"), "_upto", block_rows, levels - 1)
+    else:
+        through = W.partitionBy(*group).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+        upto = totals.withColumn("_upto", F.sum("_total").over(through))
+    offsets = upto.select(*group, F.col("_at").alias("_block"), (F.col("_upto") - F.col("_total")).alias("_offset"))
     return (
         local.join(offsets, [*group, "_block"])
         .withColumn(name, F.col("_local") + F.col("_offset"))

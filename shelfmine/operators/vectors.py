@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import let
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
+from shelfmine.operators.skew import join_small
 
 QUERY_BLOCK = 1_024
 VECTOR_BLOCK = 65_536
@@ -117,7 +118,14 @@ def cosine_topk(
     queries = _with_group(queries).select("qid", "group_key", "vector")
     vectors = _with_group(vectors).select("chunk_id", "group_key", "vector")
     schema = f"qid {_sql_type(queries, 'qid')}, chunk_id {_sql_type(vectors, 'chunk_id')}, score double"
-    if queries.count() <= query_block:
+    total, bound = queries.agg(F.count(F.lit(1)), F.count("group_key")).first()
+    if total and bound == total:
+        # every query is tied to a group, so vectors of other groups are dropped before any product
+        groups = queries.select("group_key").distinct()
+        vectors = join_small(vectors, groups, ["group_key"], "chunk_id", "left_semi").select(
+            "chunk_id", "group_key", "vector"
+        )
+    if total <= query_block:
         cells = _one_query_block(queries, vectors, k, skip_self, schema)
     else:
         cells = _block_grid(queries, vectors, k, skip_self, schema, query_block, vector_block)

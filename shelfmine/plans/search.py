@@ -64,15 +64,24 @@ def hybrid_search(
     """``(qid, rank, chunk_id, score)``: both candidate lists are ``k * multiplier`` long before the fusion.
 
     Only the keyword side sees the preprocessed query. Without a keyword index the vector list is returned.
+    Queries with a ``limit`` column have their own limit, at most ``k``, and pools to match.
     """
+    limits = queries.select("qid", "limit") if "limit" in queries.columns else None
     if library.index is None:
-        return vector_search(queries, library, k)
+        return _within(vector_search(queries, library, k), limits, 1)
     depth = k * multiplier
     text = preprocess_query(F.col("query")) if preprocess else F.col("query")
-    keyword = bm25_topk(queries.withColumn("query", text), library.index, depth)
-    vector = vector_search(queries, library, depth)
+    keyword = _within(bm25_topk(queries.withColumn("query", text), library.index, depth), limits, multiplier)
+    vector = _within(vector_search(queries, library, depth), limits, multiplier)
     weight = queries.select("qid", dynamic_alpha(F.col("query"), alpha).alias("alpha")) if dynamic else alpha
-    return weighted_fusion(keyword, vector, k, weight)
+    return _within(weighted_fusion(keyword, vector, k, weight), limits, 1)
+
+
+def _within(ranked: DataFrame, limits: DataFrame | None, multiplier: int) -> DataFrame:
+    """Ranked lists cut to the limit of each query."""
+    if limits is None:
+        return ranked
+    return ranked.join(limits, "qid").where(F.col("rank") <= F.col("limit") * multiplier).drop("limit")
 
 
 def baseline_search(queries: DataFrame, library: Library, k: int = TOP_K, alpha: float = ALPHA) -> DataFrame:
@@ -134,14 +143,8 @@ def search_documents(requests: DataFrame, library: Library, documents: DataFrame
     )
     keyed = asked.withColumn("request", F.concat_ws("|", F.col("qid").cast("string"), "slug"))
     queries = keyed.select(F.col("request").alias("qid"), "query", "slug", "limit")
-    # the candidate pools follow from the limit, so each distinct limit is one search (there are few)
-    found = None
-    for row in keyed.select("limit").distinct().orderBy("limit").collect():
-        some = queries.where(F.col("limit") == row["limit"]).drop("limit")
-        part = hybrid_search(some, library, row["limit"], **options)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = hybrid_search(queries.drop("limit"), library, TOP_K, **options)
+    deepest = keyed.agg(F.max("limit")).first()[0] or TOP_K
+    found = hybrid_search(queries, library, deepest, **options)
     return (
         found.withColumnRenamed("qid", "request")
         .join(keyed.select("request", "qid", "slug", "doc_type", "limit"), "request")

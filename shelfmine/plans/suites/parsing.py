@@ -653,6 +653,26 @@ def structure_detectors(spark, folder):
     )
 
 
+@register(
+    "tabular_lines",
+    f"""WITH {marked_cte('report')} SELECT doc_id, len(list_filter({sq.lines('t')},
+lambda l: (contains(l, chr(9)) OR contains(l, '  ')) AND regexp_matches(l, '\\d'))) AS n FROM src""",
+)
+def tabular_lines(spark, folder):
+    rows = marked(spark, folder, "report")
+    return rows.select("doc_id", F.size(tx.tabular_lines(F.col("text"))).cast("long").alias("n"))
+
+
+@register(
+    "marker_positions",
+    f"""WITH {marked_cte('endings')} SELECT doc_id, len(string_split(t, 'HERE ENDETH')) - 1 AS hits,
+position('HERE ENDETH' IN t)::BIGINT AS first FROM src""",
+)
+def marker_positions(spark, folder):
+    rows = marked(spark, folder, "endings").select("doc_id", tx.occurrences(F.col("text"), "HERE ENDETH").alias("o"))
+    return rows.select("doc_id", F.col("o.count").cast("long").alias("hits"), F.col("o.first").cast("long").alias("first"))
+
+
 @register(
     "all_level_sections",
     f"""WITH {marked_cte('markdown')}, {sq.line_ctes('src')}, hd AS (SELECT *, starts_with(l, '#') AS h FROM ln),
