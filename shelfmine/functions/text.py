@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmine.functions.arrays import lines_of, strip
+from shelfmine.functions.arrays import let, lines_of, strip
 
 WORD = r"(?U)\w+"
 # A piece is a run of non-space with the space before it, so joining pieces restores the text.
@@ -242,5 +242,5 @@ def without_nulls(text: Column) -> Column:
 
 def extractive_summary(text: Column) -> Column:
     """Offline stand-in summary: the second sentence when there are more than two, else the first."""
-    sentences = F.split(text, r"\.", -1)
-    return F.when(F.size(sentences) > 2, F.get(sentences, F.lit(1))).otherwise(F.get(sentences, F.lit(0)))
+    pick = lambda sentences: F.get(sentences, F.when(F.size(sentences) > 2, 1).otherwise(0))
+    return let(F.split(text, r"\.", -1), pick)

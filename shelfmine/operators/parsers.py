@@ -97,48 +97,56 @@ def scenes_with(scenes: DataFrame, keyword: str) -> DataFrame:
 
 
 def _turn_start(line: Column) -> Column:
-    """``struct<speaker, timestamp, text>`` of a line that opens a turn, else null."""
+    """``struct<speaker, timestamp, text>`` of a line that opens a turn, else null. The first format wins."""
+
+    def timed(groups: Column) -> Column:
+        time_first = groups[0].contains(":") & (F.length(groups[0]) > 5)
+        return F.struct(
+            strip(F.when(time_first, groups[1]).otherwise(groups[0])).alias("speaker"),
+            F.when(time_first, groups[0]).otherwise(groups[1]).alias("timestamp"),
+            groups[2].alias("text"),
+        )
+
+    def untimed(groups: Column) -> Column:
+        return F.struct(
+            strip(groups[0]).alias("speaker"), F.lit(None).cast("string").alias("timestamp"), groups[1].alias("text")
+        )
+
     result = F.lit(None)
     for i in reversed(range(len(TURN_PATTERNS))):
         pattern = FLAGS + TURN_PATTERNS[i]
-        group = lambda n, p=pattern: F.regexp_extract(line, p, n)
-        if i < TIMED_PATTERNS:
-            time_first = group(1).contains(":") & (F.length(group(1)) > 5)
-            parsed = F.struct(
-                strip(F.when(time_first, group(2)).otherwise(group(1))).alias("speaker"),
-                F.when(time_first, group(1)).otherwise(group(2)).alias("timestamp"),
-                group(3).alias("text"),
-            )
-        else:
-            parsed = F.struct(
-                strip(group(1)).alias("speaker"), F.lit(None).cast("string").alias("timestamp"), group(2).alias("text")
-            )
-        result = F.when(line.rlike(pattern), parsed).otherwise(result)
+        count, build = (3, timed) if i < TIMED_PATTERNS else (2, untimed)
+        groups = F.array(*[F.regexp_extract(line, pattern, n + 1) for n in range(count)])
+        result = F.when(line.rlike(pattern), let(groups, build)).otherwise(result)
     return result
 
 
-def _opens_turn(line: Column) -> Column:
-    hit = line.rlike(FLAGS + TURN_PATTERNS[0])
-    for pattern in TURN_PATTERNS[1:]:
-        hit = hit | line.rlike(FLAGS + pattern)
-    return hit
-
-
 def conversation_turns(text: Column) -> Column:
-    """``array<struct<turn, speaker, timestamp, text>>``; unmatched lines continue the open turn."""
+    """``array<struct<turn, speaker, timestamp, text>>``; unmatched lines continue the open turn.
+
+    Every line is matched once; a turn reaches from its opening line to the next one.
+    """
     lines = F.filter(F.transform(lines_of(text), strip), lambda line: line != "")
-    return F.transform(
-        islands(lines, _opens_turn),
-        lambda s, i: let(
-            _turn_start(s["head"]),
-            lambda start: F.struct(
-                (i + 1).alias("turn"),
-                start["speaker"].alias("speaker"),
-                start["timestamp"].alias("timestamp"),
-                strip(joined(F.concat(F.array(start["text"]), s["body"]))).alias("text"),
-            ),
-        ),
-    )
+
+    def build(all_lines: Column, starts: Column) -> Column:
+        opening = F.filter(
+            F.transform(starts, lambda start, i: F.when(start.isNotNull(), i + 1).otherwise(F.lit(0))),
+            lambda position: position > 0,
+        )
+
+        def turn(heads: Column, at: Column, j: Column) -> Column:
+            past = F.coalesce(F.get(heads, j + 1), F.size(all_lines) + 1)
+            said = F.concat(F.array(F.get(starts, at - 1)["text"]), F.slice(all_lines, at + 1, past - at - 1))
+            return F.struct(
+                (j + 1).alias("turn"),
+                F.get(starts, at - 1)["speaker"].alias("speaker"),
+                F.get(starts, at - 1)["timestamp"].alias("timestamp"),
+                strip(joined(said)).alias("text"),
+            )
+
+        return let(opening, lambda heads: F.transform(heads, lambda at, j: turn(heads, at, j)))
+
+    return let(lines, lambda all_lines: let(F.transform(all_lines, _turn_start), lambda starts: build(all_lines, starts)))
 
 
 def rendered_turn(speaker: Column, timestamp: Column, text: Column) -> Column:
@@ -156,9 +164,7 @@ def conversation_chunks(
     tokenizer: Tokenizer = pieces,
 ) -> DataFrame:
     """Turns packed into chunks of at most ``max_tokens``, the last turns of a chunk repeated in the next one."""
-    turns = documents.select(F.col(slug).alias("slug"), conversation_turns(F.col(text)).alias("turns")).where(
-        F.size("turns") > 0
-    )
+    turns = documents.select(F.col(slug).alias("slug"), conversation_turns(F.col(text)).alias("turns"))
     counts = F.transform("turns", lambda t: F.size(tokenizer(t["text"])))
     packed = turns.select("slug", "turns", packed_bounds(counts, max_tokens, overlap_turns).alias("bounds"))
     groups = F.transform(
@@ -190,23 +196,22 @@ def conversation_chunks(
 
 
 def conversation_metadata(documents: DataFrame, slug: str = "slug", text: str = "text") -> DataFrame:
-    """Participants, turn count and duration of each conversation."""
-    turns = documents.select(F.col(slug).alias("slug"), conversation_turns(F.col(text)).alias("turns")).where(
-        F.size("turns") > 0
-    )
-    stamps = F.filter(F.transform("turns", lambda t: t["timestamp"]), lambda s: s.isNotNull() & (s != ""))
-    people = F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["speaker"])))
-    return turns.select("slug", "turns", people.alias("participants"), stamps.alias("stamps")).select(
-        "slug",
-        "participants",
-        F.size("participants").alias("num_participants"),
-        F.size("turns").alias("num_turns"),
-        (F.size("stamps") > 0).alias("has_timestamps"),
-        F.when(
-            F.size("stamps") >= 2,
-            clock_seconds(F.element_at("stamps", -1)) - clock_seconds(F.get("stamps", F.lit(0))),
-        ).alias("duration_seconds"),
-    )
+    """Participants, turn count and duration of each conversation; texts without a turn give no row."""
+
+    def summary(turns: Column) -> Column:
+        people = F.array_sort(F.array_distinct(F.transform(turns, lambda t: t["speaker"])))
+        stamps = F.filter(F.transform(turns, lambda t: t["timestamp"]), lambda s: s.isNotNull() & (s != ""))
+        seconds = clock_seconds(F.element_at(stamps, -1)) - clock_seconds(F.get(stamps, F.lit(0)))
+        return F.struct(
+            people.alias("participants"),
+            F.size(people).alias("num_participants"),
+            F.size(turns).alias("num_turns"),
+            (F.size(stamps) > 0).alias("has_timestamps"),
+            F.when(F.size(stamps) >= 2, seconds).alias("duration_seconds"),
+        )
+
+    one = let(conversation_turns(F.col(text)), lambda turns: F.when(F.size(turns) > 0, F.array(summary(turns))))
+    return unfolded(documents, one, "num_turns", F.col(slug).alias("slug"))
 
 
 def strict_turns(text: Column, timed: bool = False) -> Column:

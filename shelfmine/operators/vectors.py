@@ -115,8 +115,10 @@ def cosine_topk(
     ``queries`` is ``(qid, vector)`` and ``vectors`` is ``(chunk_id, vector)``. When both carry a ``group_key``,
     a query with a non-null key only meets vectors of the same key (a slug, for instance).
     """
-    queries = _with_group(queries).select("qid", "group_key", "vector")
-    vectors = _with_group(vectors).select("chunk_id", "group_key", "vector")
+    # aliases give each side columns of its own, as both may come from one table
+    own = lambda df, *names: _with_group(df).select(*[F.col(n).alias(n) for n in names])
+    queries = own(queries, "qid", "group_key", "vector")
+    vectors = own(vectors, "chunk_id", "group_key", "vector")
     schema = f"qid {_sql_type(queries, 'qid')}, chunk_id {_sql_type(vectors, 'chunk_id')}, score double"
     total, bound = queries.agg(F.count(F.lit(1)), F.count("group_key")).first()
     if total and bound == total:

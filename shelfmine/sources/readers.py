@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmine.operators.rows import unfolded_values
+
 
 def balanced(rows: DataFrame) -> DataFrame:
     """Rows spread over the cores when the files make fewer splits than there are cores, else as they are."""
@@ -75,9 +77,9 @@ def read_pdfs(spark: SparkSession, path: str, keep_empty_pages: bool = False) ->
 
 def golden_rows(maps: DataFrame, column: str = "value") -> DataFrame:
     """``(gold_id, query)`` from JSON texts that map a chunk to its queries."""
-    parsed = maps.select(F.from_json(F.col(column), "map<string,array<string>>").alias("m"))
-    pairs = parsed.select(F.explode("m").alias("gold_id", "queries"))
-    return pairs.select("gold_id", F.explode("queries").alias("query"))
+    parsed = F.from_json(F.col(column), "map<string,array<string>>")
+    pairs = maps.select(F.explode_outer(parsed).alias("gold_id", "queries")).where(F.col("gold_id").isNotNull())
+    return unfolded_values(pairs, F.col("queries"), "query", "gold_id")
 
 
 def read_golden(spark: SparkSession, *paths: str) -> DataFrame:
