@@ -22,7 +22,7 @@ def test_same_rows(spark, duck, name):
     cursor = duck.execute(entry.oracle_sql()[name])
     want = pd.DataFrame(cursor.fetchall(), columns=[d[0] for d in cursor.description])
     assert sorted(got.columns) == sorted(want.columns)
-    pd.testing.assert_frame_equal(comparable(got), comparable(want))
+    assert comparable(got).values.tolist() == comparable(want).values.tolist()
 
 
 def test_every_query_has_sql():
