@@ -157,11 +157,6 @@ def golden_from_passages(passages: DataFrame, texts: DataFrame) -> DataFrame:
     return passages_in_texts(passages, texts).groupBy("passage_id").agg(F.min("text_id").alias("gold_id"))
 
 
-def term_overlap(text_a: Column, text_b: Column) -> Column:
-    """Number of shared distinct words."""
-    return F.size(F.array_intersect(words(text_a), words(text_b)))
-
-
 def query_seeds(text: Column, count: int = 5) -> Column:
     """Offline stand-in for query generation: the most frequent longer words of a chunk, one query each."""
     runs = run_lengths(F.filter(words(text), lambda w: F.length(w) > 4))

@@ -16,7 +16,6 @@ from shelfmine.plans.suites.retrieval import (
     K,
     LONGEST_SQL,
     benchmark_queries,
-    document_chunks,
     document_index,
     document_library,
     hybrid_sql,
