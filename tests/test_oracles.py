@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from shelfmine.plans import registry
 from tools.check import comparable, connect
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -16,7 +17,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, duck, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     cursor = duck.execute(entry.oracle_sql()[name])
@@ -26,7 +27,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry_runs(spark):
