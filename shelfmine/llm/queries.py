@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import quality, sql
+from shelfmine.llm import packing, quality, sql
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,8 @@ def register(text: str | None = None) -> Callable[[Query], Query]:
 @register(sql.QUALITY)
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents")).drop("longest_repeat")
+
+
+@register()
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
