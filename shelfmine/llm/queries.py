@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import packing, quality, sql
+from shelfmine.llm import lm, packing, quality, sql, toxicity
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def register(text: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register()
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
+@register()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register(sql.QUALITY)
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents")).drop("longest_repeat")
