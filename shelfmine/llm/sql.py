@@ -34,3 +34,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
   NOT base_failed AND covered_words <= 0.3 * n_words AND too_long = 0 AS kept
 FROM failed
 """
+
+
+def _escaped_length(column: str) -> str:
+    """Length with one more character for each escape and each control string."""
+    # The control strings of the template, as in chat.Template.
+    controls = (
+        "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
+        "<|endoftext|>", "<|user|>", "<|assistant|>", "<|system|>", "\\",
+    )
+    more = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in controls)
+    return f"length({column}) + {more}"
+
+
+CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("<|im_start|><|im_sep|><|im_end|>")} + {_escaped_length("role")} + {_escaped_length("t")}) AS bigint) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
