@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, lm, packing, quality, sql, toxicity
+from shelfmine.llm import chat, lm, packing, quality, sql, topk, toxicity
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+@register(sql.TOP_K)
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return topk.search(rows, rows["vec_id"] % 100 == 0)
+
+
 @register()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
