@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,32 +41,10 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(parts)).cast("int")
 
 
-def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
-    """64-bit identity of a row by its id and text. Rows that repeat both are one document."""
-    return F.xxhash64(df[id_col], F.coalesce(df[text_col], F.lit("")), df[id_col].isNull())
-
-
 def word_lists(texts: list[bytes]) -> list[list[bytes]]:
     return [t.split() for t in texts]
 
 
-def hash_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes that are the same on every machine; ``known`` keeps those seen before."""
-    if len(known) > 400_000:
-        known.clear()
-    get = known.get
-    found = list(map(get, words))
-    if None in known or any(x is None for x in found):
-        for i, x in enumerate(found):
-            if x is None:
-                w = words[i]
-                x = get(w)
-                if x is None:
-                    x = known[w] = (zlib.crc32(w) << 32) | zlib.crc32(w, 0x9E3779B9)
-                found[i] = x
-    return mixed(np.array(found, dtype=np.uint64))
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Bijective scrambling of 64-bit values (splitmix finalizer)."""
     with np.errstate(over="ignore"):

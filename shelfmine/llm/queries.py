@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, lm, packing, quality, sql, topk, toxicity
+from shelfmine.llm import chat, jaccard, lm, packing, quality, sql, topk, toxicity
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register(sql.JACCARD)
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_report(table(spark, folder, "documents"))
+
+
 @register(sql.CHAT)
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"

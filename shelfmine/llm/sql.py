@@ -73,3 +73,29 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+JACCARD = r"""
+WITH RECURSIVE rows AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nodes AS (
+  SELECT t, row_number() OVER () AS node, count(*) AS copies,
+    list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM rows GROUP BY t),
+shingles AS (
+  SELECT DISTINCT node, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT node, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM nodes WHERE len(ws) > 0)),
+sizes AS (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+common AS (SELECT a.node AS x, b.node AS y, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.node < b.node GROUP BY ALL),
+pairs AS (
+  SELECT x, y FROM common JOIN sizes a ON a.node = x JOIN sizes b ON b.node = y WHERE 5 * common.n >= 4 * (a.n + b.n - common.n)),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT node AS x, node AS y FROM sizes UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+classes AS (
+  SELECT reach.x AS node, min(rows.doc_id) AS class_id
+  FROM reach JOIN nodes ON nodes.node = reach.y JOIN rows USING (t) GROUP BY ALL),
+counts AS (
+  SELECT links.x AS node, sum(nodes.copies) AS n FROM links JOIN nodes ON nodes.node = links.y GROUP BY ALL)
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN doc_id ELSE class_id END AS class_id,
+  CAST(CASE WHEN len(ws) = 0 THEN 0 ELSE copies - 1 + coalesce(counts.n, 0) END AS bigint) AS n_links
+FROM rows JOIN nodes USING (t) LEFT JOIN classes USING (node) LEFT JOIN counts USING (node)
+"""
