@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, jaccard, lm, packing, quality, sql, topk, toxicity
+from shelfmine.llm import chat, jaccard, lm, packing, quality, sql, substrings, topk, toxicity
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+@register()
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeats(table(spark, folder, "documents")).drop("rid")
+
+
 @register(sql.TOP_K)
 def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
