@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmine.llm import chat, jaccard, lm, packing, quality, sql, substrings, topk, toxicity
@@ -69,3 +70,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@register(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
