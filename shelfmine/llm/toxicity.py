@@ -24,7 +24,7 @@ FOLDS = 5
 EXAMPLES_PER_LABEL = 3_000
 # bound of the vocabulary and least association (log-likelihood ratio, 1 degree of freedom) of a term with the label
 TERMS = 1_024
-LEAST_ASSOCIATION = 12.0
+LEAST_ASSOCIATION = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
 # bytes of the word starts that are terms besides whole words
