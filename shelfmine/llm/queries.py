@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, jaccard, lm, packing, quality, sql, substrings, topk, toxicity
+from shelfmine.llm import chat, jaccard, lm, packing, quality, sentencepieces, sql, substrings, topk, toxicity, warc
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+@register()
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.encoded(table(spark, folder, "documents"))
+
+
+@register()
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, folder, "pages"))).drop("record")
+
+
 @register()
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeats(table(spark, folder, "documents")).drop("rid")
