@@ -52,7 +52,9 @@ class Index:
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: examples in order, weights
+    examples: np.ndarray  # postings by term, then example
+    values: np.ndarray
+    segments: np.ndarray  # terms x (blocks + 1): where the postings of a term in a block start
     block_max: np.ndarray  # terms x blocks
     labels: np.ndarray
     weights: np.ndarray  # of the examples' votes, so that both labels count as often as among all labelled rows
@@ -70,29 +72,30 @@ class Index:
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Exact best ``k`` examples with a cosine above 0; ties go to the earlier example.
 
-        Blocks are taken by falling upper bound until the next bound lies below the k-th best cosine.
+        Blocks are taken by falling upper bound, some at a time, until the next bound lies below the k-th best cosine.
         """
-        n = len(self.labels)
-        bounds = weights @ self.block_max[at] if len(at) else np.zeros(0)
         found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if len(at) == 0:
+            return found, scores
+        bounds = weights @ self.block_max[at]
         order = np.argsort(-bounds, kind="stable")
-        step = 8
-        for first in range(0, len(order), step):
-            blocks = order[first : first + step]
-            top = bounds[blocks[0]]
-            if top <= 0 or len(found) >= k and top < scores[k - 1] - 1e-12:
+        order = order[bounds[order] > 0]
+        done, step = 0, 8
+        while done < len(order):
+            if len(found) >= k and bounds[order[done]] < scores[k - 1] - 1e-12:
                 break
-            blocks = np.sort(blocks)
-            score = np.zeros(len(blocks) * BLOCK)
-            for t, w in zip(at, weights):
-                examples, values = self.postings[t]
-                low, high = np.searchsorted(examples, (blocks * BLOCK, (blocks + 1) * BLOCK))
-                for j, (a, b) in enumerate(zip(low, high)):
-                    if a < b:
-                        score[j * BLOCK + examples[a:b] - blocks[j] * BLOCK] += w * values[a:b]
-            own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            live = (score > 0) & (own < n) & (own != without)
-            found, scores = np.r_[found, own[live]], np.r_[scores, score[live]]
+            blocks = order[done : done + step]
+            done, step = done + step, 2 * step
+            first, last = self.segments[at][:, blocks].ravel(), self.segments[at][:, blocks + 1].ravel()
+            size = last - first
+            flat = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            local = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(at)), size) + self.examples[flat] % BLOCK
+            product = np.repeat(np.repeat(weights, len(blocks)), size) * self.values[flat]
+            score = np.bincount(local, product, minlength=len(blocks) * BLOCK)
+            own = np.flatnonzero(score > 0)
+            example = blocks[own // BLOCK] * BLOCK + own % BLOCK
+            other = example != without
+            found, scores = np.r_[found, example[other]], np.r_[scores, score[own][other]]
             best = np.lexsort((found, -scores.round(12)))[:k]
             found, scores = found[best], scores[best]
         return found, scores
@@ -215,10 +218,11 @@ def build(names, idf, heads, hits, totals, neighbours) -> Index:
     weight = weight / np.maximum(norm[row], 1e-300) if len(row) else weight
     order = np.lexsort((row, at))
     at, row, weight = at[order], row[order], weight[order]
-    edges = np.searchsorted(at, np.arange(len(names) + 1))
     blocks = -(-max(len(heads), 1) // BLOCK)
     block_max = np.zeros((len(names), blocks))
     np.maximum.at(block_max, (at, row // BLOCK), weight)
+    wanted = np.arange(len(names))[:, None] * (blocks + 1) + np.arange(blocks + 1)
+    segments = np.searchsorted(at * (blocks + 1) + row // BLOCK, wanted)
     n = {y: max(int((labels == y).sum()), 1) for y in (0, 1)}
     share = totals.get(1, 0) / max(sum(totals.values()), 1)
     share = min(max(share, 1e-6), 1 - 1e-6)
@@ -227,7 +231,9 @@ def build(names, idf, heads, hits, totals, neighbours) -> Index:
     index = Index(
         {t: i for i, t in enumerate(names)},
         idf,
-        [(row[x:y], weight[x:y]) for x, y in zip(edges, edges[1:])],
+        row,
+        weight,
+        segments,
         block_max,
         labels,
         votes,
