@@ -13,7 +13,12 @@ MULTI_LIMITS = {"conversation": 8, "other": 3}
 
 
 def upsert_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or overwrite by slug; a known document keeps its ``book_id`` and ``added_at``."""
+    """Insert or overwrite by slug; a known document keeps its ``book_id`` and ``added_at``.
+
+    The slug is a unique key: of several incoming rows of one slug the last by ``added_at``, then ``book_id``, counts.
+    """
+    row = F.struct(*incoming.columns)
+    incoming = incoming.groupBy("slug").agg(F.max_by(row, F.struct("added_at", "book_id")).alias("_row")).select("_row.*")
     old = stored.select("slug", F.col("book_id").alias("_id"), F.col("added_at").alias("_added"))
     merged = (
         incoming.join(old, "slug", "left")
@@ -40,21 +45,22 @@ def without_slugs(table: DataFrame, slugs: DataFrame) -> DataFrame:
     return join_small(table, slugs.select("slug").distinct(), ["slug"], table.columns[0], "left_anti").select(*table.columns)
 
 
-def replace_slugs(table: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Re-ingestion: all rows of the incoming slugs are replaced, so no stale chunk stays behind."""
-    return without_slugs(table, incoming).unionByName(incoming.select(*table.columns))
-
-
 def resolve(identifiers: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(identifier, book_id)``: a whole number as it is, else the slug, else the title ignoring case."""
-    by_slug = documents.select(F.col("slug").alias("identifier"), F.col("book_id").alias("_slug_id"))
+    """``(identifier, book_id)``: the document of that slug, else of that title ignoring case, else of that id.
+
+    A text of digits may be a title, so it counts as an id only after both, and only if a document has it. Texts that
+    are no 64-bit number are no id.
+    """
+    by_slug = documents.groupBy(F.col("slug").alias("identifier")).agg(F.min("book_id").alias("_slug_id"))
     by_title = documents.groupBy(F.lower("title").alias("_title")).agg(F.min("book_id").alias("_title_id"))
-    number = F.when(F.col("identifier").rlike("^[0-9]+$"), F.col("identifier").cast("long"))
+    ids = documents.select(F.col("book_id").alias("_number")).distinct()
+    number = F.when(F.col("identifier").rlike("^[0-9]+$"), F.col("identifier").try_cast("long"))
+    wanted = identifiers.select("identifier", F.lower("identifier").alias("_title"), number.alias("_asked"))
     return (
-        identifiers.select("identifier", F.lower("identifier").alias("_title"))
-        .join(by_slug, "identifier", "left")
+        wanted.join(by_slug, "identifier", "left")
         .join(by_title, "_title", "left")
-        .select("identifier", F.coalesce(number, "_slug_id", "_title_id").alias("book_id"))
+        .join(ids, F.col("_asked") == F.col("_number"), "left")
+        .select("identifier", F.coalesce("_slug_id", "_title_id", "_number").alias("book_id"))
     )
 
 

@@ -75,7 +75,7 @@ def sample_evenly(chunks: DataFrame, group: str, order: str, size: int, skip_fir
     step = F.greatest(F.floor(F.col("_left") / F.lit(size)), F.lit(1))
     offset = F.col("_position") - 1 - skip_first
     return (
-        join_small(positions, counts, [group], order)
+        join_small(positions, counts, [group], order, null_safe=True)
         .where((F.col("_left") <= size) | ((F.pmod(offset, step) == 0) & (F.floor(offset / step) < size)))
         .drop("_position", "_left")
     )

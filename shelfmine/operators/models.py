@@ -6,12 +6,9 @@ meant for tests and wiring and makes no claim about quality.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,30 +57,21 @@ class HashingEmbedder:
     dimensions: int = 64
 
     def embed(self, rows: DataFrame, text: str) -> DataFrame:
-        size = self.dimensions
-
-        @F.pandas_udf("array<double>")
-        def spread(terms: pd.Series, counts: pd.Series) -> pd.Series:
-            known: dict[str, int] = {}
-
-            def bucket(term: str) -> int:
-                if term not in known:
-                    known[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % size
-                return known[term]
-
-            def vector(words, tf) -> np.ndarray:
-                sums = np.bincount([bucket(w) for w in words], weights=tf, minlength=size).astype(float)
-                norm = np.linalg.norm(sums)
-                return sums / norm if norm else sums
-
-            empty = np.zeros(size)
-            return pd.Series(
-                [vector(w, c) if w is not None and len(w) else empty for w, c in zip(terms, counts)], dtype=object
-            )
-
-        counted = rows.withColumn("_runs", run_lengths(index_terms(F.col(text))))
-        terms, counts = F.transform("_runs", lambda r: r["term"]), F.transform("_runs", lambda r: r["tf"])
-        return counted.withColumn("vector", spread(terms, counts)).drop("_runs")
+        bucket = lambda term: F.pmod(F.conv(F.left(F.md5(term), F.lit(8)), 16, 10).cast("long"), F.lit(self.dimensions))
+        # occurrences per bucket, by the same sort that counts terms
+        counts = run_lengths(F.transform(index_terms(F.col(text)), bucket), "bucket", "n")
+
+        def unit(sums: Column) -> Column:
+            norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda done, x: done + x * x))
+            return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+
+        def spread(known: Column) -> Column:
+            at = F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda b: F.try_element_at(known, b.cast("long")))
+            return F.transform(at, lambda n: F.coalesce(n.cast("double"), F.lit(0.0)))
+
+        empty = F.array().cast("array<struct<bucket:bigint,n:int>>")
+        known = F.map_from_entries(F.coalesce(counts, empty))
+        return rows.withColumn("vector", let(let(known, spread), unit))
 
 
 @dataclass(frozen=True)

@@ -214,7 +214,7 @@ def kept_history(
     before = F.col("_upto") - F.col("_tokens")
     keep = F.col("_head") | (F.col("_total") - before <= budget) | (F.col(order) == F.col("_newest"))
     return (
-        join_small(summed, totals, [group], order)
+        join_small(summed, totals, [group], order, null_safe=True)
         .where(keep)
         .drop("_head", "_tokens", "_total", "_newest", "_upto")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmine.session import cut_lineage
+
 # A side is broadcast only when both its rows and its bytes have been counted to stay below these bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -34,23 +36,33 @@ def join_small(
     salt_on: str,
     how: str = "inner",
     fits: bool | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a large table with a usually small one.
 
     The small side is broadcast when its counted size fits. Beyond that, both sides are shuffled with a salt:
     rows of a hot key on the big side spread over ``SALT_BUCKETS`` tasks by the hash of ``salt_on``.
     Every row of the big side has exactly one salt and meets a full copy of its key's small rows, so inner,
-    left, semi and anti joins are exact.
+    left, semi and anti joins are exact. ``null_safe`` matches null keys with each other, as groups do.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     if fits is None:
         fits = fits_broadcast(small)
     if fits:
-        return big.join(F.broadcast(small), list(keys), how)
+        return _joined(big, F.broadcast(small), keys, how, null_safe)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALT_BUCKETS)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+    return _joined(salted_big, salted_small, [*keys, "_salt"], how, null_safe).drop("_salt")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return left.join(right, list(keys), how)
+    other = {k: f"_other_{k}" for k in keys}
+    right = right.withColumnsRenamed(other)
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return left.join(right, same, how).drop(*other.values())
 
 
 def running_sum(
@@ -66,9 +78,13 @@ def running_sum(
 
     A window over the group alone would put a hot group into one task. Here each group is cut into blocks of
     consecutive order values, so a task holds at most ``block_rows`` rows; the block totals are summed across
-    the group by the same means, ``levels`` deep, which also covers order columns with wide gaps.
+    the group by the same means, ``levels`` deep, which also covers order columns with wide gaps. Rows of a null
+    group are a group like others; a null order is an error, as such a row has no place.
+
+    The rows are written once, so a costly source is not computed again for the totals.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows))).withColumn("_value", value)
+    at = F.when(F.col(order).isNull(), F.raise_error(F.lit(f"null in order column {order}"))).otherwise(F.col(order))
+    blocked = cut_lineage(df.withColumn("_block", F.floor(at / F.lit(block_rows))).withColumn("_value", value), "running")
     inside = W.partitionBy(*group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = blocked.withColumn("_local", F.sum("_value").over(inside))
     totals = blocked.groupBy(*group, F.col("_block").alias("_at")).agg(F.sum("_value").alias("_total"))
@@ -79,7 +95,7 @@ def running_sum(
         upto = totals.withColumn("_upto", F.sum("_total").over(through))
     offsets = upto.select(*group, F.col("_at").alias("_block"), (F.col("_upto") - F.col("_total")).alias("_offset"))
     return (
-        local.join(offsets, [*group, "_block"])
+        _joined(local, offsets, [*group, "_block"], "inner", null_safe=True)
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_block", "_value", "_local", "_offset")
     )

@@ -6,6 +6,8 @@ depends on how rows are spread over keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,8 @@ def rating_distribution(metrics: DataFrame) -> DataFrame:
 
 
 def latency_bucket(latency: Column) -> Column:
-    label = F.lit(LATENCY_BUCKETS[-1][0])
+    """Name of the bucket; null for a null latency."""
+    label = F.when(latency.isNotNull(), F.lit(LATENCY_BUCKETS[-1][0]))
     for name, bound in reversed(LATENCY_BUCKETS[:-1]):
         label = F.when(latency < bound, F.lit(name)).otherwise(label)
     return label
@@ -179,8 +182,22 @@ def with_feedback(metrics: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
-def upserted(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert new metrics; a known ``query_id`` only takes over rating and comment."""
+def one_per_query(metrics: DataFrame, order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """One row per ``query_id``: the facts of the first one by ``order``, rating and comment of the last one.
+
+    That is what applying them one after the other gives. Rows that ``order`` leaves equal go by all their columns.
+    """
+    facts = [c for c in metrics.columns if c != "query_id"]
+    rest = [c for c in facts if c not in order]
+    row, at = F.struct(*facts), F.struct(*order, *rest)
+    grouped = metrics.groupBy("query_id").agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
+    kept = {c: ("_last" if c in ("user_rating", "user_comment") else "_first") for c in facts}
+    return grouped.select("query_id", *[F.col(f"{side}.{c}").alias(c) for c, side in kept.items()]).select(*metrics.columns)
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """Insert new metrics; a known ``query_id`` only takes over rating and comment. A batch may repeat an id."""
+    incoming = one_per_query(incoming, order)
     fresh = incoming.join(stored.select("query_id"), "query_id", "left_anti")
     patch = incoming.select("query_id", F.struct("user_rating", "user_comment").alias("_new"))
     kept = stored.join(patch, "query_id", "left")

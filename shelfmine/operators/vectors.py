@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
@@ -96,12 +96,13 @@ def cosine_topk(
     """``(qid, rank, chunk_id, score)`` by exact cosine similarity.
 
     ``queries`` is ``(qid, vector)`` and ``vectors`` is ``(chunk_id, vector)``. When both carry a ``group_key``,
-    a query with a non-null key only meets vectors of the same key (a slug, for instance).
+    a query with a non-null key only meets vectors of the same key (a slug, for instance). Vectors that are null or
+    hold a null or non-finite component have no direction and take no part on either side.
     """
     # aliases give each side columns of its own, as both may come from one table
     own = lambda df, *names: _with_group(df).select(*[F.col(n).alias(n) for n in names])
-    queries = own(queries, "qid", "group_key", "vector")
-    vectors = own(vectors, "chunk_id", "group_key", "vector")
+    queries = own(queries, "qid", "group_key", "vector").where(_whole(F.col("vector")))
+    vectors = own(vectors, "chunk_id", "group_key", "vector").where(_whole(F.col("vector")))
     schema = f"qid {_sql_type(queries, 'qid')}, chunk_id {_sql_type(vectors, 'chunk_id')}, score double"
     total, bound = queries.agg(F.count(F.lit(1)), F.count("group_key")).first()
     if total and bound == total:
@@ -117,6 +118,11 @@ def cosine_topk(
     return top_k(cells, k).select("qid", "rank", "chunk_id", "score")
 
 
+def _whole(vector: Column) -> Column:
+    infinite = F.lit(float("inf"))
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != infinite))
+
+
 def _with_group(df: DataFrame) -> DataFrame:
     return df if "group_key" in df.columns else df.withColumn("group_key", F.lit(None).cast("string"))
 

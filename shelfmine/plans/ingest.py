@@ -61,11 +61,15 @@ def acceptable_slug(slug: Column) -> Column:
 
 
 def checked(incoming: DataFrame, stored: DataFrame, replace_known: bool) -> DataFrame:
-    """The incoming documents; fails on a bad slug or type, or a known slug unless it may be replaced."""
+    """The incoming documents; fails on a bad slug or type, a slug that comes twice, or a known one that may not be
+    replaced."""
     bad = incoming.where(~acceptable_slug(F.col("slug")) | ~F.col("doc_type").isin(*schema.DOC_TYPES)).select("slug")
     sample = [r[0] for r in bad.limit(5).collect()]
     if sample:
         raise ValueError(f"invalid slug or document type: {sample}")
+    twice = [r[0] for r in incoming.groupBy("slug").count().where("count > 1").select("slug").limit(5).collect()]
+    if twice:
+        raise ValueError(f"slugs come more than once: {twice}")
     if not replace_known:
         known = [r[0] for r in incoming.select("slug").join(stored.select("slug"), "slug", "left_semi").limit(5).collect()]
         if known:

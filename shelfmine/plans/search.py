@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmine.functions.text import citation, dynamic_alpha, parse_timestamp, preprocess_query, snippet
@@ -17,6 +18,7 @@ from shelfmine.operators.fusion import ALPHA, weighted_fusion
 from shelfmine.operators.lexical import LexicalIndex, bm25_topk
 from shelfmine.operators.models import Embedder, HashingEmbedder, KeywordRephraser, Rephraser
 from shelfmine.operators.skew import join_small
+from shelfmine.session import cut_lineage
 from shelfmine.operators.vectors import cosine_topk
 
 TOP_K = 7
@@ -90,8 +92,11 @@ def baseline_search(queries: DataFrame, library: Library, k: int = TOP_K, alpha:
 
 
 def passages(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Results with the text and metadata of their chunks; texts are fetched for the winners only."""
-    return join_small(chunks, results, ["chunk_id"], "chunk_id")
+    """Results with the text and metadata of their chunks; texts are fetched for the winners only.
+
+    The list is written first, so that the search behind it runs once, and its size is counted on the written rows.
+    """
+    return join_small(chunks, cut_lineage(results, "hits"), ["chunk_id"], "chunk_id")
 
 
 def with_snippets(hits: DataFrame, limit: int = 800) -> DataFrame:
@@ -104,8 +109,11 @@ def spread_conversations(hits: DataFrame) -> DataFrame:
     ``hits`` carries ``qid, rank, doc_type, speaker, timestamp``. Other lists keep their order. The new order is
     in ``position``.
     """
-    sizes = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("doc_type") == "conversation").alias("_talk"))
-    sized = hits.join(sizes, "qid")
+    own = W.partitionBy("qid")  # a list has at most as many rows as its limit
+    sized = hits.withColumns(
+        {"_n": F.count(F.lit(1)).over(own), "_talk": F.max(F.col("doc_type") == "conversation").over(own)}
+    )
+    sized = cut_lineage(sized, "sized")
     spread = F.col("_talk") & (F.col("_n") > DIVERSIFY_ABOVE)
     chosen = diversify(
         sized.where(spread).select("qid", "rank", "speaker", parse_timestamp(F.col("timestamp")).alias("ts"))

@@ -63,29 +63,37 @@ def turn_packing_spread(spark, folder):
     return _packed(spark, folder, row_turns=0)
 
 
+# the turns of one conversation have no identifier: a null group is a group like others
+LOOSE_SQL = "loose AS (SELECT * REPLACE (nullif(conv_id, 7) AS conv_id) FROM tl)"
+
+
+def _loose(spark: SparkSession, folder: str) -> DataFrame:
+    return turns(spark, folder).withColumn("conv_id", F.nullif("conv_id", F.lit(7)))
+
+
 @register(
     "fixed_turn_windows",
-    f"""WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS c FROM tl),
+    f"""WITH {TURNS}, {LOOSE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS c FROM loose),
 w AS (SELECT conv_id, unnest(range(0, max(c), 3)) AS s FROM n GROUP BY conv_id)
-SELECT conv_id, s // 3 + 1 AS section, count(*) AS num_turns, md5(string_agg(line, {LF} ORDER BY turn)) AS digest
-FROM w JOIN n USING (conv_id) WHERE p >= s AND p < s + 4 GROUP BY conv_id, s""",
+SELECT n.conv_id, s // 3 + 1 AS section, count(*) AS num_turns, md5(string_agg(line, {LF} ORDER BY turn)) AS digest
+FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id WHERE p >= s AND p < s + 4 GROUP BY n.conv_id, s""",
 )
 def fixed_turn_windows(spark, folder):
-    rows = packing.fixed_turn_windows(turns(spark, folder), "conv_id", "turn", "line", size=4, overlap=1)
+    rows = packing.fixed_turn_windows(_loose(spark, folder), "conv_id", "turn", "line", size=4, overlap=1)
     return rows.select("conv_id", "section", "num_turns", md5("text").alias("digest"))
 
 
 @register(
     "history_truncate",
-    f"""WITH {TURNS}, s AS (SELECT *, (role = 'system' AND turn = 0) AS head,
+    f"""WITH {TURNS}, {LOOSE_SQL}, s AS (SELECT *, (role = 'system' AND turn = 0) AS head,
   max(turn) FILTER (NOT (role = 'system' AND turn = 0)) OVER (PARTITION BY conv_id) AS newest,
   coalesce(sum(tok) FILTER (role = 'system' AND turn = 0) OVER (PARTITION BY conv_id), 0) AS sys,
-  sum(tok) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM tl)
+  sum(tok) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM loose)
 SELECT conv_id, turn, role FROM s WHERE head OR turn = newest OR tail + sys <= 150""",
 )
 def history_truncate(spark, folder):
     head = (F.col("role") == "system") & (F.col("turn") == 0)
-    kept = packing.kept_history(turns(spark, folder), "conv_id", "turn", F.col("tok"), head, budget=150)
+    kept = packing.kept_history(_loose(spark, folder), "conv_id", "turn", F.col("tok"), head, budget=150)
     return kept.select("conv_id", "turn", "role")
 
 

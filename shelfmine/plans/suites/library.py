@@ -14,7 +14,6 @@ from shelfmine.plans.suites.parsing import md5
 from shelfmine.plans.suites.retrieval import (
     BASE_CTES,
     K,
-    LONGEST_SQL,
     benchmark_queries,
     document_index,
     document_library,
@@ -65,25 +64,29 @@ def agent_catalog(spark, folder):
     return catalog.agent_lines(books(spark, folder))
 
 
-IDENTIFIER_SQL = "CASE doc_id % 4 WHEN 0 THEN slug WHEN 1 THEN upper(replace(title, 'ß', '')) WHEN 2 THEN doc_id::VARCHAR ELSE 'nothing ' || doc_id END"
+IDENTIFIER_SQL = "CASE doc_id % 4 WHEN 0 THEN slug WHEN 1 THEN upper(replace(title, 'ß', '')) WHEN 2 THEN (doc_id * CASE WHEN doc_id % 8 = 2 THEN 1 ELSE 1000000 END)::VARCHAR ELSE '99999999999999999999' || doc_id END"
 
 
 @register(
     "resolve_identifier",
-    f"""WITH {BOOKS}, ids AS (SELECT {IDENTIFIER_SQL} AS identifier FROM labels JOIN books ON slug = 'd' || doc_id),
-t AS (SELECT lower(title) AS k, min(book_id) AS id FROM books GROUP BY 1)
-SELECT identifier, CASE WHEN regexp_matches(identifier, '^[0-9]+$') THEN identifier::BIGINT ELSE coalesce(b.book_id, t.id) END AS book_id
-FROM ids LEFT JOIN books b ON b.slug = identifier LEFT JOIN t ON t.k = lower(identifier)""",
+    f"""WITH {BOOKS}, named AS (SELECT * REPLACE (CASE WHEN book_id % 10 = 0 THEN (book_id + 7)::VARCHAR ELSE title END AS title) FROM books),
+ids AS (SELECT {IDENTIFIER_SQL} AS identifier FROM labels JOIN named ON slug = 'd' || doc_id),
+t AS (SELECT lower(title) AS k, min(book_id) AS id FROM named GROUP BY 1)
+SELECT identifier, coalesce(b.book_id, t.id, n.book_id) AS book_id
+FROM ids LEFT JOIN named b ON b.slug = identifier LEFT JOIN t ON t.k = lower(identifier)
+LEFT JOIN named n ON n.book_id = CASE WHEN regexp_matches(identifier, '^[0-9]+$') THEN try_cast(identifier AS BIGINT) END""",
 )
 def resolve_identifier(spark, folder):
     d = F.col("doc_id")
-    own = books(spark, folder)
+    b = F.col("book_id")
+    # titles made of digits, and numbers that no document has or that exceed 64 bits
+    own = books(spark, folder).withColumn("title", F.when(b % 10 == 0, (b + 7).cast("string")).otherwise(F.col("title")))
     labelled = table(spark, folder, "labels").withColumn("slug", F.concat(F.lit("d"), d.cast("string"))).join(own, "slug")
     identifier = (
         F.when(d % 4 == 0, F.col("slug"))
         .when(d % 4 == 1, F.upper(F.replace("title", F.lit("ß"), F.lit(""))))
-        .when(d % 4 == 2, d.cast("string"))
-        .otherwise(F.concat(F.lit("nothing "), d.cast("string")))
+        .when(d % 4 == 2, (d * F.when(d % 8 == 2, F.lit(1)).otherwise(F.lit(1000000))).cast("string"))
+        .otherwise(F.concat(F.lit("99999999999999999999"), d.cast("string")))
     )
     return catalog.resolve(labelled.select(identifier.alias("identifier")), own)
 
@@ -111,7 +114,10 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
 coalesce(i.title, b.title) AS title, coalesce(b.added_at, i.added_at) AS added_at FROM books b FULL JOIN inc i ON i.slug = b.slug""",
 )
 def doc_upsert(spark, folder):
-    merged = catalog.upsert_documents(books(spark, folder), incoming(spark, folder))
+    """The batch holds an older row of every slug as well, which the newer one replaces."""
+    batch = incoming(spark, folder)
+    older = batch.withColumns({"title": F.lit("older"), "added_at": F.expr("added_at - interval 1 day")})
+    merged = catalog.upsert_documents(books(spark, folder), batch.unionByName(older))
     return merged.select("book_id", "slug", "title", "added_at")
 
 
@@ -345,24 +351,22 @@ REPHRASED_SQL = f"array_to_string(list_sort(list_distinct({sq.kept_words('query'
 
 @register(
     "rephrase_and_retry",
-    f"""WITH q AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'zzqx' || item_id ELSE 'What about THE zzqx ' || item_id || ' ' || {LONGEST_SQL} END AS query FROM benchmark),
-c AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN 7 ELSE 0 END AS n, query, {REPHRASED_SQL} AS other FROM q),
+    f"""WITH q AS (SELECT item_id AS qid, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'zzqx' || item_id ELSE 'what about the zzqx' || item_id END AS query FROM benchmark),
+{sq.index_ctes()}, {sq.score_ctes('q', 's0')}, n0 AS (SELECT qid, least(count(*), 7) AS n FROM s0 GROUP BY qid),
+c AS (SELECT q.qid, coalesce(n, 0) AS n, query, {REPHRASED_SQL} AS other FROM q LEFT JOIN n0 ON n0.qid = q.qid),
 r AS (SELECT qid, query AS original, n, n = 0 AND other <> '' AND other <> query AS again, other FROM c),
 rq AS (SELECT qid, other AS query FROM r WHERE again),
-{sq.index_ctes()}, {sq.score_ctes('rq', 's')}, sc AS (SELECT qid, least(count(*), 7) AS m FROM s GROUP BY qid)
+{sq.score_ctes('rq', 's')}, sc AS (SELECT qid, least(count(*), 7) AS m FROM s GROUP BY qid)
 SELECT r.qid, CASE WHEN again AND coalesce(m, 0) > 0 THEN m ELSE n END AS num_results, CASE WHEN again THEN other END AS rephrased_query,
 again AS retry_attempted, CASE WHEN again THEN coalesce(m, 0) END AS retry_results,
 (n = 0 AND NOT again) OR (again AND coalesce(m, 0) = 0) AS fallback_to_context FROM r LEFT JOIN sc ON sc.qid = r.qid""",
 )
 def rephrase_and_retry(spark, folder):
     item = F.col("qid")
-    longest = F.get(
-        F.sort_array(F.transform(tx.words(F.col("query")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0)
-    )["w"]
     query = (
         F.when(item % 3 == 0, F.col("query"))
         .when(item % 3 == 1, F.concat(F.lit("zzqx"), item.cast("string")))
-        .otherwise(F.concat(F.lit("What about THE zzqx "), item.cast("string"), F.lit(" "), longest))
+        .otherwise(F.concat(F.lit("what about the zzqx"), item.cast("string")))
     )
     queries = benchmark_queries(spark, folder).withColumn("query", query)
     index = document_index(spark, folder)
@@ -371,7 +375,7 @@ def rephrase_and_retry(spark, folder):
         found = lexical.bm25_topk(asked, index, K, pad=False)
         return found.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("num_results"))
 
-    first = counted(queries.where(item % 3 == 0))
+    first = counted(queries)
     again, record = search.retry_empty(queries, first)
     return search.retried(record, counted(again)).select(
         "qid", F.col("num_results").cast("long").alias("num_results"), "rephrased_query", "retry_attempted",
@@ -428,12 +432,17 @@ def token_cost(spark, folder):
 
 @register(
     "rule_judge",
-    f"""WITH w AS (SELECT b.item_id, d.doc_id, list_distinct({sq.kept_words('b.text')}) AS wanted, {sq.terms('d.text')} AS t
-FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+    f"""WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark), {sq.index_ctes()}, {sq.score_ctes('q', 's')},
+best AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1),
+w AS (SELECT q.qid AS item_id, list_distinct({sq.kept_words('q.query')}) AS wanted, {sq.terms('d.text')} AS t
+  FROM best JOIN q ON q.qid = best.qid JOIN documents d ON d.doc_id = best.doc_id)
 SELECT item_id, CASE WHEN share >= 0.75 THEN 'EXCELLENT' WHEN share >= 0.4 THEN 'ADEQUATE' ELSE 'POOR' END AS score
 FROM (SELECT item_id, len(list_intersect(wanted, list_distinct(t))) / greatest(len(wanted), 1) AS share FROM w)""",
 )
 def rule_judge(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("qid"), "text")
-    rows = benchmark_queries(spark, folder).join(docs, "qid")
+    """Every query is judged against the first document that the keyword search returns for it."""
+    queries = benchmark_queries(spark, folder)
+    best = lexical.bm25_topk(queries, document_index(spark, folder), 1, pad=False).select("qid", "chunk_id")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = queries.join(best, "qid").join(texts, "chunk_id")
     return rows.select(F.col("qid").alias("item_id"), models.rule_judgement(F.col("query"), F.col("text")).alias("score"))

@@ -184,13 +184,16 @@ def cosine_topk_same_label(spark, folder):
 
 @register(
     "latest_points",
-    """SELECT label AS chunk_id, max(vec_id) AS version, round(arg_max(embedding, vec_id)[1]::DOUBLE, 6) AS head
+    """SELECT label AS chunk_id, max(vec_id) AS version, 
+round(list_sum(list_transform(arg_max(embedding, vec_id), lambda x, i: x::DOUBLE * i)), 6) AS digest
 FROM embeddings GROUP BY label""",
 )
 def latest_points(spark, folder):
     points = table(spark, folder, "embeddings").select(F.col("label").alias("chunk_id"), F.col("vec_id").alias("version"), "embedding")
     latest = vectors.latest_points(points, "version")
-    return latest.select("chunk_id", "version", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda done, x: done + x)
+    return latest.select("chunk_id", "version", F.round(total, 6).alias("digest"))
 
 
 @register(
@@ -356,7 +359,13 @@ def search_improvement(spark, folder):
     return ev.improvement(base, ev.evaluate(adaptive_ranks(spark, folder)))
 
 
-NUMBERED_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p, count(*) OVER (PARTITION BY source) AS n FROM documents"
+# rows of one source have no source: a null group is a group like others
+NUMBERED_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p, count(*) OVER (PARTITION BY source) AS n FROM (SELECT doc_id, nullif(source, 'src3') AS source FROM documents)"
+
+
+def _by_source(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.nullif("source", F.lit("src3")).alias("source"))
+
 
 
 @register(
@@ -365,14 +374,12 @@ NUMBERED_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source OR
 (n - 3 <= 4 OR ((p - 4) % ((n - 3) // 4) = 0 AND (p - 4) // ((n - 3) // 4) < 4))""",
 )
 def every_nth_sample(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source")
-    return ev.sample_evenly(docs, "source", "doc_id", size=4, skip_first=3).select("doc_id", "source")
+    return ev.sample_evenly(_by_source(spark, folder), "source", "doc_id", size=4, skip_first=3).select("doc_id", "source")
 
 
 @register("skip_preface", f"SELECT doc_id, source FROM ({NUMBERED_SQL}) WHERE p > 5")
 def skip_preface(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source")
-    return ev.sample_evenly(docs, "source", "doc_id", size=2**40, skip_first=5).select("doc_id", "source")
+    return ev.sample_evenly(_by_source(spark, folder), "source", "doc_id", size=2**40, skip_first=5).select("doc_id", "source")
 
 
 SEEDS_SQL = f"""seeds AS (SELECT doc_id, source, term AS query FROM (

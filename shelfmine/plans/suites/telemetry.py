@@ -87,10 +87,13 @@ def rating_distribution(spark, folder):
     "latency_buckets",
     f"""WITH {M}, b AS (SELECT * FROM (VALUES (0, '< 1s', 0, 1000), (1, '1s - 2s', 1000, 2000), (2, '2s - 5s', 2000, 5000),
 (3, '5s - 10s', 5000, 10000), (4, '> 10s', 10000, 1e18)) t(position, bucket, lo, hi))
-SELECT position, bucket, count(latency_ms) AS count FROM b LEFT JOIN m ON latency_ms >= lo AND latency_ms < hi GROUP BY position, bucket""",
+SELECT position, bucket, count(latency_ms) AS count FROM b LEFT JOIN m ON event_id % 9 <> 0 AND latency_ms >= lo AND latency_ms < hi
+GROUP BY position, bucket""",
 )
 def latency_buckets(spark, folder):
-    return tm.latency_buckets(metrics(spark, folder))
+    """Every ninth latency is null and counts nowhere."""
+    number = F.regexp_extract("query_id", r"(\d+)$", 1).cast("long")
+    return tm.latency_buckets(metrics(spark, folder).withColumn("latency_ms", F.when(number % 9 != 0, F.col("latency_ms"))))
 
 
 @register(
@@ -151,8 +154,8 @@ def feedback_update(spark, folder):
 
 @register(
     "metric_upsert",
-    f"""WITH {M} SELECT query_id, latency_ms, CASE WHEN event_id % 3 = 0 THEN 5 ELSE user_rating END AS user_rating FROM m
-UNION ALL SELECT 'new' || query_id, latency_ms, 5 FROM m WHERE event_id % 3 = 1""",
+    f"""WITH {M} SELECT query_id, latency_ms, CASE WHEN event_id % 3 = 0 THEN 3 ELSE user_rating END AS user_rating FROM m
+UNION ALL SELECT 'new' || query_id, latency_ms, 3 FROM m WHERE event_id % 3 = 1""",
 )
 def metric_upsert(spark, folder):
     stored = metrics(spark, folder)
@@ -160,6 +163,11 @@ def metric_upsert(spark, folder):
     known = stored.where(number % 3 == 0).withColumn("latency_ms", F.lit(0.0))
     fresh = stored.where(number % 3 == 1).withColumn("query_id", F.concat(F.lit("new"), "query_id"))
     incoming = known.unionByName(fresh).withColumn("user_rating", F.lit(5))
+    # every id comes again an hour later: the facts of the first row and the rating of the last one count
+    again = incoming.withColumns(
+        {"user_rating": F.lit(3), "latency_ms": F.lit(-1.0), "timestamp": F.expr("timestamp + interval 1 hour")}
+    )
+    incoming = incoming.unionByName(again)
     return tm.upserted(stored, incoming).select("query_id", "latency_ms", "user_rating")
 
 

@@ -34,11 +34,9 @@ def store(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def stored_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Everything stored so far, one row per query: the last batch wins, which restores the collector's state."""
+    """Everything stored so far, one row per query: the facts of its first row, rating and comment of its last one."""
     rows = spark.read.schema(schema.QUERY_METRICS + ", batch long").parquet(folder)
-    payload = [c for c in rows.columns if c not in ("query_id", "batch")]
-    latest = rows.groupBy("query_id").agg(F.max_by(F.struct(*payload), "batch").alias("_row"))
-    return latest.select("query_id", "_row.*")
+    return telemetry.one_per_query(rows, ("batch", "timestamp")).drop("batch")
 
 
 def running_tool_usage(stream: DataFrame) -> DataFrame:
