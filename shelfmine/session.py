@@ -45,25 +45,21 @@ def fresh_table_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
-
-
 def cut_lineage(df: DataFrame, stem: str = "step") -> DataFrame:
     """Write the rows as a table in the shared folder and read them back.
 
     The result survives the loss of any executor, is computed once however often it is used, and has known
-    size and prunable columns.
+    size and prunable columns. ``drop_steps`` deletes it when nothing reads it any more.
     """
     path = fresh_table_path(df.sparkSession, stem)
     df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step._step_path = path
+    return step
 
 
-def discard_steps(spark: SparkSession) -> None:
-    """Delete the step tables written so far. Frames that still read them can no longer be used."""
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = paths(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop_steps(*steps: DataFrame) -> None:
+    """Delete the tables of frames that ``cut_lineage`` returned. Frames that read them can no longer be used."""
+    for step in steps:
+        path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step._step_path)
+        path.getFileSystem(step.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
