@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.session import cut_lineage
+from shelfmine.session import cut_lineage, drop_steps
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,5 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         # every edge leads down now; each id's lower neighbours and itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop_steps(before)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shelfmine.llm.common import as_bytes, mixed, pieces, word_lists
 from shelfmine.llm.components import components
 from shelfmine.llm.shingles import SIMILARITY, WORDS, WordHashes, shingle_hashes
-from shelfmine.session import cut_lineage
+from shelfmine.session import cut_lineage, drop_steps
 
 SKETCH = 64
 DEPTH = 5
@@ -114,16 +114,18 @@ def paths(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(walk, "node bigint, run int, paths array<bigint>")
 
 
-def buckets(rest: DataFrame, depth: int, bucket: int, dense: float) -> DataFrame:
-    """``(node, run, bucket, n)``: the bucket in which each text ends in each run, where it has company there."""
-    ended = []
+def buckets(rest: DataFrame, depth: int, bucket: int, dense: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``(node, run, bucket, n)``: the bucket in which each text ends in each run, where it has company there; and the
+    tables that this reads."""
+    ended, splits = [], []
     for d in range(depth):
         here = rest.withColumns({"bucket": F.col("paths")[d], "child": F.col("paths")[min(d + 1, depth - 1)]})
         children = here.groupBy("bucket", "child").agg(F.count(F.lit(1)).alias("n"))
         sizes = children.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1")
         met = here.join(sizes, "bucket")
         stop = (F.col("n") <= bucket) | (F.col("most") >= dense * F.col("n")) | F.lit(d == depth - 1)
-        split = cut_lineage(met.withColumn("stop", stop), "split")
+        split = cut_lineage(met.withColumn("stop", stop).drop("child"), "split")
+        splits.append(split)
         ended.append(split.where("stop").select("node", "run", "bucket", "n"))
         rest = split.where(~F.col("stop")).select("node", "run", "paths")
         if d == depth - 1 or rest.isEmpty():
@@ -131,7 +133,7 @@ def buckets(rest: DataFrame, depth: int, bucket: int, dense: float) -> DataFrame
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
-    return out
+    return out, splits
 
 
 def cells(ended: DataFrame, bucket: int) -> DataFrame:
@@ -258,7 +260,10 @@ def links(
         .agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")),
         "nodes",
     )
-    ended = cut_lineage(buckets(cut_lineage(paths(nodes, runs, DEPTH), "paths"), DEPTH, bucket, DENSE), "buckets")
+    walked = cut_lineage(paths(nodes, runs, DEPTH), "paths")
+    found, splits = buckets(walked, DEPTH, bucket, DENSE)
+    ended = cut_lineage(found, "buckets")
+    drop_steps(walked, *splits)
     at_runs = F.map_from_entries(F.collect_list(F.struct("run", "bucket")))
     ends = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.col("at")[r], F.lit(0).cast("long")))
     known = ended.groupBy("node").agg(at_runs.alias("at")).select("node", ends.alias("ends")).join(nodes, "node")
@@ -273,6 +278,7 @@ def links(
     kinds = "cell bigint, run int, block int, node bigint, first bigint, copies bigint, sketch binary, ends array<bigint>"
     columns = [k.split()[0] for k in kinds.split(", ")]
     needed = cut_lineage(by_cell(placed.select(*columns)).mapInArrow(need, kinds), "needed")
+    drop_steps(ended, nodes)
 
     text = F.coalesce(docs[text_col], F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("own"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -305,7 +311,9 @@ def links(
             )
 
     found = by_cell(needed.join(texts, "node").select(*columns, "text")).mapInArrow(verify, "node bigint, root bigint, links bigint")
-    return rows, cut_lineage(found, "links")
+    found = cut_lineage(found, "links")
+    drop_steps(needed, texts)
+    return rows, found
 
 
 def classes(

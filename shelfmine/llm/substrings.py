@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.llm.common import as_bytes, mixed, pieces, word_lists
 from shelfmine.llm.shingles import SIMILARITY, WORDS, WordHashes, shingle_hashes
-from shelfmine.session import cut_lineage
+from shelfmine.session import cut_lineage, drop_steps
 
 # shortest passage, in words
 LEAST = 50
@@ -215,8 +215,10 @@ def repeats(
     shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
     # only windows whose signature two documents have; they are few, and everything after works on them
     met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at"), "met")
+    drop_steps(found)
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
     asked = cut_lineage(regions(met.where("rid <> hub").join(hubs, "key"), least, words), "regions")
+    drop_steps(met)
 
     texts = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     needed = asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))).distinct()
