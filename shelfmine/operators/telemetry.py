@@ -223,12 +223,38 @@ def dashboard(metrics: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def display_judged(metrics: DataFrame) -> DataFrame:
-    """Quality, count and percent text for display."""
-    rows = judged_distribution(metrics)
-    return rows.select(
-        F.col("score").alias("quality"), "count", F.concat(F.col("percentage").cast("string"), F.lit("%")).alias("percent")
+def dashboard_table(metrics: DataFrame) -> DataFrame:
+    """The counting roll-ups as one tall table ``(panel, position, label, count)``."""
+    ratings = rating_distribution(metrics).select(F.lit("ratings").alias("panel"), F.col("stars").alias("position"), F.col("stars").cast("string").alias("label"), "count")
+    latency = latency_buckets(metrics).select(F.lit("latency").alias("panel"), "position", F.col("bucket").alias("label"), "count")
+    judged = judged_distribution(metrics).select(F.lit("relevance").alias("panel"), F.lit(0).alias("position"), F.col("score").alias("label"), "count")
+    tools = tool_usage(metrics).select(F.lit("tools").alias("panel"), F.lit(0).alias("position"), F.col("tool").alias("label"), F.col("calls").alias("count"))
+    return ratings.unionByName(latency).unionByName(judged).unionByName(tools)
+
+
+def display_retries(metrics: DataFrame, digits: int = 2) -> DataFrame:
+    """``(position, metric, value)`` texts of the retry counts; no row if nothing was retried."""
+    stats = retry_stats(metrics, digits).where(F.col("total_retries") > 0)
+    text = lambda name: F.col(name).cast("string")
+    worked = F.concat(text("successful_retries"), F.lit(" ("), F.format_string(f"%.{digits}f", "retry_success_rate"), F.lit("%)"))
+    rows = (
+        ("total retries", text("total_retries")),
+        ("successful retries", worked),
+        ("failed retries", text("failed_retries")),
+        ("fallback to context", text("fallback_to_context")),
     )
+    return stats.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), v.alias("value")) for i, (m, v) in enumerate(rows)])))
+
+
+def display_latency(metrics: DataFrame) -> DataFrame:
+    """``(position, range, count)`` of the latency buckets."""
+    return latency_buckets(metrics).select("position", F.col("bucket").alias("range"), "count")
+
+
+def display_errors(metrics: DataFrame) -> DataFrame:
+    """The last five failures as lines of text, newest first."""
+    errors = recent_errors(metrics, limit=5)
+    return errors.select("timestamp", F.concat(F.lit("Query: "), "query", F.lit("\nError: "), "error").alias("line"))
 
 
 def display_ratings(metrics: DataFrame) -> DataFrame:

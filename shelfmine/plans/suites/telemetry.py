@@ -178,3 +178,50 @@ FROM range(1, 6) r(stars) LEFT JOIN m ON user_rating = stars GROUP BY stars""",
 )
 def display_ratings(spark, folder):
     return tm.display_ratings(metrics(spark, folder))
+
+
+BUCKETS_SQL = """(VALUES (0, '< 1s', 0, 1000), (1, '1s - 2s', 1000, 2000), (2, '2s - 5s', 2000, 5000),
+(3, '5s - 10s', 5000, 10000), (4, '> 10s', 10000, 1e18)) t(position, label, lo, hi)"""
+
+
+@register(
+    "dashboard_table",
+    f"""WITH {M}
+SELECT 'ratings' AS panel, stars::INT AS position, stars::VARCHAR AS label, count(user_rating) AS count
+FROM range(1, 6) r(stars) LEFT JOIN m ON user_rating = stars GROUP BY stars
+UNION ALL SELECT 'latency', position, label, count(latency_ms) FROM {BUCKETS_SQL} LEFT JOIN m ON latency_ms >= lo AND latency_ms < hi GROUP BY position, label
+UNION ALL SELECT 'relevance', 0, score, count(*) FROM m WHERE score <> 'NOT_JUDGED' GROUP BY score
+UNION ALL SELECT 'tools', 0, tool, count(*) FROM (SELECT unnest(tool_calls) AS tool FROM m) GROUP BY tool""",
+)
+def dashboard_table(spark, folder):
+    return tm.dashboard_table(metrics(spark, folder))
+
+
+@register(
+    "display_retries",
+    f"""WITH {M}, r AS (SELECT count(*) FILTER (retry_attempted) AS t, count(*) FILTER (retry_attempted AND retry_results > 0) AS g,
+count(*) FILTER (retry_attempted AND coalesce(retry_results, 0) = 0) AS f, count(*) FILTER (fallback_to_context) AS c FROM m)
+SELECT unnest([0, 1, 2, 3])::INT AS position, unnest(['total retries', 'successful retries', 'failed retries', 'fallback to context']) AS metric,
+unnest([t::VARCHAR, g || ' (' || printf('%.2f', round(g * 100.0 / t, 2)) || '%)', f::VARCHAR, c::VARCHAR]) AS value FROM r WHERE t > 0""",
+)
+def display_retries(spark, folder):
+    return tm.display_retries(metrics(spark, folder))
+
+
+@register(
+    "display_latency",
+    f"""WITH {M} SELECT position, label AS range, count(latency_ms) AS count FROM {BUCKETS_SQL}
+LEFT JOIN m ON latency_ms >= lo AND latency_ms < hi GROUP BY position, label""",
+)
+def display_latency(spark, folder):
+    return tm.display_latency(metrics(spark, folder))
+
+
+@register(
+    "display_errors",
+    f"""WITH {M} SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp,
+'Query: ' || left(query, 100) || chr(10) || 'Error: ' || error_message AS line FROM (
+SELECT * FROM (SELECT * FROM m ORDER BY m.timestamp DESC, query_id DESC LIMIT 50) WHERE NOT success ORDER BY timestamp DESC, query_id DESC LIMIT 5)""",
+)
+def display_errors(spark, folder):
+    return tm.display_errors(metrics(spark, folder))
