@@ -83,6 +83,9 @@ def term_stats(index: LexicalIndex) -> DataFrame:
     return document_frequency(index.postings).select("term", "df", idf_of(n, F.col("df")).alias("idf"))
 
 
+# vocabularies up to this size are pushed to the reader of a stored index
+PUSHED_TERMS = 1_000
+
 # No token is empty, so the empty term can mark one row per chunk that carries its length.
 LENGTH_MARK = ""
 
@@ -108,6 +111,15 @@ def term_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float
     return tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
 
 
+def _pushed(postings: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
+    """The postings behind a filter on the query terms that reaches the reader, if these are few.
+
+    Stored postings are sorted by term inside their files, so page and row-group statistics skip what no query asks.
+    """
+    words = [r[0] for r in vocabulary.limit(PUSHED_TERMS + 1).collect()] if small else []
+    return postings.where(F.col("term").isin(words)) if 0 < len(words) <= PUSHED_TERMS else postings
+
+
 def bm25_scores(
     queries: DataFrame, index: LexicalIndex, text_col: str = "query", k1: float = K1, b: float = B
 ) -> DataFrame:
@@ -124,7 +136,7 @@ def bm25_scores(
     vocabulary = terms.select("term").distinct()
     if index.term_stats is not None:
         corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
-        wanted = join_small(index.postings, vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
+        wanted = join_small(_pushed(index.postings, vocabulary, small), vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
         stats = join_small(index.term_stats, vocabulary, ["term"], "term", "left_semi", fits=small)
     else:
         # The texts are tokenised once: what the queries need of them is written, and read three times.
@@ -143,9 +155,15 @@ def bm25_scores(
 
     # one row per vocabulary term, hence no larger than the counted query terms
     weighted_terms = join_small(terms, stats.select("term", "idf"), ["term"], "qid", fits=small)
-    hits = join_small(wanted, weighted_terms, ["term"], "chunk_id", fits=small)
     if by_slug:
-        hits = hits.where(F.col("only_slug").isNull() | (F.col("only_slug") == F.col("slug")))
+        # a bound query only ever meets the postings of its own slug
+        bound = weighted_terms.where(F.col("only_slug").isNotNull()).withColumnRenamed("only_slug", "slug")
+        free = weighted_terms.where(F.col("only_slug").isNull()).drop("only_slug")
+        hits = join_small(wanted, bound, ["term", "slug"], "chunk_id", fits=small).unionByName(
+            join_small(wanted, free, ["term"], "chunk_id", fits=small)
+        )
+    else:
+        hits = join_small(wanted, weighted_terms, ["term"], "chunk_id", fits=small)
     part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     return hits.groupBy("qid", "slug", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 

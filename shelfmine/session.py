@@ -15,6 +15,8 @@ def get_session(app_name: str = "shelfmine", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # lists of query terms reach the Parquet reader as they are, not as the range that they span
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
     )
     if master:
         builder = builder.master(master)

@@ -1,7 +1,8 @@
 """Persistent keyword index: bucketed parquet tables.
 
 Postings are bucketed by chunk and sorted by term inside a bucket. The score of a (query, chunk) pair is then
-summed without an exchange, and row-group statistics on the sorted terms skip most of a bucket.
+summed without an exchange. Vocabularies of up to 1,000 terms are pushed to the reader, where the statistics of the
+sorted terms skip pages and row groups; larger ones read all postings.
 """
 
 from __future__ import annotations
@@ -92,6 +93,3 @@ def empty_index(spark: SparkSession) -> LexicalIndex:
     nothing = spark.createDataFrame([], "chunk_id string, slug string, text string")
     return build_index(nothing)
 
-
-def index_sizes(index: LexicalIndex) -> DataFrame:
-    return index.lengths.agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens"))

@@ -98,6 +98,7 @@ def test_written_index_gives_the_same_ranking_without_exchange(spark):
     scores = lexical.bm25_scores(queries, stored)
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" not in plan and "hashpartitioning(chunk_id" not in plan
+    assert "PushedFilters: [In(term, [rabbit,white])" in plan or "PushedFilters: [In(term, [white,rabbit])" in plan
     index_store.drop_index(spark, "ix_test")
     with pytest.raises(index_store.IndexNotFound):
         index_store.open_index(spark, "ix_test")
