@@ -283,8 +283,9 @@ def links(
     text = F.coalesce(docs[text_col], F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("own"), F.xxhash64(text).alias("key"), text.alias("text"))
     wanted = needed.select("node", "first").distinct()
-    # one text of each node, from the row of its smallest id; rows that repeat id and text are one
-    texts = texts.join(wanted, (F.col("key") == F.col("node")) & F.col("own").eqNullSafe(F.col("first")))
+    # one text of each node, from the row of its smallest id; rows that repeat id and text are one. A merge join at any
+    # size: the wanted nodes grow with the corpus
+    texts = texts.join(wanted.hint("merge"), (F.col("key") == F.col("node")) & F.col("own").eqNullSafe(F.col("first")))
     texts = cut_lineage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +375,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = F.coalesce(docs[text_col], F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
-    stay = rows.where("words").join(kept, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("node") == F.col("key")))
+    stay = rows.where("words").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("node") == F.col("key")))
     once = stay.where("times = 1").select("row")
     several = stay.where("times > 1").dropDuplicates(["doc_id", "node"]).select("row")
     return once.unionByName(several).unionByName(rows.where("not words").select("row")).select("row.*")
