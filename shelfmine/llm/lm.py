@@ -34,6 +34,10 @@ TAIL = 128
 WIDTH = 24
 NOISE = 48
 BATCH = 2_048
+# tokens of a task that are brought together before it steps over them
+CHUNK = 2_000_000
+# of the class streams that are unpacked at a time
+STREAM_BYTES = 1024 * 1024
 PASSES = 2
 RATE = 0.1
 # words counted or remembered by a task before it passes them on
@@ -48,7 +52,10 @@ def tail_class(word: bytes) -> int:
 
 @dataclass
 class Vocabulary:
-    """What every task knows: frequent words with class and count, and the mass of each tail class."""
+    """What every task knows: frequent words with class and count, and the mass of each tail class.
+
+    The end token is always the first word, and class 0.
+    """
 
     place: dict[bytes, int]
     classes: np.ndarray
@@ -57,10 +64,6 @@ class Vocabulary:
     tokens: int
     types: int
 
-    @property
-    def end(self) -> int:
-        return 0  # the end token is always the first word of the shortlist
-
     def shares(self) -> np.ndarray:
         """Class probabilities without context; tail classes hold an unknown word each."""
         mass = self.mass + np.where(np.arange(CLASSES) >= SHORTLIST, SMOOTHING, 0.0)
@@ -164,16 +167,27 @@ class Trainer:
         self.squares = [np.full(x.shape, 1e-3, np.float32) for x in (model.q, model.b, model.r, model.c)]
         self.tokens = 0
 
-    def step(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-        m, n = self.m, len(w)
+    def learn(self, trigrams: np.ndarray) -> None:
+        """Steps over all tokens, given as (class, last class, class before) in one number; equal ones are one row with
+        a weight."""
+        seen, weight = np.unique(trigrams, return_counts=True)
+        order = self.rng.permutation(len(seen))
+        seen, weight = seen[order], weight[order].astype(np.float32)
+        for a in range(0, len(seen), BATCH):
+            part = seen[a : a + BATCH]
+            pair = part % (CLASSES * CLASSES)
+            self.step(part // (CLASSES * CLASSES), pair // CLASSES, pair % CLASSES, weight[a : a + BATCH])
+
+    def step(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> None:
+        m, n = self.m, weight.sum()
         noise = self.rng.choice(CLASSES, NOISE, p=self.shares)
         ru, rv = m.r[u], m.r[v]
         h = m.c[0] * ru + m.c[1] * rv
         qw, qn = m.q[w], m.q[noise]
         true = (h * qw).sum(1) + m.b[w] - self.log_noise[w]
         false = h @ qn.T + (m.b[noise] - self.log_noise[noise])
-        g = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gn = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        g = weight / (1 + np.exp(np.clip(true, -30, 30)))
+        gn = -weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
         dh = g[:, None] * qw + gn @ qn
         dq = summed(np.c_[g[:, None] * h, g], w, CLASSES)
         np.add.at(dq, noise, np.c_[gn.T @ h, gn.sum(0)])
@@ -183,24 +197,33 @@ class Trainer:
             d = d / n
             s += d * d
             x += RATE * d / np.sqrt(s)
-        self.tokens += n
+        self.tokens += int(n)
+
 
+def streams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of all tokens, and the bounds of the texts, for some texts at a time."""
+    for codes in pieces(column.to_pylist(), STREAM_BYTES):
+        bounds = np.cumsum([0, *(len(c) // 2 for c in codes)])
+        yield np.frombuffer(b"".join(codes), dtype="<i2").astype(np.int64), bounds
 
-def train(texts: DataFrame, vocabulary, model: Model, shares: np.ndarray) -> Model:
+
+def train(codes: DataFrame, model: Model, shares: np.ndarray) -> Model:
     """One pass over all training tokens, in every task from ``model``; the average of what the tasks reached."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = codes.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
-        reader = Reader(vocabulary.value)
         trainer = Trainer(Model(start.q.copy(), start.b.copy(), start.r.copy(), start.c.copy()), shares)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for piece in pieces(as_bytes(batch.column(0))):
-                _, places, bounds = reader.stream(piece)
-                w = reader.classes[places]
-                u, v = contexts(w, bounds, vocabulary.value.end)
-                for a in range(0, len(w), BATCH):
-                    trainer.step(w[a : a + BATCH], u[a : a + BATCH], v[a : a + BATCH])
+            for w, bounds in streams(batch.column(0)):
+                u, v = contexts(w, bounds, 0)
+                held.append(((w * CLASSES + u) * CLASSES + v).astype(np.int32))
+                if sum(map(len, held)) > CHUNK:
+                    trainer.learn(np.concatenate(held))
+                    held = []
+        if held:
+            trainer.learn(np.concatenate(held))
         if trainer.tokens:
             rows = trainer.m.rows()
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +232,7 @@ def train(texts: DataFrame, vocabulary, model: Model, shares: np.ndarray) -> Mod
             )
 
     size = 2 * WIDTH + 1
-    reached = texts.mapInArrow(learn, "row int, numbers array<double>, weight double").groupBy("row").agg(
+    reached = codes.mapInArrow(learn, "row int, numbers array<double>, weight double").groupBy("row").agg(
         F.sum("weight").alias("weight"), *(F.sum(F.col("numbers")[i] * F.col("weight")).alias(f"n{i}") for i in range(size))
     )
     # one row per class, whatever the input
@@ -302,32 +325,35 @@ class Scorer:
         return out / math.log(10)
 
 
-def scored(rows: DataFrame, vocabulary, model: Model) -> DataFrame:
-    """Sums over the tokens that a task knows, with the other words of each row and how often they stand there."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+ENCODED = (
+    "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, inside double, "
+    "words array<binary>, times array<bigint>, codes binary"
+)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoded(rows: DataFrame, vocabulary) -> DataFrame:
+    """Per row: the classes of its tokens, sums over the frequent words, and the other words with their counts."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        reader, scorer = Reader(vocab), Scorer(shared.value)
+        reader = Reader(vocab)
         first_tail = reader.first_tail
         own = np.r_[np.log10(vocab.counts + SMOOTHING), np.zeros(TAIL)]
         # of a word in its class: its own part comes from the counts, the class's part is known here
-        inside = np.where(reader.classes < SHORTLIST, 0.0, -np.log10(vocab.tail_mass[reader.classes]))
-        inside += np.where(reader.classes < SHORTLIST, 0.0, own)
+        inside = np.where(reader.classes < SHORTLIST, 0.0, own - np.log10(vocab.tail_mass[reader.classes]))
         known = np.r_[vocab.counts > 0, np.zeros(TAIL, dtype=bool)]
         whole = math.log10(vocab.tokens + SMOOTHING * (vocab.types + 1))
         for batch in batches:
             done = 0
             for piece in pieces(as_bytes(batch.column(1))):
                 docs, places, bounds = reader.stream(piece)
-                w = reader.classes[places]
-                logs = scorer.log10(w, *contexts(w, bounds, vocab.end)) + inside[places]
                 add = lambda x: np.add.reduceat(x, bounds[:-1])
                 n = np.diff(bounds)
                 rare = [
                     Counter(doc[i] for i in np.flatnonzero(places[a : b - 1] >= first_tail))
                     for doc, a, b in zip(docs, bounds, bounds[1:])
                 ]
+                raw = reader.classes[places].astype("<i2").tobytes()
                 ids = batch.column(0).slice(done, len(piece))
                 done += len(piece)
                 yield pa.RecordBatch.from_arrays(
@@ -336,17 +362,34 @@ def scored(rows: DataFrame, vocabulary, model: Model) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(add(known[places].astype(np.int64)), pa.int64()),
                         pa.array(add(own[places]) - n * whole, pa.float64()),
-                        pa.array(add(logs), pa.float64()),
+                        pa.array(add(inside[places]), pa.float64()),
                         pa.array([list(c.keys()) for c in rare], pa.list_(pa.binary())),
                         pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
+                        pa.array([raw[2 * a : 2 * b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
                     ],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "words", "times"],
+                    names=[c.split()[0] for c in ENCODED.split(", ")],
                 )
 
-    return rows.mapInArrow(
-        score,
-        "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, words array<binary>, times array<bigint>",
-    ).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(encode, ENCODED).withColumn("row", F.monotonically_increasing_id())
+
+
+def class_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with ``logs`` in place of ``codes``: the sum of the log10 probabilities of the tokens' classes."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in rows.columns if c != "codes"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            done = 0
+            for w, bounds in streams(batch.column("codes")):
+                part = batch.slice(done, len(bounds) - 1)
+                done += len(bounds) - 1
+                logs = np.add.reduceat(scorer.log10(w, *contexts(w, bounds, 0)), bounds[:-1])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(logs)], names=[*kept, "logs"])
+
+    return rows.select(*kept, "codes").mapInArrow(score, f"{kinds}, logs double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, passes: int = PASSES) -> DataFrame:
@@ -356,28 +399,28 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     the fold of the text "null". An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    training = rows.where(fold(F.col("doc_id"), folds) != 0).select("text")
-    counts = cut_lineage(word_counts(training), "words")
+    training = fold(F.col("doc_id"), folds) != 0
+    counts = cut_lineage(word_counts(rows.where(training).select("text")), "words")
     vocabulary = vocabulary_of(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    # texts are read once into classes; the numbers of the rows are kept with them, so a lost task cannot change them
+    coded = cut_lineage(encoded(rows, docs.sparkSession.sparkContext.broadcast(vocabulary)), "codes")
     shares = vocabulary.shares()
     model = Model.start(shares)
     for _ in range(passes):
-        model = train(training, shared, model, shares)
-    # the numbers of the rows are kept with them, so a lost task cannot give a row another number
-    partial = cut_lineage(scored(rows, shared, model), "scores")
-    rest = partial.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
+        model = train(coded.where(training).select("codes"), model, shares)
+    rest = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     found = rest.join(counts, rest["words"] == counts["word"], "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))).alias("logs"),
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))).alias("own"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
     )
-    logs = F.coalesce("logs", F.lit(0.0))
-    return partial.join(found, "row", "left").select(
+    own = F.coalesce("own", F.lit(0.0))
+    made = class_scores(coded.select("row", "doc_id", "n_tokens", "n_known", "base_score", "inside", "codes"), model)
+    return made.join(found, "row", "left").select(
         "doc_id",
-        (fold(F.col("doc_id"), folds) == 0).alias("held_out"),
+        (~training).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+        (F.col("base_score") + own).alias("base_score"),
+        (F.col("logs") + F.col("inside") + own).alias("score"),
     )
