@@ -11,14 +11,14 @@ def test_compact_windows_by_definition(seed):
     sizes = rng.integers(0, 60, 6)
     values = rng.permutation(int(sizes.sum()) + 1)[: sizes.sum()].astype(np.uint64) + np.uint64(1)
     bounds = np.cumsum(np.r_[0, sizes])
-    got = sorted(zip(*(x.tolist() for x in substrings.compact_windows(values, bounds, 9))))
+    got = sorted(zip(*(x.tolist() for x in substrings.compact_windows(values, bounds, 9, 12))))
     want = []
     for a, b in zip(bounds, bounds[1:]):
         for c in range(a, b):
             low = max([j + 1 for j in range(a, c) if values[j] < values[c]], default=a)
             high = min([j - 1 for j in range(c + 1, b) if values[j] < values[c]], default=b - 1)
             if high - low + 1 >= 9:
-                want.append((c, low, high))
+                want.append((c, max(low, c - 12), min(high, c + 12)))
     assert got == want
 
 
