@@ -29,6 +29,8 @@ END = b"\n"
 # frequent words that every task knows, so that only the others are looked up by a join; longer ones are not sent
 HOT_WORDS = 100_000
 HOT_BYTES = 64
+# steps of the histogram of counts for each doubling
+LEVELS = 16
 SHORTLIST = 384
 TAIL = 128
 WIDTH = 24
@@ -267,12 +269,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     """The bounded part of the counts: frequent words, sums by class, totals."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = (
-        counts.where((F.length("word") <= HOT_BYTES) & (F.col("word") != F.lit(END)))
-        .orderBy(F.desc("n"), "word")
-        .limit(HOT_WORDS)
-        .collect()
+    # frequent words are those above a count that at most HOT_WORDS reach: a histogram of counts finds it, so no task
+    # sends its own list of candidates
+    usable = counts.where((F.length("word") <= HOT_BYTES) & (F.col("word") != F.lit(END))).withColumn(
+        "level", F.floor(F.log2(F.col("n").cast("double")) * LEVELS)
     )
+    sizes = {r["level"]: r["v"] for r in usable.groupBy("level").agg(F.count(F.lit(1)).alias("v")).collect()}
+    least, reached = None, 0
+    for level in sorted(sizes, reverse=True):
+        reached += sizes[level]
+        if reached > HOT_WORDS:
+            break
+        least = level
+    top = usable.where(F.col("level") >= least).collect() if least is not None else []
+    top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     ends = counts.where(F.col("word") == F.lit(END)).collect()
     words = [END, *(bytes(r["word"]) for r in top)]
     n = np.array([ends[0]["n"] if ends else 0, *(r["n"] for r in top)], dtype=np.int64)
