@@ -124,9 +124,13 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, folds: int, pe
         .agg(F.max("label").alias("label"))
     )
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [
-        rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)
-    ]
+    size = 2**40
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    # twice the share that is wanted: so many rows of the smallest hashes are there for sure, and few reach the sort
+    part = lambda label: rows.where(
+        (F.col("label") == label) & (F.col("place") <= size * (2 * per_label + 100) // max(totals.get(label, 0), 1))
+    )
+    parts = [part(label).orderBy("place", "doc_id").limit(per_label).drop("place") for label in (0, 1)]
     return parts[0].unionByName(parts[1]), totals
 
 
