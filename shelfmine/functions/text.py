@@ -230,16 +230,6 @@ def code_blocks(text: Column, default_language: str = "unknown") -> Column:
     )
 
 
-def valid_slug(slug: Column) -> Column:
-    """Lower-case letters, digits, ``_`` and ``-``; 2 to 20 characters."""
-    return slug.rlike("^[a-z0-9_-]+$") & F.length(slug).between(2, 20)
-
-
-def without_nulls(text: Column) -> Column:
-    """Remove null characters, which text stores refuse."""
-    return F.replace(text, F.lit("\u0000"), F.lit(""))
-
-
 def extractive_summary(text: Column) -> Column:
     """Offline stand-in summary: the second sentence when there are more than two, else the first."""
     pick = lambda sentences: F.get(sentences, F.when(F.size(sentences) > 2, 1).otherwise(0))

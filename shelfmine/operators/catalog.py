@@ -64,11 +64,6 @@ def resolve(identifiers: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def existing(identifiers: DataFrame, documents: DataFrame) -> DataFrame:
-    """Identifiers whose slug is in the catalogue."""
-    return identifiers.join(documents.select(F.col("slug").alias("identifier")), "identifier", "left_semi")
-
-
 def has_summaries(documents: DataFrame, document_summaries: DataFrame) -> DataFrame:
     return documents.join(document_summaries.select("book_id"), "book_id", "left_semi")
 

@@ -163,11 +163,6 @@ def rule_judgement(query: Column, response: Column) -> Column:
     return F.when(share >= 0.75, F.lit("EXCELLENT")).when(share >= 0.4, F.lit("ADEQUATE")).otherwise(F.lit("POOR"))
 
 
-def clean_rephrasing(text: Column) -> Column:
-    """Model output without surrounding white space and quotes."""
-    return F.btrim(strip(text), F.lit("\"'"))
-
-
 def price_per_thousand(model: Column) -> Column:
     """Token price in the reporting currency."""
     price = F.lit(DEFAULT_PRICE)
@@ -196,8 +191,3 @@ class ProviderChoice:
         if self.allow_fallback and not self.private and name != "openai" and available.get("openai", False):
             return "openai"
         raise RuntimeError(f"no available provider, tried {name}")
-
-
-def local_model(query: Column, fast: str = "llama3.2:3b", large: str = "llama3.1:8b") -> Column:
-    """Comparisons go to the larger local model."""
-    return F.when(is_comparison(query), F.lit(large)).otherwise(F.lit(fast))

@@ -14,6 +14,8 @@ from shelfmine.session import cut_lineage
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALT_BUCKETS = 32
+# rows of the large side from which a key is hot
+HOT_ROWS = 1_000_000
 BLOCK_ROWS = 100_000
 
 
@@ -37,12 +39,13 @@ def join_small(
     how: str = "inner",
     fits: bool | None = None,
     null_safe: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large table with a usually small one.
 
-    The small side is broadcast when its counted size fits. Beyond that, both sides are shuffled with a salt:
-    rows of a hot key on the big side spread over ``SALT_BUCKETS`` tasks by the hash of ``salt_on``.
-    Every row of the big side has exactly one salt and meets a full copy of its key's small rows, so inner,
+    The small side is broadcast when its counted size fits. Beyond that both sides are shuffled. Keys that at least
+    ``hot_rows`` rows of the big side share get a salt: their rows spread over ``SALT_BUCKETS`` tasks by the hash of
+    ``salt_on``. Every row of the big side has exactly one salt and meets all small rows of its key, so inner,
     left, semi and anti joins are exact. ``null_safe`` matches null keys with each other, as groups do.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -51,8 +54,16 @@ def join_small(
         fits = fits_broadcast(small)
     if fits:
         return _joined(big, F.broadcast(small), keys, how, null_safe)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALT_BUCKETS)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+    # only keys that many rows of the big side share are salted, and only their rows of the small side are copied
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(salt_on), F.lit(SALT_BUCKETS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))
+    marked = lambda df: _joined(df, hot, keys, "left", null_safe=True)
+    salted_big = marked(big).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    salted_small = marked(small).withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
     return _joined(salted_big, salted_small, [*keys, "_salt"], how, null_safe).drop("_salt")
 
 

@@ -123,10 +123,6 @@ def newest(metrics: DataFrame, limit: int) -> DataFrame:
     return metrics.orderBy(F.desc("timestamp"), F.desc("query_id")).limit(limit)
 
 
-def recent_metrics(metrics: DataFrame, limit: int = 100) -> DataFrame:
-    return newest(metrics, limit)
-
-
 def rating_label(rating: Column) -> Column:
     stars = F.concat(F.repeat(F.lit("⭐"), rating), F.lit(" ("), rating, F.lit("/5)"))
     return F.when(rating.isNull(), F.lit("○ Not rated")).otherwise(stars)

@@ -164,6 +164,20 @@ def documents_with_summaries(spark, folder):
     return catalog.has_summaries(books(spark, folder), known).select("slug")
 
 
+@register(
+    "not_yet_summarised",
+    f"WITH {BOOKS} SELECT slug FROM books WHERE book_id NOT IN (SELECT doc_id + 1 FROM labels)",
+)
+def not_yet_summarised(spark, folder):
+    from dataclasses import replace
+
+    from shelfmine.plans import ingest
+
+    known = table(spark, folder, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"))
+    stores = replace(ingest.empty_stores(spark), document_summaries=known.withColumn("summary", F.lit("x")))
+    return ingest.not_yet_summarised(books(spark, folder), stores).select("slug")
+
+
 CANDIDATE_SQL = "CASE doc_id % 5 WHEN 0 THEN ' D' || (doc_id + 1) || ' ' WHEN 1 THEN left(text, 12) WHEN 2 THEN 'x' WHEN 3 THEN 'fresh_' || doc_id ELSE '' END"
 
 
