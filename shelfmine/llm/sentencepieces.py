@@ -20,7 +20,7 @@ from shelfmine.llm.common import as_bytes, pieces
 
 SPACE = "▁"
 # words, and pairs of pieces, that a task remembers
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 KNOWN_PAIRS = 2_000_000
 
 IDS = "doc_id bigint, ids array<int>, n_ids bigint, restored boolean"
@@ -149,9 +149,9 @@ class Encoder:
 
         first, last = bound(self.low_keys, False), bound(self.high_keys, True)
         count = last - first
-        piece = np.repeat(np.arange(len(self.texts)), count)
+        piece = np.repeat(np.arange(len(self.texts), dtype=np.int32), count)
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return suffixes[at], piece
+        return suffixes.astype(np.int32)[at], piece
 
     def stays_apart(self, key: int) -> bool:
         known = self.apart.get(key)
@@ -172,13 +172,14 @@ class Encoder:
         start, piece = self.edges(text)
         # a character of no piece is an edge of its own; it never joins its neighbours
         none = len(self.texts)
-        lone = np.flatnonzero(text == 1)
-        start, piece = np.r_[start, lone], np.r_[piece, np.full(len(lone), none)]
-        length = np.r_[self.lengths, 1][piece]
-        word = np.repeat(np.arange(len(words)), sizes + 1)[start]
-        end = start + length - starts[word]
+        lone = np.flatnonzero(text == 1).astype(np.int32)
+        start, piece = np.r_[start, lone], np.r_[piece, np.full(len(lone), none, dtype=np.int32)]
+        length = np.r_[self.lengths, 1].astype(np.int32)[piece]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes + 1)[start]
+        end = start + length - starts.astype(np.int32)[word]
         # by end, then word, longer pieces first
-        order = np.argsort((end * len(words) + word) * (self.longest + 1) + self.longest - length)
+        order = np.argsort((end * np.int64(len(words)) + word) * (self.longest + 1) + self.longest - length)
+        del length
         start, piece, word, end = start[order], piece[order], word[order], end[order]
         last = np.full(len(text) + 1, -1, dtype=np.int64)  # by place: the piece that ends there
         steps = np.searchsorted(end, np.arange(1, (end.max() if len(end) else 0) + 2))
@@ -192,7 +193,7 @@ class Encoder:
                 free = first | (before == none) | (piece[lead] == none)
                 good = free & (first | (before >= 0))
                 ask = ~free & (before >= 0)
-                keys, back = np.unique(before[ask] * none + piece[lead[ask]], return_inverse=True)
+                keys, back = np.unique(before[ask] * np.int64(none) + piece[lead[ask]], return_inverse=True)
                 good[ask] = np.fromiter(map(self.stays_apart, keys.tolist()), dtype=bool, count=len(keys))[back]
                 won = lead[good]
                 last[starts[word[won]] + end[won]] = piece[won]
@@ -272,7 +273,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         encoder = Encoder(Vocabulary(model or default_model()))
         for batch in batches:
             done = 0
-            for piece in pieces(as_bytes(batch.column(1)), 2 * 1024 * 1024):
+            for piece in pieces(as_bytes(batch.column(1)), 3 * 1024 * 1024):
                 ids = encoder.encode([t.decode("utf-8", "replace") for t in piece])
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 whole = np.frombuffer(b"".join(ids), dtype="<i4")
