@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import as_bytes, mixed, pieces, word_lists
+from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces, word_lists
 from shelfmine.llm.shingles import SIMILARITY, WORDS, WordHashes, shingle_hashes
 from shelfmine.session import cut_lineage, drop_steps
 
@@ -31,7 +31,8 @@ DRIFT = 16
 # bounds of the first document's part are rounded, so that regions of many documents ask for the same text
 ROUND = 32
 
-WINDOWS = "rid bigint, key bigint, at int, low int, high int"
+# back, forth: how far the window goes on both sides of its place, up to the shortest passage
+WINDOWS = "rid bigint, key bigint, at int, back smallint, forth smallint"
 REGIONS = "rid bigint, hub bigint, low int, high int, hub_low int, hub_high int"
 PASSAGES = "doc_id bigint, rid bigint, start int, stop int, first_doc_id bigint, first_start int, first_stop int"
 
@@ -47,12 +48,12 @@ def sliding(values: np.ndarray, size: int, op: np.ufunc, fill: int) -> np.ndarra
     return op(suffix[: n - size + 1], prefix[size - 1 : n])
 
 
-def compact_windows(values: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, bounds: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places c with the first and last place of their windows, of all texts: the nodes of the Cartesian trees whose
-    subtrees hold ``size`` places or more.
+    subtrees hold ``size`` places or more. Windows are cut off at ``reach`` places from c.
 
     A place is such a node if it is the smallest of some run of ``size`` places. The ancestors of a node are nodes, so
-    the next smaller values on both sides are found among the nodes alone. Equal values count as equally small.
+    the next smaller values on both sides are found among the nodes alone, neighbours first. Values are distinct.
     """
     n = len(values)
     none = np.zeros(0, dtype=np.int64)
@@ -64,25 +65,26 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, size: int) -> tuple[
     inside = np.arange(len(least)) + size <= end[: len(least)]
     runs[size - 1 : size - 1 + len(least)] = np.where(inside, least, 0)
     node = np.flatnonzero(values == sliding(runs, size, np.maximum, 0))
-    low, high = np.empty(len(node), dtype=np.int64), np.empty(len(node), dtype=np.int64)
     doc = np.searchsorted(bounds, node, side="right") - 1
-    height, first, last = values[node].tolist(), bounds[doc].tolist(), bounds[doc + 1].tolist()
-    places = node.tolist()
-    open_: list[int] = []
-    for i, (h, f) in enumerate(zip(height, first)):
-        if open_ and first[open_[-1]] != f:  # the next text
-            for j in open_:
-                high[j] = last[j] - 1
-            open_ = []
-        while open_ and height[open_[-1]] > h:
-            high[open_.pop()] = places[i] - 1
-        low[i] = places[open_[-1]] + 1 if open_ else f
-        open_.append(i)
-    for j in open_:
-        high[j] = last[j] - 1
+    low, high = np.maximum(bounds[doc], node - reach), np.minimum(bounds[doc + 1] - 1, node + reach)
+    height = values[node]
+    for k in range(1, len(node)):
+        left, right = node[:-k], node[k:]
+        near = right - left <= reach
+        if not near.any():
+            break
+        smaller = height[:-k] < height[k:]
+        low[k:] = np.where(near & smaller, np.maximum(low[k:], left + 1), low[k:])
+        high[:-k] = np.where(near & ~smaller, np.minimum(high[:-k], right - 1), high[:-k])
     return node, low, high
 
 
+def leftmost(values: np.ndarray) -> np.ndarray:
+    """The values with the place in their low 20 bits, so that equal ones differ and the first counts as smaller."""
+    low = np.uint64(2**20 - 1)
+    return (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low) | np.uint64(2**20)
+
+
 def row_id(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """64-bit identity of a row by its id and text: rows that repeat both are one document."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -102,58 +104,74 @@ def windows(docs: DataFrame, id_col: str, text_col: str, least: int, functions:
                 values, bounds = shingle_hashes(word_lists(piece), hashes, words)
                 for f in range(functions):
                     key = mixed(values, seed=f + 1)
-                    at, low, high = compact_windows(key, bounds, size)
+                    at, low, high = compact_windows(leftmost(key), bounds, size, size)
                     if len(at) == 0:
                         continue
                     doc = np.searchsorted(bounds, at, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[doc]), pa.array(key[at].view(np.int64))]
-                        + [pa.array((x - bounds[doc]).astype(np.int32)) for x in (at, low, high)],
-                        names=["rid", "key", "at", "low", "high"],
+                        [
+                            pa.array(ids[doc]),
+                            pa.array(key[at].view(np.int64)),
+                            pa.array((at - bounds[doc]).astype(np.int32)),
+                            pa.array((at - low).astype(np.int16)),
+                            pa.array((high - at).astype(np.int16)),
+                        ],
+                        names=["rid", "key", "at", "back", "forth"],
                     )
 
     rows = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[text_col].alias("text"))
     return rows.mapInArrow(cut, WINDOWS)
 
 
-def joined_regions(at: np.ndarray, hub_at: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """Regions ``(first, last, hub first, hub last)`` of places of a pair of documents that follow each other near one
-    diagonal. A region needs ``MIN_HASHES`` places, of whichever functions."""
-    order = np.lexsort((at, (at - hub_at) // DRIFT))
-    found = []
-    for some in np.split(order, np.flatnonzero(np.diff(((at - hub_at) // DRIFT)[order])) + 1):
-        for run in np.split(some, np.flatnonzero(np.diff(at[some]) > least) + 1):
-            found.append((at[run].min(), at[run].max(), hub_at[run].min(), hub_at[run].max(), len(run)))
+def joined_regions(at: np.ndarray, low: np.ndarray, high: np.ndarray, hub_at: np.ndarray, least: int) -> list[tuple[int, ...]]:
+    """Regions ``(low, high, hub first, hub last)`` of windows of a pair of documents that follow each other near one
+    diagonal: the union of the windows, and the places in the other document. A region needs ``MIN_HASHES`` windows."""
+    band = (at - hub_at) // DRIFT
+    order = np.lexsort((at, band))
+    at, low, high, hub_at, band = at[order], low[order], high[order], hub_at[order], band[order]
+    first = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (np.diff(at) > least)])
+    found = zip(
+        at[first].tolist(),
+        np.maximum.reduceat(at, first).tolist(),
+        np.minimum.reduceat(hub_at, first).tolist(),
+        np.maximum.reduceat(hub_at, first).tolist(),
+        np.minimum.reduceat(low, first).tolist(),
+        np.maximum.reduceat(high, first).tolist(),
+        np.diff(np.r_[first, len(at)]).tolist(),
+    )
     # neighbouring diagonals: an inserted word moves the rest of a passage to the next one
-    found.sort()
     out: list[list[int]] = []
-    for a, b, c, d, n in found:
-        near = next((x for x in reversed(out[-8:]) if a - x[1] <= least and abs((a - c) - (x[1] - x[3])) <= 2 * DRIFT and c - x[3] <= least), None)
-        if near is None:
-            out.append([a, b, c, d, n])
+    for a, b, c, d, lo, hi, n in sorted(found):
+        for x in reversed(out[-8:]):
+            if a - x[1] <= least and abs((a - c) - (x[1] - x[3])) <= 2 * DRIFT and c - x[3] <= least:
+                x[:] = [x[0], max(x[1], b), min(x[2], c), max(x[3], d), min(x[4], lo), max(x[5], hi), x[6] + n]
+                break
         else:
-            near[:] = [near[0], max(near[1], b), min(near[2], c), max(near[3], d), near[4] + n]
-    return [(a, b, c, d) for a, b, c, d, n in out if n >= MIN_HASHES]
+            out.append([a, b, c, d, lo, hi, n])
+    return [(x[4], x[5], x[2], x[3]) for x in out if x[6] >= MIN_HASHES]
 
 
 def regions(found: DataFrame, least: int, words: int) -> DataFrame:
-    """Regions of each pair of a document and the first document of its signatures, as ranges of shingles. A range is
-    wider than the windows' places by the shortest passage, as the passage need not end with a place."""
-    pairs = found.groupBy("rid", "hub").agg(F.collect_list(F.struct("at", "hub_at")).alias("places"))
+    """Regions of each pair of a document and the first document of its signatures, as ranges of shingles. The first
+    document's range is wider than its places by the shortest passage, as a passage need not end with a place."""
+    place = F.struct("at", "back", "forth", "hub_at")
+    pairs = found.groupBy("rid", "hub").agg(F.collect_list(place).alias("places")).where(F.size("places") >= MIN_HASHES)
     wide = least - words + 1
+    names = [c.split()[0] for c in REGIONS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for rid, hub, places in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                at = np.array([p["at"] for p in places], dtype=np.int64)
-                hub_at = np.array([p["hub_at"] for p in places], dtype=np.int64)
-                for a, b, c, d in joined_regions(at, hub_at, least):
-                    low, high = max(c - wide, 0) // ROUND * ROUND, -(-(d + wide) // ROUND) * ROUND
-                    rows.append((rid, hub, max(a - wide, 0), b + wide, low, high))
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            columns = zip(*rows) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in REGIONS.split(", ")])
+            places = batch.column(2)
+            edges = places.offsets.to_numpy() - places.offsets[0].as_py()
+            at, back, forth, hub_at = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in places.flatten().flatten())
+            low, high = at - back, at + forth
+            for rid, hub, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edges, edges[1:]):
+                for start, stop, c, d in joined_regions(at[a:b], low[a:b], high[a:b], hub_at[a:b], least):
+                    rows.append((rid, hub, start, stop, max(c - wide, 0) // ROUND * ROUND, -(-(d + wide) // ROUND) * ROUND))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return pairs.mapInArrow(join, REGIONS)
 
@@ -214,7 +232,7 @@ def repeats(
     found = cut_lineage(windows(docs, id_col, text_col, least, functions, words), "windows")
     shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
     # only windows whose signature two documents have; they are few, and everything after works on them
-    met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at"), "met")
+    met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
     drop_steps(found)
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
     asked = cut_lineage(regions(met.where("rid <> hub").join(hubs, "key"), least, words), "regions")
@@ -222,7 +240,8 @@ def repeats(
 
     texts = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     needed = asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))).distinct()
-    texts = cut_lineage(texts.join(needed, "rid").dropDuplicates(["rid"]), "texts")
+    # a merge join at any size: the documents with regions grow with the corpus
+    texts = cut_lineage(texts.join(needed.hint("merge"), "rid").dropDuplicates(["rid"]), "texts")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,24 +257,42 @@ def repeats(
     parts = asked.join(parts, ["hub", "hub_low", "hub_high"])
     grouped = parts.groupBy("rid").agg(F.collect_list(F.struct("low", "high", "hub_low", "first_doc_id", "part")).alias("parts"))
 
+    names = [c.split()[0] for c in PASSAGES.split(", ")]
+    kinds = [pa.int64() if "bigint" in c else pa.int32() for c in PASSAGES.split(", ")]
+
+    def compared(some: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
+        """Passages of some documents; the shingles of all their texts and parts are made together."""
+        texts_ = [t for _, _, text, parts in some for t in (text, *(p["part"] for p in parts))]
+        values, bounds = shingle_hashes(word_lists(texts_), hashes, words)
+        rows, at, more = [], 0, words - 1
+        for rid, doc, _, parts in some:
+            own = values[bounds[at] : bounds[at + 1]]
+            for k, p in enumerate(parts, at + 1):
+                other = values[bounds[k] : bounds[k + 1]]
+                for a, b, c, d in alike(own[p["low"] : p["high"] + 1], other, least, similarity, words):
+                    ends = (a + p["low"], b + p["low"] + more, p["first_doc_id"], c + p["hub_low"], d + p["hub_low"] + more)
+                    rows.append((doc, rid, *ends))
+            at += len(parts) + 1
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for rid, doc, text, asked_ in zip(
-                batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("parts").to_pylist()
-            ):
-                own, _ = shingle_hashes([text.split()], hashes, words)
-                for p in asked_:
-                    other, _ = shingle_hashes([p["part"].split()], hashes, words)
-                    for a, b, c, d in alike(own[p["low"] : p["high"] + 1], other, least, similarity, words):
-                        more = words - 1
-                        rows.append(
-                            (doc, rid, a + p["low"], b + p["low"] + more, p["first_doc_id"], c + p["hub_low"], d + p["hub_low"] + more)
-                        )
-            kinds = [pa.int64() if "bigint" in c else pa.int32() for c in PASSAGES.split(", ")]
-            columns = zip(*rows) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PASSAGES.split(", ")])
+            some, size = [], 0
+            rows = zip(
+                batch.column("rid").to_pylist(),
+                batch.column("doc_id").to_pylist(),
+                as_bytes(batch.column("text")),
+                (x.as_py() for x in batch.column("parts")),
+            )
+            for row in rows:
+                some.append(row)
+                size += len(row[2]) + sum(len(p["part"]) for p in row[3])
+                if size > PIECE_BYTES:
+                    yield compared(some, hashes)
+                    some, size = [], 0
+            yield compared(some, hashes)
 
     return grouped.join(texts, "rid").select("rid", "doc_id", "text", "parts").mapInArrow(verify, PASSAGES)
 
@@ -285,7 +322,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     cut.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), row_id(docs, id_col, text_col).alias("rid")).join(spans, "rid", "left")
+    rows = docs.select(row.alias("row"), row_id(docs, id_col, text_col).alias("rid")).join(spans.hint("merge"), "rid", "left")
     new = F.arrow_udf(cut, "string")(F.col("row")[text_col], F.col("spans"))
     rows = rows.withColumn("new", new)
     changed = F.col("spans").isNotNull()
