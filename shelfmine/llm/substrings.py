@@ -4,12 +4,14 @@ A compact window (l, c, r) of a hash function stands for all subsequences that s
 min-hash is that of the shingle at c. Windows of at least the shortest passage are the large nodes of the Cartesian
 tree over the hashes of a text. Windows of one signature in different documents point to the window of the document
 that holds it first; windows that point to one document close to one diagonal, by enough hash functions, are joined to
-a region, and the texts of the regions are compared in full.
+a region, and the texts of the regions are compared in full. Windows outside the passages found so meet the other places
+of their signature in rounds, until each lies in a passage or has met every earlier place that is no exact copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,15 @@ MIN_HASHES = 2
 DRIFT = 16
 # bounds of the first document's part are rounded, so that regions of many documents ask for the same text
 ROUND = 32
+# places of a signature that the windows left meet in the first further round; each round doubles them
+PLACES = 16
 
 # back, forth: how far the window goes on both sides of its place, up to the shortest passage
 WINDOWS = "rid bigint, key bigint, at int, back smallint, forth smallint"
 REGIONS = "rid bigint, hub bigint, low int, high int, hub_low int, hub_high int"
 PASSAGES = "doc_id bigint, rid bigint, start int, stop int, first_doc_id bigint, first_start int, first_stop int"
+# exact: the passage is the first document's, word by word
+COMPARED = f"{PASSAGES}, exact boolean"
 
 
 def sliding(values: np.ndarray, size: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -213,35 +219,15 @@ def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float, words: in
     return sorted(found)
 
 
-def repeats(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least: int = LEAST,
-    similarity: float = SIMILARITY,
-    functions: int = FUNCTIONS,
-    words: int = WORDS,
-) -> DataFrame:
-    """``(doc_id, rid, start, stop, first_doc_id, first_start, first_stop)``: passages of ``least`` words or more, as
-    ranges of words, that repeat a passage of another document, the one that keeps it.
-
-    Which document keeps a passage goes by a hash of id and text. Rows that repeat both are one document; a null id is
-    an id like others. Null, empty and shorter texts have no passages; an empty table gives an empty result; other
-    columns are not read.
-    """
-    found = cut_lineage(windows(docs, id_col, text_col, least, functions, words), "windows")
-    shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
-    # only windows whose signature two documents have; they are few, and everything after works on them
-    met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
-    drop_steps(found)
-    hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
-    asked = cut_lineage(regions(met.where("rid <> hub").join(hubs, "key"), least, words), "regions")
-    drop_steps(met)
-
+def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(rid, doc_id, text)`` of the documents of ``needed``, one row each."""
     texts = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    needed = asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))).distinct()
     # a merge join at any size: the documents with regions grow with the corpus
-    texts = cut_lineage(texts.join(needed.hint("merge"), "rid").dropDuplicates(["rid"]), "texts")
+    return cut_lineage(texts.join(needed.distinct().hint("merge"), "rid").dropDuplicates(["rid"]), "texts")
+
+
+def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float, words: int) -> DataFrame:
+    """Passages of the regions whose texts are alike."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,10 +243,11 @@ def repeats(
     parts = asked.join(parts, ["hub", "hub_low", "hub_high"])
     grouped = parts.groupBy("rid").agg(F.collect_list(F.struct("low", "high", "hub_low", "first_doc_id", "part")).alias("parts"))
 
-    names = [c.split()[0] for c in PASSAGES.split(", ")]
-    kinds = [pa.int64() if "bigint" in c else pa.int32() for c in PASSAGES.split(", ")]
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = [types[c.split()[1]] for c in COMPARED.split(", ")]
 
-    def compared(some: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
+    def compare(some: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
         """Passages of some documents; the shingles of all their texts and parts are made together."""
         texts_ = [t for _, _, text, parts in some for t in (text, *(p["part"] for p in parts))]
         values, bounds = shingle_hashes(word_lists(texts_), hashes, words)
@@ -269,9 +256,10 @@ def repeats(
             own = values[bounds[at] : bounds[at + 1]]
             for k, p in enumerate(parts, at + 1):
                 other = values[bounds[k] : bounds[k + 1]]
-                for a, b, c, d in alike(own[p["low"] : p["high"] + 1], other, least, similarity, words):
+                part = own[p["low"] : p["high"] + 1]
+                for a, b, c, d in alike(part, other, least, similarity, words):
                     ends = (a + p["low"], b + p["low"] + more, p["first_doc_id"], c + p["hub_low"], d + p["hub_low"] + more)
-                    rows.append((doc, rid, *ends))
+                    rows.append((doc, rid, *ends, np.array_equal(part[a:b], other[c:d])))
             at += len(parts) + 1
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -290,11 +278,86 @@ def repeats(
                 some.append(row)
                 size += len(row[2]) + sum(len(p["part"]) for p in row[3])
                 if size > PIECE_BYTES:
-                    yield compared(some, hashes)
+                    yield compare(some, hashes)
                     some, size = [], 0
-            yield compared(some, hashes)
+            yield compare(some, hashes)
+
+    return grouped.join(texts, "rid").select("rid", "doc_id", "text", "parts").mapInArrow(verify, COMPARED)
 
-    return grouped.join(texts, "rid").select("rid", "doc_id", "text", "parts").mapInArrow(verify, PASSAGES)
+
+def outside(places: DataFrame, passages: DataFrame, words: int) -> DataFrame:
+    """The places that lie in none of the passages of their document."""
+    spans = passages.select(F.col("rid").alias("own"), "start", (F.col("stop") - (words - 1)).alias("end")).distinct()
+    inside = (places["rid"] == F.col("own")) & (places["at"] >= F.col("start")) & (places["at"] < F.col("end"))
+    return places.join(spans, inside, "left_anti")
+
+
+def repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: int = LEAST,
+    similarity: float = SIMILARITY,
+    functions: int = FUNCTIONS,
+    words: int = WORDS,
+) -> DataFrame:
+    """``(doc_id, rid, start, stop, first_doc_id, first_start, first_stop)``: passages of ``least`` words or more, as
+    ranges of words, that repeat a passage of another document, the one that keeps it.
+
+    Which document keeps a passage goes by a hash of id and text. Rows that repeat both are one document; a null id is
+    an id like others. Null, empty and shorter texts have no passages; an empty table gives an empty result; other
+    columns are not read.
+    """
+    found = cut_lineage(windows(docs, id_col, text_col, least, functions, words), "windows")
+    shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
+    # only windows whose signature two documents have; they are few, and everything after works on them
+    met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
+    drop_steps(found)
+    hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
+    point = ["rid", "hub", "at", "back", "forth", "hub_at"]
+    points = cut_lineage(met.where("rid <> hub").join(hubs, "key").select(*point), "points")
+    asked = cut_lineage(regions(points, least, words), "regions")
+    texts = texts_of(docs, asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))), id_col, text_col)
+    passages = cut_lineage(compared(asked, texts, least, similarity, words), "passages")
+    drop_steps(asked, texts)
+    out = passages
+
+    # windows that met their first document only, and the places they have still to meet
+    left = met.where("rid <> hub").select("key", "rid", "at", "back", "forth")
+    other = met.join(hubs, "key").where("rid <> hub or at <> hub_at").select("key", "rid", "at")
+    steps, count, held = [met], PLACES, [points]
+    while True:
+        left = cut_lineage(outside(left, passages, words), "left")
+        # an exact copy stands for nothing that its first document has not shown
+        other = outside(other, passages.where("exact"), words)
+        last = left.groupBy("key").agg(F.max("rid").alias("last"))
+        other = cut_lineage(other.join(last, "key").where("rid < last").drop("last"), "other")
+        drop_steps(*steps)
+        steps = [left, other]
+        if other.isEmpty():
+            break
+        # all places of a signature that has few, so that the windows of a pair of documents come together
+        sizes = other.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        slot = F.when(F.col("n") > count, F.pmod(F.xxhash64("rid", "at"), F.lit(count))).otherwise(F.xxhash64("rid", "at"))
+        chosen = other.join(sizes, "key").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rid", "at")).alias("first"))
+        chosen = cut_lineage(chosen.select("key", F.col("first.rid").alias("hub"), F.col("first.at").alias("hub_at")), "chosen")
+        points = cut_lineage(left.join(chosen, "key").where("hub < rid").select(*point), "points")
+        # a region may have windows of several rounds
+        pairs = points.select("rid", "hub").distinct()
+        before = reduce(DataFrame.unionByName, held).join(pairs, ["rid", "hub"], "left_semi")
+        held.append(points)
+        asked = cut_lineage(regions(before.unionByName(points).select(*point), least, words), "regions")
+        needed = asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid")))
+        texts = texts_of(docs, needed, id_col, text_col)
+        passages = cut_lineage(compared(asked, texts, least, similarity, words), "passages")
+        out = out.unionByName(passages)
+        spent = (other["key"] == chosen["key"]) & (other["rid"] == chosen["hub"]) & (other["at"] == chosen["hub_at"])
+        other = other.join(chosen, spent, "left_anti")
+        steps += [asked, chosen, texts]
+        count *= 2
+    drop_steps(*steps, *held)
+    # two signatures may have led to one passage
+    return out.drop("exact").distinct()
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -60,3 +60,27 @@ def test_words_are_cut_with_the_space_after_them():
     assert substrings.without(b" a b\tc  d\n", [(1, 3)]) == b" a d\n"
     assert substrings.without(b"a b", [(0, 2)]) == b""
     assert substrings.without(b"a b c d", [(0, 2), (1, 3)]) == b"d"
+
+
+def test_variant_families_against_all_pairs(spark):
+    """Exact copies meet although a third document, the first by hash, holds the signatures with two words changed."""
+    rng = np.random.default_rng(5)
+    docs, held = [], {}
+    for family in range(60):
+        passage = prose(1000 + family, 50).split()
+        changed = list(passage)
+        for place in rng.choice(np.arange(8, 42), 2, replace=False):
+            changed[place] = f"other{place}"
+        for k, own in enumerate((passage, passage, changed, changed)):
+            doc = 10 * family + k
+            before = prose(5000 + doc, 60).split()
+            docs.append((doc, " ".join([*before, *own, *prose(9000 + doc, 60).split()])))
+            held[doc] = tuple(own)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    order = {r.doc_id: r.rid for r in df.select("doc_id", substrings.row_id(df, "doc_id", "text").alias("rid")).collect()}
+    want = {(a, b) for a in held for b in held if held[a] == held[b] and order[b] < order[a]}
+    got = set()
+    for r in substrings.repeats(df).collect():
+        if r.start <= 60 and r.stop >= 110:
+            got.add((r.doc_id, r.first_doc_id))
+    assert len(want) == 120 and want <= got
