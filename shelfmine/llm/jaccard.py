@@ -3,7 +3,8 @@
 Every run splits the texts recursively on tokens that they share: at each node of a run's tree a place of the min-hash
 sketch is chosen by the node's path, and texts with the same sampled token there go on together. Small buckets, and
 buckets that a split leaves mostly whole, are compared in full, by sketches first and by their shingles then. Runs are
-repeated until a pair at the threshold is missed with a chance below ``1 - RECALL``.
+repeated, for the texts that need them, until a pair at the threshold is missed with a chance below ``1 - RECALL``: the
+chance that a run brings a text's pair together follows from the depth at which the text ends in it.
 
 A pair is counted in the first run that brings it together, which both texts know from their own paths. So no list of
 pairs is formed: a cell returns the number of links of each of its texts and the edges of a spanning forest.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ DEPTH = 5
 # texts of a bucket that is compared in full, and of a block of a larger one
 BUCKET = 256
 RECALL = 0.9999
+# runs that are added at a time
+MORE_RUNS = 4
 # a bucket with a child of this share is dense: its texts are alike, further splits would only lose pairs
 DENSE = 0.5
 
@@ -94,13 +98,13 @@ def paths_of(sketch: np.ndarray, run: int, depth: int) -> np.ndarray:
     return out
 
 
-def paths(nodes: DataFrame, runs: int, depth: int) -> DataFrame:
+def paths(nodes: DataFrame, runs: range, depth: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
-            for run in range(runs):
+            for run in runs:
                 path = paths_of(sketch, run, depth)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -136,6 +140,44 @@ def buckets(rest: DataFrame, depth: int, bucket: int, dense: float) -> tuple[Dat
     return out, splits
 
 
+def log_misses(splits: list[DataFrame], similarity: float) -> DataFrame:
+    """``(node, more)`` of the texts that do not end at the first split in every run: by how much the logarithm of the
+    chance that a pair at the threshold is missed lies above that of a text that does. A text that a split leaves alone
+    ends there."""
+    depths = None
+    for d, split in enumerate(splits):
+        here = split.select("node", "run", F.when(F.col("stop"), d).otherwise(d + 1).alias("depth"))
+        depths = here if depths is None else depths.unionByName(here)
+    ends = depths.where("depth > 0").groupBy("node", "run").agg(F.max("depth").alias("depth"))
+    miss = F.log1p(-F.pow(F.lit(float(similarity)), F.col("depth") + 1))
+    return ends.groupBy("node").agg(F.sum(miss - F.log1p(F.lit(-float(similarity)))).alias("more"))
+
+
+def all_ends(nodes: DataFrame, similarity: float, recall: float, bucket: int) -> tuple[list[DataFrame], int]:
+    """Tables ``(node, run, bucket, n)`` of the runs, and the number of runs. Further runs are made of the texts whose
+    chance of a miss, from their own depths, is still too large; a pair needs them only if both of its texts do."""
+    tables, runs, more = [], 0, runs_for(similarity, recall)
+    need, steps = nodes.select("node", "sketch", F.lit(0.0).alias("miss")), []
+    if similarity >= 1:  # texts at the threshold are together at every depth
+        recall = 0.0
+    while more:
+        walked = cut_lineage(paths(need, range(runs, runs + more), DEPTH), "paths")
+        found, splits = buckets(walked, DEPTH, bucket, DENSE)
+        tables.append(cut_lineage(found, "buckets"))
+        runs += more
+        if recall <= 0:
+            drop_steps(walked, *splits, *steps)
+            break
+        miss = F.col("miss") + F.lit(more * math.log(1 - similarity)) + F.coalesce("more", F.lit(0.0))
+        left = need.join(log_misses(splits, similarity), "node", "left").withColumn("miss", miss).drop("more")
+        left = cut_lineage(left.where(F.col("miss") > math.log(1 - recall)), "need")
+        drop_steps(walked, *splits, *steps)
+        need, steps, more = left, [left], 0 if left.isEmpty() else MORE_RUNS
+    else:
+        drop_steps(*steps)
+    return tables, runs
+
+
 def cells(ended: DataFrame, bucket: int) -> DataFrame:
     """``(node, run, bucket, block, cell)``: a bucket of several blocks has a cell for each pair of them."""
     blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
@@ -251,7 +293,6 @@ def links(
     docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float, bucket: int
 ) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, node, sketch)`` of all rows, and ``(node, root, links, copies)`` of nodes with links."""
-    runs = runs_for(similarity, recall)
     least = least_agreement(similarity)
     rows = cut_lineage(signed(docs, id_col, text_col, words), "signed")
     nodes = cut_lineage(
@@ -260,10 +301,8 @@ def links(
         .agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")),
         "nodes",
     )
-    walked = cut_lineage(paths(nodes, runs, DEPTH), "paths")
-    found, splits = buckets(walked, DEPTH, bucket, DENSE)
-    ended = cut_lineage(found, "buckets")
-    drop_steps(walked, *splits)
+    tables, runs = all_ends(nodes, similarity, recall, bucket)
+    ended = reduce(DataFrame.unionByName, tables)
     at_runs = F.map_from_entries(F.collect_list(F.struct("run", "bucket")))
     ends = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.col("at")[r], F.lit(0).cast("long")))
     known = ended.groupBy("node").agg(at_runs.alias("at")).select("node", ends.alias("ends")).join(nodes, "node")
@@ -278,7 +317,7 @@ def links(
     kinds = "cell bigint, run int, block int, node bigint, first bigint, copies bigint, sketch binary, ends array<bigint>"
     columns = [k.split()[0] for k in kinds.split(", ")]
     needed = cut_lineage(by_cell(placed.select(*columns)).mapInArrow(need, kinds), "needed")
-    drop_steps(ended, nodes)
+    drop_steps(*tables, nodes)
 
     text = F.coalesce(docs[text_col], F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("own"), F.xxhash64(text).alias("key"), text.alias("text"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import prose
 
@@ -82,3 +83,33 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[i] == -5 for i in range(1, 61)) and all(got[j] == 100 for j in range(101, 160))
     assert 300 not in got
+
+
+def test_runs_follow_the_depths(spark):
+    """Texts that share a passage fill buckets that are split again: they need more runs than the others."""
+    rng = np.random.default_rng(9)
+    sketch = rng.integers(1, 2**32, (900, jaccard.SKETCH), dtype=np.uint32)
+    hot = rng.random((600, jaccard.SKETCH)) < 0.45
+    sketch[:600][hot] = np.broadcast_to(sketch[0], hot.shape)[hot]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "node bigint, sketch binary")
+    _, runs = jaccard.all_ends(nodes, 0.8, 0.9999, 16)
+    miss, taken = np.ones(900), np.zeros(900, dtype=int)
+    members = np.arange(900)
+    for run in range(runs):
+        if run >= jaccard.runs_for(0.8, 0.9999) and (run - jaccard.runs_for(0.8, 0.9999)) % jaccard.MORE_RUNS == 0:
+            members = np.flatnonzero(miss > 1e-4)
+        path = jaccard.paths_of(sketch[members], run, jaccard.DEPTH)
+        depth, here = np.zeros(len(members), dtype=int), np.arange(len(members))
+        for d in range(jaccard.DEPTH):
+            depth[here] = d
+            going = []
+            for b in np.unique(path[here, d]):
+                own = here[path[here, d] == b]
+                most = np.unique(path[own, min(d + 1, jaccard.DEPTH - 1)], return_counts=True)[1].max()
+                if len(own) > 16 and most < 0.5 * len(own):
+                    going += own.tolist()
+            here = np.array(going, dtype=int)
+        miss[members] *= 1 - 0.8 ** (depth + 1)
+        taken[members] += 1
+    assert miss.max() <= 1e-4 and runs > jaccard.runs_for(0.8, 0.9999)
+    assert taken[600:].max() == jaccard.runs_for(0.8, 0.9999) and taken[:600].max() == runs
