@@ -31,9 +31,18 @@ def upsert_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_summaries(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of ``incoming`` replace rows with the same keys."""
-    kept = stored.join(incoming.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(incoming.select(*stored.columns)).select(*stored.columns)
+    """Rows of ``incoming`` replace rows with the same keys.
+
+    One row per key stays: of several incoming rows the last by ``created_at``, if there is one, then the one of the
+    largest other values. Null keys are equal to each other, so a row of a null key is replaced as well.
+    """
+    facts = [c for c in stored.columns if c not in keys]
+    order = F.struct(*sorted(facts, key=lambda c: c != "created_at"))
+    row = F.struct(*stored.columns)
+    latest = incoming.groupBy(*keys).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+    same = [F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in keys]
+    kept = stored.alias("_old").join(latest.alias("_new"), same, "left_anti")
+    return kept.unionByName(latest).select(*stored.columns)
 
 
 def delete_documents(ids: DataFrame, documents: DataFrame, *dependents: DataFrame) -> tuple[DataFrame, ...]:
@@ -96,15 +105,15 @@ def slug_check(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     taken = documents.select("slug", F.lit(True).alias("_taken")).distinct()
     joined = wanted.join(taken, "slug", "left")
     message = (
-        F.when(F.coalesce("slug", F.lit("")) == "", F.lit("Slug cannot be empty"))
+        F.when(F.coalesce("slug", F.lit("")) == "", F.lit("no slug given"))
         .when(
             ~F.col("slug").rlike("^[a-z0-9_-]+$"),
-            F.lit("Slug must contain only lowercase letters, numbers, hyphens, and underscores"),
+            F.lit("a slug has only the characters a-z, 0-9, _ and -"),
         )
-        .when(~F.length("slug").between(2, 20), F.lit("Slug must be between 2 and 20 characters"))
+        .when(~F.length("slug").between(2, 20), F.lit("a slug has 2 to 20 characters"))
         .when(
             F.col("_taken"),
-            F.concat(F.lit("Slug '"), F.col("slug"), F.lit("' already exists. Choose a different one.")),
+            F.concat(F.lit("another document has the slug "), F.col("slug")),
         )
         .otherwise(F.lit(""))
     )

@@ -134,12 +134,17 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "summary_upsert",
-    f"""WITH {SUMMARIES}, inc AS (SELECT doc_id + 1 AS book_id, 2 + quality AS chapter_id, 'new' AS summary FROM labels)
+    f"""WITH {SUMMARIES}, inc AS (
+  SELECT doc_id + 1 AS book_id, 2 + quality AS chapter_id, CASE max(toxic) WHEN 1 THEN 'newest' ELSE 'new' END AS summary
+  FROM labels GROUP BY ALL)
 SELECT book_id, chapter_id, coalesce(i.summary, s.summary) AS summary FROM sums s FULL JOIN inc i USING (book_id, chapter_id)""",
 )
 def summary_upsert(spark, folder):
     fresh = table(spark, folder, "labels").select(
-        (F.col("doc_id") + 1).alias("book_id"), (F.col("quality") + 2).alias("chapter_id"), F.lit("new").alias("summary")
+        (F.col("doc_id") + 1).alias("book_id"),
+        (F.col("quality") + 2).alias("chapter_id"),
+        # a toxic document has two rows in the batch, and keeps the last
+        F.explode(F.when(F.col("toxic") == 1, F.array(F.lit("newest"), F.lit("new"))).otherwise(F.array(F.lit("new")))).alias("summary"),
     )
     return catalog.upsert_summaries(summaries(spark, folder), fresh, ("book_id", "chapter_id"))
 
@@ -184,10 +189,10 @@ CANDIDATE_SQL = "CASE doc_id % 5 WHEN 0 THEN ' D' || (doc_id + 1) || ' ' WHEN 1
 @register(
     "slug_check",
     f"""WITH {BOOKS}, c AS (SELECT {CANDIDATE_SQL} AS given FROM documents), s AS (SELECT given, lower(trim(given)) AS slug FROM c)
-SELECT given, CASE WHEN s.slug = '' THEN 'Slug cannot be empty'
-WHEN NOT regexp_matches(s.slug, '^[a-z0-9_-]+$') THEN 'Slug must contain only lowercase letters, numbers, hyphens, and underscores'
-WHEN length(s.slug) NOT BETWEEN 2 AND 20 THEN 'Slug must be between 2 and 20 characters'
-WHEN b.slug IS NOT NULL THEN 'Slug ''' || s.slug || ''' already exists. Choose a different one.' ELSE '' END AS message
+SELECT given, CASE WHEN s.slug = '' THEN 'no slug given'
+WHEN NOT regexp_matches(s.slug, '^[a-z0-9_-]+$') THEN 'a slug has only the characters a-z, 0-9, _ and -'
+WHEN length(s.slug) NOT BETWEEN 2 AND 20 THEN 'a slug has 2 to 20 characters'
+WHEN b.slug IS NOT NULL THEN 'another document has the slug ' || s.slug ELSE '' END AS message
 FROM s LEFT JOIN books b USING (slug)""",
 )
 def slug_check(spark, folder):

@@ -158,3 +158,13 @@ def test_empty_metrics_give_zeros(spark):
     assert (row["total_queries"], row["success_rate"], row["avg_latency_ms"]) == (0, 0.0, 0.0)
     assert [r["count"] for r in telemetry.latency_buckets(nothing).collect()] == [0] * 5
     assert set(telemetry.dashboard(nothing)) >= {"summary", "tool_usage", "latency_distribution"}
+
+
+def test_summary_upsert_keeps_one_row_per_key(spark):
+    schema = "book_id bigint, chapter_id int, summary string, created_at timestamp_ntz"
+    old = spark.sql("SELECT 1L AS book_id, 1 AS chapter_id, 'old' AS summary, timestamp_ntz'2024-01-01' AS created_at "
+                    "UNION ALL SELECT CAST(NULL AS bigint), 1, 'old', timestamp_ntz'2024-01-01' UNION ALL SELECT 2L, 1, 'stays', NULL")
+    new = spark.sql("SELECT 1L AS book_id, 1 AS chapter_id, 'b' AS summary, timestamp_ntz'2024-02-02' AS created_at "
+                    "UNION ALL SELECT 1L, 1, 'z', timestamp_ntz'2024-02-01' UNION ALL SELECT CAST(NULL AS bigint), 1, 'n', NULL")
+    got = catalog.upsert_summaries(old.to(spark.createDataFrame([], schema).schema), new, ("book_id", "chapter_id"))
+    assert sorted((str(r.book_id), r.summary) for r in got.collect()) == [("1", "b"), ("2", "stays"), ("None", "n")]
