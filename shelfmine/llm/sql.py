@@ -99,3 +99,45 @@ SELECT doc_id, CASE WHEN len(ws) = 0 THEN doc_id ELSE class_id END AS class_id,
   CAST(CASE WHEN len(ws) = 0 THEN 0 ELSE copies - 1 + coalesce(counts.n, 0) END AS bigint) AS n_links
 FROM rows JOIN nodes USING (t) LEFT JOIN classes USING (node) LEFT JOIN counts USING (node)
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned checksum of a text of ASCII characters, bit by bit; fixed value: the polynomial 0xEDB88320."""
+    step = "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    codes = f"list_prepend(4294967295, list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii({text}[i]) AS bigint)))"
+    return f"xor(list_reduce({codes}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})), 4294967295)"
+
+
+# six words in a row match on the diagonal of every run, so diagonals are joined on these
+PERIODS = rf"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS rn, {_crc32("coalesce(CAST(doc_id AS varchar), 'null')")} AS h,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+places AS (SELECT *, h // 10 AS g, len(ws) AS n FROM texts),
+ends AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM places),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM ends),
+docs AS (
+  SELECT doc_id, rn, CASE WHEN a IS NULL THEN ws
+    ELSE ws[:a] || list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1]) END AS ws
+  FROM periods),
+grams AS (
+  SELECT rn, i, array_to_string(ws[i + 1:i + 6], ' ') AS gram
+  FROM (SELECT rn, ws, unnest(range(0, len(ws) - 5)) AS i FROM docs)),
+matches AS (SELECT x.rn, x.i, x.i - y.i AS q FROM grams x JOIN grams y ON x.rn = y.rn AND x.gram = y.gram AND x.i > y.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rn, q ORDER BY i) AS island FROM matches),
+diagonals AS (SELECT rn, q, min(i) - q AS start, count(*) + 5 + q AS length FROM islands GROUP BY rn, q, island),
+runs AS (SELECT rn, start, length, min(q) AS period FROM diagonals WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+listed AS (
+  SELECT rn, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY rn),
+gone AS (SELECT DISTINCT rn, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT rn, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM docs WHERE rn IN (SELECT rn FROM listed)),
+kept AS (SELECT rn, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rn, i) GROUP BY rn)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS bigint) AS start, CAST(best.length AS bigint) AS length,
+  CAST(best.period AS bigint) AS period, CAST(1000 * best.length // best.period AS bigint) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(CASE WHEN n_runs IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (rn) LEFT JOIN kept USING (rn)
+"""

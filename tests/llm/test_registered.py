@@ -17,8 +17,8 @@ FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_names():
-    assert [n for n in queries.QUERIES if n.startswith("op")] and len(queries.QUERIES) == 11
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert [n for n in queries.QUERIES if n.startswith("op")] and len(queries.QUERIES) == 14
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
