@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, jaccard, lm, packing, periods, quality, sentencepieces, sql, substrings, topk, toxicity, warc
+from shelfmine.llm import chat, jaccard, lm, minmax, packing, periods, quality, sentencepieces, sql, substrings, topk, toxicity, warc
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periods.found(table(spark, folder, "documents"), plant=True)
 
 
+@register(sql.NEAR)
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.classes(table(spark, folder, "documents"))
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

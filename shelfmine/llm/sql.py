@@ -101,6 +101,30 @@ FROM rows JOIN nodes USING (t) LEFT JOIN classes USING (node) LEFT JOIN counts U
 """
 
 
+NEAR = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+nodes AS (
+  SELECT t, row_number() OVER () AS node, min(doc_id) AS first,
+    list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM rows GROUP BY t),
+shingles AS (
+  SELECT DISTINCT node, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT node, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM nodes WHERE len(ws) > 0)),
+sizes AS (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+common AS (SELECT a.node AS x, b.node AS y, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.node < b.node GROUP BY ALL),
+pairs AS (
+  SELECT x, y FROM common JOIN sizes a ON a.node = x JOIN sizes b ON b.node = y WHERE 100 * common.n >= 80 * (a.n + b.n - common.n)),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT node AS x, node AS y FROM sizes UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+components AS (SELECT reach.x AS node, min(nodes.first) AS component_id FROM reach JOIN nodes ON nodes.node = reach.y GROUP BY ALL),
+named AS (
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN len(ws) = 0 THEN doc_id ELSE component_id END AS component_id
+  FROM rows JOIN nodes USING (t) LEFT JOIN sizes USING (node) LEFT JOIN components USING (node))
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM named
+"""
+
+
 def _crc32(text: str) -> str:
     """Unsigned checksum of a text of ASCII characters, bit by bit; fixed value: the polynomial 0xEDB88320."""
     step = "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
