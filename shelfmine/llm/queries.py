@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmine.llm import chat, jaccard, lm, minmax, packing, periods, quality, sentencepieces, sql, substrings, topk, toxicity, warc
+from shelfmine.llm import chat, jaccard, lm, minmax, packing, periods, quality, sentencepieces, sql, substrings, topk, toxicity, warc, whitening
 from shelfmine.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.classes(table(spark, folder, "documents"))
 
 
+@register()
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
