@@ -58,8 +58,9 @@ class HashingEmbedder:
 
     def embed(self, rows: DataFrame, text: str) -> DataFrame:
         bucket = lambda term: F.pmod(F.conv(F.left(F.md5(term), F.lit(8)), 16, 10).cast("long"), F.lit(self.dimensions))
-        # occurrences per bucket, by the same sort that counts terms
-        counts = run_lengths(F.transform(index_terms(F.col(text)), bucket), "bucket", "n")
+        # each distinct term is hashed once; then occurrences are counted by bucket, by the same sort that counts terms
+        hashed = lambda runs: F.flatten(F.transform(runs, lambda r: F.array_repeat(bucket(r["term"]), r["tf"])))
+        counts = run_lengths(let(run_lengths(index_terms(F.col(text))), hashed), "bucket", "n")
 
         def unit(sums: Column) -> Column:
             norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda done, x: done + x * x))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
@@ -24,6 +24,13 @@ VECTOR_BLOCK = 65_536
 STRIPE = 4_096
 
 
+def _directed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose vector has a direction. Checked here and not in the plan: a filter on a computed vector would be pushed
+    below its computation and compute it again."""
+    fine = [v is not None and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in rows["vector"]]
+    return rows if all(fine) else rows[np.array(fine, dtype=bool)]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     if len(column) == 0:
         return np.zeros((0, 0))
@@ -36,6 +43,7 @@ class _Best:
     """Best ``k`` (score, chunk) per query among the stripes seen so far, in the order of the final sort."""
 
     def __init__(self, queries: pd.DataFrame, k: int, skip_self: bool) -> None:
+        queries = _directed(queries)
         self.qid = queries["qid"].to_numpy()
         self.group = queries["group_key"].to_numpy()
         self.matrix = _matrix(queries["vector"])
@@ -44,6 +52,7 @@ class _Best:
         self.parts: list[pd.DataFrame] = []
 
     def add(self, vectors: pd.DataFrame) -> None:
+        vectors = _directed(vectors)
         if len(vectors) == 0 or len(self.qid) == 0:
             return
         ids = vectors["chunk_id"].to_numpy()
@@ -101,8 +110,8 @@ def cosine_topk(
     """
     # aliases give each side columns of its own, as both may come from one table
     own = lambda df, *names: _with_group(df).select(*[F.col(n).alias(n) for n in names])
-    queries = own(queries, "qid", "group_key", "vector").where(_whole(F.col("vector")))
-    vectors = own(vectors, "chunk_id", "group_key", "vector").where(_whole(F.col("vector")))
+    queries = own(queries, "qid", "group_key", "vector")
+    vectors = own(vectors, "chunk_id", "group_key", "vector")
     schema = f"qid {_sql_type(queries, 'qid')}, chunk_id {_sql_type(vectors, 'chunk_id')}, score double"
     total, bound = queries.agg(F.count(F.lit(1)), F.count("group_key")).first()
     if total and bound == total:
@@ -118,11 +127,6 @@ def cosine_topk(
     return top_k(cells, k).select("qid", "rank", "chunk_id", "score")
 
 
-def _whole(vector: Column) -> Column:
-    infinite = F.lit(float("inf"))
-    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != infinite))
-
-
 def _with_group(df: DataFrame) -> DataFrame:
     return df if "group_key" in df.columns else df.withColumn("group_key", F.lit(None).cast("string"))
 

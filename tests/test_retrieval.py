@@ -225,3 +225,17 @@ def test_even_sampling(spark):
     assert got == [3, 7, 11, 15, 19]
     few = ev.sample_evenly(rows, "g", "id", size=50, skip_first=3).count()
     assert few == 20
+
+
+def test_texts_are_embedded_once(spark):
+    """Neither side of a vector search computes its vectors twice: one hash function in each plan."""
+    from shelfmine.operators.models import HashingEmbedder
+    from shelfmine.operators.vectors import cosine_topk
+
+    rows = spark.createDataFrame([("a", "white rabbit"), ("b", None), ("c", "a pool of tears")], "chunk_id string, text string")
+    points = HashingEmbedder().embed(rows, "text")
+    wanted = points.select(F.col("chunk_id").alias("qid"), "vector")
+    found = cosine_topk(wanted, points.select("chunk_id", "vector"), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert {r.qid for r in found.collect()} == {"a", "b", "c"} - ({"b"} if points.where("chunk_id = 'b' and vector is null").count() else set())
