@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import let, strip
+from shelfmine.functions.bpe import BytePairs
 from shelfmine.functions.text import chunk_id, pieces, short_hash
 from shelfmine.operators.rows import numbered, unfolded
 
@@ -125,11 +126,20 @@ def section_chunks(
     sections: DataFrame,
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
-    tokenizer: Tokenizer = pieces,
+    tokenizer: Tokenizer | BytePairs = pieces,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Chunks of ``(slug, section, text)`` rows with identifiers, hashes and counts."""
-    cut = unfolded(sections, windows(tokenizer(F.col("text")), max_tokens, overlap), "chunk", "slug", "section", *keep)
+    """Chunks of ``(slug, section, text)`` rows with identifiers, hashes and counts.
+
+    With a vocabulary the text of a chunk is what its tokens decode to, and ``num_tokens`` counts the tokens of that text,
+    which at the borders are not always those of the window.
+    """
+    if isinstance(tokenizer, BytePairs):
+        parts = tokenizer.windows(F.col("text"), max_tokens, overlap)
+        cut = unfolded(sections, parts, "chunk", "slug", "section", *keep).drop("ids", "start", "end")
+        cut = cut.withColumn("num_tokens", tokenizer.count(F.col("text")))
+    else:
+        cut = unfolded(sections, windows(tokenizer(F.col("text")), max_tokens, overlap), "chunk", "slug", "section", *keep)
     return cut.select(
         chunk_id(F.col("slug"), F.col("section"), F.col("chunk"), F.col("text")).alias("chunk_id"),
         "slug",
@@ -150,7 +160,7 @@ def book_chunks(
     pattern: str | None = None,
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
-    tokenizer: Tokenizer = pieces,
+    tokenizer: Tokenizer | BytePairs = pieces,
 ) -> DataFrame:
     """The ingestion path for books: boilerplate off, reader sections, token windows."""
     body = strip_boilerplate(F.col(text))

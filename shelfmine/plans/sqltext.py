@@ -47,6 +47,9 @@ def preprocessed(query: str) -> str:
 def lines(text: str) -> str:
     return f"string_split({text}, {LF})"
 
+# a character that no text has, between the spaces before a word
+MARK = "\ue000"
+
 
 def joined(lines_sql: str) -> str:
     return f"array_to_string({lines_sql}, {LF})"
@@ -133,3 +136,37 @@ FROM (SELECT *, unnest(range(0, len(tk), {step})) AS c FROM (SELECT *, {pieces(t
 
 def identifier(slug: str, section: str, chunk: str, text: str) -> str:
     return f"format('{{}}_{{:02d}}_{{:03d}}_{{}}', {slug}, ({section})::BIGINT, ({chunk})::BIGINT, substr(md5({text}), 1, 7))"
+
+
+def byte_pair_ctes(source: str, text: str, key: str, path: str) -> str:
+    """tokens(key, p, id, h): the tokens of every text in order, h their bytes in hexadecimal. To be used in WITH RECURSIVE.
+
+    The vocabulary file is read as a table. Words are merged step by step, the pair of lowest rank and then leftmost
+    first. As this engine has no look-ahead, the last of several spaces before a word is marked off in advance.
+    """
+    space = r"[\s\x0b\x85\p{Z}]"
+    other = r"[^\s\x0b\x85\p{Z}\p{L}\p{N}" + MARK + "]"
+    pattern = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?{other}+|{space}+"
+    marked = rf"regexp_replace({text}, '({space})({space}[^\s\x0b\x85\p{{Z}}])', '\1{MARK}\2', 'g')"
+    return f"""ranks AS (
+  SELECT hex(from_base64(token)) AS h, rank FROM read_csv('{path}', delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'BIGINT'}})),
+spelled AS (SELECT {key}, regexp_extract_all({marked}, '{pattern}') AS ws FROM {source}),
+placed AS (SELECT {key}, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM spelled),
+merging AS (
+  SELECT w, list_transform(range(0, length(hex(encode(w))) // 2), lambda i: hex(encode(w))[2 * i + 1:2 * i + 2]) AS parts
+  FROM (SELECT DISTINCT w FROM placed)
+  UNION ALL
+  SELECT w, parts[:i - 1] || [parts[i] || parts[i + 1]] || parts[i + 2:]
+  FROM (
+    SELECT w, parts, arg_min(i, rank * 1000000 + i) AS i
+    FROM (SELECT w, parts, unnest(range(1, len(parts))) AS i FROM merging) JOIN ranks ON h = parts[i] || parts[i + 1]
+    GROUP BY w, parts)),
+words AS (SELECT w, arg_min(parts, len(parts)) AS parts FROM merging GROUP BY w),
+tokens AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY pos, j) - 1 AS p, rank AS id, h
+  FROM (SELECT {key}, pos, unnest(parts) AS h, unnest(range(0, len(parts))) AS j FROM placed JOIN words USING (w)) JOIN ranks USING (h))"""
+
+
+def characters_started(h: str) -> str:
+    """Characters that start in bytes given in hexadecimal: all bytes but those of the form 10xxxxxx."""
+    return f"len(list_filter(range(0, length({h}) // 2), lambda i: {h}[2 * i + 1:2 * i + 1] NOT IN ('8', '9', 'A', 'B')))"

@@ -6,6 +6,7 @@ by the SQL alike, so each parser meets its structure in every document.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfmine.functions import patterns as pt
 from shelfmine.functions import text as tx
 from shelfmine.functions.arrays import lines_of
+from shelfmine.functions.bpe import BytePairs
 from shelfmine.operators import catalog, chunking, models, parsers
 from shelfmine.operators.rows import numbered, unfolded
 from shelfmine.plans import sqltext as sq
@@ -128,6 +130,51 @@ def sliding_chunks(spark, folder):
     )
 
 
+VOCABULARY = os.environ.get("SHELFMINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@register(
+    "bpe_token_counts",
+    f"""WITH RECURSIVE {PLAIN}, {sq.byte_pair_ctes("src", "t", "slug", VOCABULARY)}
+SELECT slug, count(id) AS num_tokens, md5(coalesce(string_agg(id, ',' ORDER BY p), '')) AS ids FROM src LEFT JOIN tokens USING (slug) GROUP BY slug""",
+)
+def bpe_token_counts(spark, folder):
+    """Tokens of every document in the public vocabulary."""
+    ids = BytePairs(spark, VOCABULARY).ids(F.col("text"))
+    return plain(spark, folder).select("slug", ids.alias("ids")).select(
+        "slug", F.size("ids").cast("long").alias("num_tokens"), _listed("ids").alias("ids")
+    )
+
+
+@register(
+    "bpe_chunks",
+    f"""WITH RECURSIVE {PLAIN}, {sq.byte_pair_ctes("src", "t", "slug", VOCABULARY)},
+spans AS (
+  SELECT *, h[1:1] IN ('8', '9', 'A', 'B') AS inside, {sq.characters_started("h")} AS n FROM tokens),
+ends AS (SELECT *, sum(n) OVER (PARTITION BY slug ORDER BY p) AS until FROM spans),
+starts AS (SELECT slug, p AS low FROM tokens WHERE p % 400 = 0),
+cut AS (
+  SELECT slug, low // 400 + 1 AS chunk, count(*) AS num_tokens, md5(string_agg(id, ',' ORDER BY p)) AS ids,
+    CAST(arg_min(until - n - CAST(inside AS int), p) AS bigint) AS from_char, CAST(max(until) AS bigint) AS to_char
+  FROM starts JOIN ends USING (slug) WHERE p BETWEEN low AND low + 499 GROUP BY slug, low)
+SELECT cut.*, md5(substr(t, from_char + 1, to_char - from_char)) AS digest FROM cut JOIN src USING (slug)""",
+)
+def bpe_chunks(spark, folder):
+    """Windows of 500 tokens, a new one every 400, with the characters that they cover."""
+    cut = BytePairs(spark, VOCABULARY).windows(F.col("text"), 500, 100)
+    rows = unfolded(plain(spark, folder), cut, "chunk", "slug", F.col("text").alias("source"))
+    covered = F.substring(F.col("source"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return rows.select(
+        "slug", F.col("chunk").cast("long").alias("chunk"), F.col("num_tokens").cast("long").alias("num_tokens"),
+        _listed("ids").alias("ids"), F.col("start").cast("long").alias("from_char"), F.col("end").cast("long").alias("to_char"),
+        F.md5(covered.cast("binary")).alias("digest"),
+    )
+
+
+def _listed(ids: str) -> Column:
+    return F.md5(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"))
+
+
 @register(
     "chunk_ids",
     f"WITH {PLAIN} SELECT {sq.identifier('slug', '1', 'c + 1', 'body')} AS chunk_id, substr(md5(body), 1, 7) AS hash "
