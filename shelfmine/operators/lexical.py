@@ -29,13 +29,15 @@ class LexicalIndex:
     """``lengths(chunk_id, slug, dl)``, ``postings(chunk_id, slug, dl, term, tf)``, ``term_stats(term, df, idf)``.
 
     ``tokens(chunk_id, slug, dl, runs)`` is the row-per-chunk form of a lazy index. ``term_stats`` is set for a
-    stored index, whose postings are already partitioned by chunk (bucketed tables).
+    stored index, whose postings are already partitioned by chunk (bucketed tables). ``totals`` holds the numbers of
+    chunks and of tokens where they are known without counting.
     """
 
     lengths: DataFrame
     postings: DataFrame
     term_stats: DataFrame | None = None
     tokens: DataFrame | None = None
+    totals: tuple[int, int] | None = None
 
 
 def tokenised(chunks: DataFrame, id_col: str, text_col: str, slug_col: str | None) -> DataFrame:
@@ -135,7 +137,11 @@ def bm25_scores(
     small = fits_broadcast(terms)
     vocabulary = terms.select("term").distinct()
     if index.term_stats is not None:
-        corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
+        if index.totals is None:
+            corpus = corpus_stats(index.lengths).select(F.struct("n", "avgdl")).scalar()
+        else:
+            n, total = index.totals
+            corpus = F.struct(F.lit(n).alias("n"), F.lit(total / n if n else 0.0).alias("avgdl"))
         wanted = join_small(_pushed(index.postings, vocabulary, small), vocabulary, ["term"], "chunk_id", "left_semi", fits=small)
         stats = join_small(index.term_stats, vocabulary, ["term"], "term", "left_semi", fits=small)
     else:

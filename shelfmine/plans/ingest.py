@@ -18,6 +18,7 @@ from shelfmine.operators.models import Embedder, ExtractiveSummarizer, HashingEm
 from shelfmine.plans.search import Library, embedded
 from shelfmine.session import cut_lineage
 from shelfmine.sources.index_store import BUCKETS, attach_index, empty_index, index_replacing, index_without, write_index
+from shelfmine.sources.segments import SegmentedLibrary, index_tables
 
 TABLES = ("documents", "chunks", "section_summaries", "document_summaries", "vectors")
 
@@ -105,8 +106,28 @@ def ingest(
     embedder: Embedder | None = None,
 ) -> Stores:
     """Stores with the batch ``(slug, title, author, doc_type, text)`` added or replaced."""
-    summarizer, embedder = summarizer or ExtractiveSummarizer(), embedder or HashingEmbedder()
     checked(incoming, stores.documents, replace_known)
+    highest = stores.documents.agg(F.coalesce(F.max("book_id"), F.lit(0))).first()[0]
+    batch = batch_tables(incoming, highest, max_tokens, overlap, summarizer, embedder)
+    chunks, others = batch["chunks"], ("chunks", "section_summaries", "document_summaries", "vectors")
+    return replace(
+        stores,
+        documents=catalog.upsert_documents(stores.documents, batch["documents"]),
+        index=index_replacing(stores.index, chunks, incoming.select("slug")),
+        **{name: catalog.without_slugs(getattr(stores, name), incoming).unionByName(batch[name]) for name in others},
+    )
+
+
+def batch_tables(
+    incoming: DataFrame,
+    highest: int,
+    max_tokens: int = 500,
+    overlap: int = 100,
+    summarizer: Summarizer | None = None,
+    embedder: Embedder | None = None,
+) -> dict[str, DataFrame]:
+    """The tables of one batch of documents, numbered from ``highest + 1`` on."""
+    summarizer, embedder = summarizer or ExtractiveSummarizer(), embedder or HashingEmbedder()
     # five tables follow from the chunks, so they are parsed and written once
     chunks = cut_lineage(parsed_chunks(incoming, max_tokens, overlap))
     sections = models.section_summaries(section_texts(chunks), summarizer)
@@ -118,14 +139,13 @@ def ingest(
         overall = part if overall is None else overall.unionByName(part)
     # the numbering is written once, so that every later use sees the same identifiers
     numbered = cut_lineage(incoming.select("slug", F.monotonically_increasing_id().alias("_n")))
-    highest = stores.documents.agg(F.coalesce(F.max("book_id"), F.lit(0))).scalar()
-    rows = (
+    documents = (
         incoming.select("slug", "title", "author", "doc_type")
         .join(numbered, "slug")
         .join(chunk_totals(chunks).select("slug", "num_chunks", F.col("num_chars").alias("_chars")), "slug", "left")
         .join(metadata_of(incoming), "slug", "left")
         .select(
-            (highest + F.col("_n") + 1).alias("book_id"),
+            (F.lit(highest) + F.col("_n") + 1).alias("book_id"),
             "slug",
             "title",
             "author",
@@ -136,17 +156,34 @@ def ingest(
             F.localtimestamp().alias("added_at"),
         )
     )
-    return replace(
-        stores,
-        documents=catalog.upsert_documents(stores.documents, rows),
-        chunks=catalog.without_slugs(stores.chunks, incoming).unionByName(chunks),
-        section_summaries=catalog.without_slugs(stores.section_summaries, incoming).unionByName(
-            sections.withColumn("section", F.col("section").cast("int"))
-        ),
-        document_summaries=catalog.without_slugs(stores.document_summaries, incoming).unionByName(overall),
-        vectors=catalog.without_slugs(stores.vectors, incoming).unionByName(embedded(chunks, embedder)),
-        index=index_replacing(index_without(stores.index, incoming.select("slug")), chunks),
-    )
+    return {
+        "documents": documents,
+        "chunks": chunks,
+        "section_summaries": sections.withColumn("section", F.col("section").cast("int")),
+        "document_summaries": overall,
+        "vectors": embedded(chunks, embedder),
+    }
+
+
+def append(incoming: DataFrame, library: SegmentedLibrary, replace_known: bool = False, **options) -> SegmentedLibrary:
+    """The stored library with a batch ``(slug, title, author, doc_type, text)`` added or replaced; only the batch is
+    written. A known document keeps its number and the time at which it was added. ``options`` as for ``batch_tables``."""
+    empty = not library.segments
+    stored = empty_stores(incoming.sparkSession).documents if empty else library.table("documents")
+    checked(incoming, stored, replace_known)
+    # numbers grow with every batch; the highest so far is noted in the library, so that no batch looks for it
+    batch = batch_tables(incoming, library.manifest["notes"].get("highest_book_id", 0), **options)
+    known = stored.join(incoming.select("slug"), "slug", "left_semi")
+    documents = cut_lineage(catalog.upsert_documents(known, batch["documents"]), "documents")
+    highest = documents.agg(F.max("book_id")).first()[0] or 0
+    notes = {"highest_book_id": max(highest, library.manifest["notes"].get("highest_book_id", 0))}
+    tables = {**batch, "documents": documents, **index_tables(batch["chunks"])}
+    return library.append(tables, None if empty else incoming.select("slug"), notes)
+
+
+def stores_of(library: SegmentedLibrary) -> Stores:
+    """The tables of a stored library, for searches and the tool service."""
+    return Stores(**{name: library.table(name) for name in TABLES}, index=library.index())
 
 
 def save(stores: Stores, folder: str, name: str, buckets: int = BUCKETS) -> Stores:

@@ -18,8 +18,11 @@ from shelfmine.functions.arrays import lines_of
 from shelfmine.functions.bpe import BytePairs
 from shelfmine.operators import catalog, chunking, models, parsers
 from shelfmine.operators.rows import numbered, unfolded
+from shelfmine.plans import ingest
 from shelfmine.plans import sqltext as sq
 from shelfmine.plans.registry import register, table
+from shelfmine.session import fresh_table_path
+from shelfmine.sources.segments import SegmentedLibrary
 
 LF = sq.LF
 
@@ -266,6 +269,40 @@ def book_chunks(spark, folder):
     return chunks.select("chunk_id", F.col("num_tokens").cast("long").alias("num_tokens"))
 
 
+@register(
+    "append_then_replace",
+    f"""WITH {marked_cte('chapters')}, numbered AS (SELECT *, CAST(substr(slug, 2) AS bigint) AS n FROM src),
+final AS (
+  SELECT slug, CASE WHEN n % 14 <> 0 AND n % 5 = 0 THEN left(t, length(t) // 2) ELSE t END AS t FROM numbered
+  WHERE n % 7 <> 0 OR n % 14 = 0),
+parts AS (SELECT slug, unnest({READER_SPLIT}) AS part, generate_subscripts({READER_SPLIT}, 1) AS section FROM final),
+cut AS (SELECT slug, section, length(body) AS chars FROM ({sq.window_rows('parts', 'part', 'slug, section', 60, 50)}))
+SELECT slug, count(section) AS chunks, count(DISTINCT section) AS sections, CAST(coalesce(sum(chars), 0) AS bigint) AS chars,
+  count(section) AS points, count(section) AS indexed
+FROM final LEFT JOIN cut USING (slug) GROUP BY slug""",
+)
+def append_then_replace(spark, folder):
+    """A stored library after two batches, the second of which replaces documents, a removal and a batch that brings some
+    back: what the catalogue says of every document, and what its tables hold."""
+    rows = marked(spark, folder, "chapters").select(
+        "slug", F.lit("t").alias("title"), F.lit("").alias("author"), F.lit("book").alias("doc_type"), "text"
+    )
+    n = F.substring("slug", 2, 20).cast("long")
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    library = SegmentedLibrary.create(spark, fresh_table_path(spark, "library"))
+    add = lambda library, batch: ingest.append(batch, library, replace_known=True, max_tokens=60, overlap=10)
+    library = add(library, rows.where(n % 3 != 0))
+    library = add(library, rows.where((n % 3 == 0) | (n % 5 == 0)).withColumn("text", F.when(n % 5 == 0, half).otherwise(F.col("text"))))
+    library = library.delete(rows.where(n % 7 == 0).select("slug"))
+    library = add(library, rows.where(n % 14 == 0))
+    stores = ingest.stores_of(library)
+    held = lambda df, name: df.groupBy("slug").agg(F.count(F.lit(1)).alias(name))
+    out = stores.documents.select("slug", F.col("num_chunks").cast("long").alias("chunks"), F.col("num_chars").alias("chars"))
+    for df, name in ((stores.section_summaries, "sections"), (stores.vectors, "points"), (stores.index.lengths, "indexed")):
+        out = out.join(held(df, name), "slug", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return out
+
+
 @register(
     "parsed_book_chunks",
     f"""WITH {marked_cte('chapters')}, {BOOK_PARTS}

@@ -16,6 +16,8 @@ from shelfmine.operators.rows import unfolded_values
 from shelfmine.plans import search
 from shelfmine.plans import sqltext as sq
 from shelfmine.plans.registry import register, table
+from shelfmine.session import fresh_table_path
+from shelfmine.sources.segments import SegmentedLibrary, index_tables
 
 K = 7
 
@@ -88,6 +90,46 @@ def bm25_topk(spark, folder):
     return lexical.bm25_topk(benchmark_queries(spark, folder), document_index(spark, folder), K)
 
 
+# the library that three batches and a removal leave: some documents replaced by their first half, some removed, some back
+FINAL = """documents AS (
+  SELECT doc_id, 'd' || doc_id AS source, CASE WHEN doc_id % 14 <> 0 AND doc_id % 5 = 0 THEN left(text, length(text) // 2) ELSE text END AS text
+  FROM main.documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)"""
+
+
+def grown_library(spark: SparkSession, folder: str) -> SegmentedLibrary:
+    """All documents in segments: two batches, the second of which replaces a part of the first, a removal, a batch of
+    documents that come back, and a merge of segments of like size."""
+    rows = document_chunks(spark, folder).withColumn("slug", F.concat(F.lit("d"), F.col("chunk_id").cast("string")))
+    d = F.col("chunk_id")
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    library = SegmentedLibrary.create(spark, fresh_table_path(spark, "library"))
+    first = rows.where(d % 3 != 0)
+    library = library.append(index_tables(first))
+    second = rows.where((d % 3 == 0) | (d % 5 == 0)).withColumn("text", F.when(d % 5 == 0, half).otherwise(F.col("text")))
+    library = library.append(index_tables(second), second.select("slug"))
+    library = library.delete(rows.where(d % 7 == 0).select("slug"))
+    back = rows.where(d % 14 == 0)
+    return library.append(index_tables(back), back.select("slug")).merged(2)
+
+
+@register(
+    "segmented_index_topk",
+    f"WITH {FINAL}, {Q}, {sq.index_ctes()}, {sq.score_ctes('q', 's')}, {sq.padded_ctes('q', 's', 'r', K)} {RESULT} r",
+)
+def segmented_index_topk(spark, folder):
+    """BM25 over a library that grew, lost documents and was merged, as over an index built anew."""
+    return lexical.bm25_topk(benchmark_queries(spark, folder), grown_library(spark, folder).index(), K)
+
+
+@register(
+    "segmented_vocab_df",
+    f"WITH {FINAL}, {sq.index_ctes()} SELECT term, df, round(idf, 9) AS idf FROM idf",
+)
+def segmented_vocab_df(spark, folder):
+    """Statistics of that library, merged from its segments and delete files."""
+    return grown_library(spark, folder).index().term_stats.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 @register(
     "bm25_topk_by_source",
     f"""WITH {Q}, {sq.index_ctes()}, {sq.score_ctes('q', 's')}

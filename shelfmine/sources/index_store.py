@@ -79,10 +79,11 @@ def index_without(index: LexicalIndex, slugs: DataFrame) -> LexicalIndex:
     return LexicalIndex(without_slugs(index.lengths, slugs), without_slugs(index.postings, slugs))
 
 
-def index_replacing(index: LexicalIndex, chunks: DataFrame) -> LexicalIndex:
-    """Re-ingestion: the chunks of the incoming slugs replace all their earlier ones."""
+def index_replacing(index: LexicalIndex, chunks: DataFrame, slugs: DataFrame | None = None) -> LexicalIndex:
+    """Re-ingestion: the chunks of the incoming slugs replace all their earlier ones. ``slugs`` names the incoming ones
+    where some may have no chunks."""
     fresh = build_index(chunks)
-    kept = index_without(index, chunks.select("slug"))
+    kept = index_without(index, chunks.select("slug") if slugs is None else slugs)
     return LexicalIndex(
         kept.lengths.unionByName(fresh.lengths.select(*kept.lengths.columns)),
         kept.postings.unionByName(fresh.postings.select(*kept.postings.columns)),
