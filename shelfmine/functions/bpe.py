@@ -23,8 +23,10 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 # words of a task that are worked on together, and distinct words that it remembers
 WORDS_AT_ONCE = 500_000
 REMEMBERED = 500_000
+# bytes of a word that is merged by looking through all pairs
+SCANNED = 64
 
-WINDOW = "chunk int, text string, num_tokens int, ids array<int>, start int, end int"
+WINDOWS = "array<struct<chunk:int,text:string,num_tokens:int,ids:array<int>,start:int,end:int>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +49,8 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(word)
+    if n <= SCANNED:
+        return _merged_by_scan(word, ranks)
     end = list(range(1, n + 1))  # where the part that starts here ends; 0 where no part starts
     before = list(range(-1, n - 1))  # start of the part in front
 
@@ -75,6 +79,22 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _merged_by_scan(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a short word, where looking through all pairs costs less than a heap."""
+    get, none = ranks.get, 2**62  # above every rank
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs and (low := min(pairs)) != none:
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 class _Encoder:
     """Ids and byte lengths of the words of a task; a bounded number of words is remembered."""
 
@@ -105,24 +125,46 @@ class _Encoder:
 
 
 class _Texts:
-    """Rows of words with their tokens: ids, and the bytes at which each token ends, counted in its text."""
+    """Rows of words with their tokens, all in one line: ``ids``, the bytes at which tokens end, and for each row where its
+    tokens begin."""
 
     def __init__(self, rows: pa.Array, encoder: _Encoder) -> None:
         words = rows.flatten().cast(pa.binary())
-        ids, counts = encoder.ids(words)
+        self.ids, counts = encoder.ids(words)
         n_words = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        word_ends = np.cumsum(n_words)
-        token_ends = np.r_[0, np.cumsum(counts)][word_ends]
-        byte_ends = np.r_[0, np.cumsum(encoder.sizes[ids])]
-        self.text = b"".join(words.to_pylist())
-        self.rows = [
-            (ids[a:b], byte_ends[a : b + 1]) for a, b in zip(np.r_[0, token_ends[:-1]].tolist(), token_ends.tolist())
-        ]
-
-    def characters(self, low: int, high: int) -> np.ndarray:
-        """For each byte border of a text, how many characters start before it."""
-        starts = (np.frombuffer(self.text[low:high], dtype=np.uint8) & 0xC0) != 0x80
-        return np.r_[0, np.cumsum(starts)]
+        self.rows = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(n_words)]]
+        self.byte = np.r_[0, np.cumsum(encoder.sizes[self.ids])]
+        self.text = _bytes_of(words)
+        self.missing = rows.is_null()
+        self._started: np.ndarray | None = None
+
+    @property
+    def started(self) -> np.ndarray:
+        """For each byte border, how many characters start before it."""
+        if self._started is None:
+            starts = (np.frombuffer(self.text, dtype=np.uint8) & 0xC0) != 0x80
+            self._started = np.r_[0, np.cumsum(starts)]
+        return self._started
+
+    def covered(self, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """First and last character, counted in the row, of token ranges that are not empty."""
+        at, low, high = self.started, self.byte[first], self.byte[last]
+        within = at[low + 1] == at[low]  # the range begins inside a character
+        base = at[self.byte[self.rows[row]]]
+        return pa.array((at[low] - within - base).astype(np.int32)), pa.array((at[high] - base).astype(np.int32))
+
+    def listed(self, values: pa.Array, bounds: np.ndarray) -> pa.Array:
+        """One list per row; null for a row without a text."""
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values, mask=self.missing)
+
+
+def _bytes_of(words: pa.Array) -> bytes:
+    """All words in a row, straight from the buffer that holds them."""
+    if len(words) == 0:
+        return b""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    return data[int(ends[0]) : int(ends[-1])].to_pybytes() if ends[-1] > ends[0] else b""
 
 
 def _parts(rows: pa.Array) -> Iterator[pa.Array]:
@@ -142,40 +184,40 @@ class BytePairs:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.ranks = spark.sparkContext.broadcast(read_ranks(path))
 
-    def _over(self, text: Column, kind: str, out_type: pa.DataType, of_text: Callable) -> Column:
+    def _over(self, text: Column, kind: str, of_texts: Callable[[_Texts], pa.Array]) -> Column:
         shared = self.ranks
         held: list[_Encoder] = []
 
         def work(column: pa.Array) -> pa.Array:
             if not held:
                 held.append(_Encoder(shared.value))
-            out = []
-            for rows in _parts(column):
-                texts = _Texts(rows, held[0])
-                out += [None if gone else of_text(texts, *r) for gone, r in zip(rows.is_null().to_pylist(), texts.rows)]
-            return pa.array(out, out_type)
+            return pa.chunked_array([of_texts(_Texts(rows, held[0])) for rows in _parts(column)]).combine_chunks()
 
         work.__annotations__ = {"column": pa.Array, "return": pa.Array}
         return F.arrow_udf(work, kind)(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
     def ids(self, text: Column) -> Column:
         """``array<int>`` of token ids; an empty text has none."""
-        return self._over(text, "array<int>", pa.list_(pa.int32()), lambda texts, ids, ends: ids)
+        return self._over(text, "array<int>", lambda texts: texts.listed(pa.array(texts.ids), texts.rows))
 
     def count(self, text: Column) -> Column:
-        return self._over(text, "int", pa.int32(), lambda texts, ids, ends: len(ids))
+        numbers = lambda texts: np.diff(texts.rows).astype(np.int32)
+        return self._over(
+            text, "int", lambda texts: pa.array(numbers(texts), mask=texts.missing.to_numpy(zero_copy_only=False))
+        )
 
     def tokens(self, text: Column) -> Column:
         """``array<struct<id, start, end>>``: the characters that a token covers. Neighbours that share a character both
         cover it."""
-        fields = [("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
 
-        def spans(texts: _Texts, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
-            at = texts.characters(int(ends[0]), int(ends[-1]))
-            start, end = _covered(at, ends[:-1] - ends[0], ends[1:] - ends[0])
-            return list(zip(ids.tolist(), start.tolist(), end.tolist()))
+        def spans(texts: _Texts) -> pa.Array:
+            place = np.arange(len(texts.ids))
+            row = np.repeat(np.arange(len(texts.rows) - 1), np.diff(texts.rows))
+            start, end = texts.covered(place, place + 1, row)
+            cells = pa.StructArray.from_arrays([pa.array(texts.ids), start, end], names=["id", "start", "end"])
+            return texts.listed(cells, texts.rows)
 
-        return self._over(text, "array<struct<id:int,start:int,end:int>>", pa.list_(pa.struct(fields)), spans)
+        return self._over(text, "array<struct<id:int,start:int,end:int>>", spans)
 
     def windows(self, text: Column, max_tokens: int, overlap: int) -> Column:
         """``array<struct<chunk, text, num_tokens, ids, start, end>>``, as ``chunking.windows`` cuts them; an empty text
@@ -187,25 +229,26 @@ class BytePairs:
         step = max_tokens - overlap
         if step <= 0:
             raise ValueError("overlap must be smaller than max_tokens")
-        names = [f.split(" ")[0] for f in WINDOW.split(", ")]
-        types = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-
-        def cut(texts: _Texts, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
-            low = int(ends[0])
-            at = texts.characters(low, int(ends[-1]))
-            first = np.arange(0, len(ids), step)
-            last = np.minimum(first + max_tokens, len(ids))
-            start, end = _covered(at, ends[first] - low, ends[last] - low)
-            return [
-                (c + 1, texts.text[ends[a] : ends[b]].decode("utf-8", "replace"), b - a, ids[a:b], s, e)
-                for c, (a, b, s, e) in enumerate(zip(first.tolist(), last.tolist(), start.tolist(), end.tolist()))
-            ]
-
-        kind = "array<struct<chunk:int,text:string,num_tokens:int,ids:array<int>,start:int,end:int>>"
-        return self._over(text, kind, pa.list_(pa.struct(list(zip(names, types)))), cut)
-
-
-def _covered(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last character of byte ranges, from the number of characters that start before each byte border."""
-    inside = at[np.minimum(low + 1, len(at) - 1)] == at[low]  # the range begins within a character
-    return at[low] - (inside & (low < high)), at[high]
+
+        def cut(texts: _Texts) -> pa.Array:
+            n = -(-np.diff(texts.rows) // step)  # windows of each row
+            row = np.repeat(np.arange(len(n)), n)
+            chunk = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = texts.rows[row] + chunk * step
+            last = np.minimum(first + max_tokens, texts.rows[row + 1])
+            size = last - first
+            bounds = np.r_[0, np.cumsum(size)]
+            place = np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1])
+            start, end = texts.covered(first, last, row)
+            low, high = texts.byte[first].tolist(), texts.byte[last].tolist()
+            cells = {
+                "chunk": pa.array((chunk + 1).astype(np.int32)),
+                "text": pa.array([texts.text[a:b].decode("utf-8", "replace") for a, b in zip(low, high)], pa.string()),
+                "num_tokens": pa.array(size.astype(np.int32)),
+                "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(texts.ids[place])),
+                "start": start,
+                "end": end,
+            }
+            return texts.listed(pa.StructArray.from_arrays(list(cells.values()), names=list(cells)), np.r_[0, np.cumsum(n)])
+
+        return self._over(text, WINDOWS, cut)
