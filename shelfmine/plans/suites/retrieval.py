@@ -17,6 +17,7 @@ from shelfmine.plans import search
 from shelfmine.plans import sqltext as sq
 from shelfmine.plans.registry import register, table
 from shelfmine.session import fresh_table_path
+from shelfmine.sources.points import page_bounds, write_points
 from shelfmine.sources.segments import SegmentedLibrary, index_tables
 
 K = 7
@@ -224,6 +225,27 @@ def cosine_topk_same_label(spark, folder):
     return vectors.cosine_topk(*_points(spark, folder, "group_key"), k=K, skip_self=True)
 
 
+@register(
+    "points_by_ids",
+    "SELECT l.doc_id AS vec_id, l.quality, e.label, round(CAST(e.embedding[1] AS double), 6) AS first FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id",
+)
+def points_by_ids(spark, folder):
+    """Stored vectors of the labelled documents' numbers; those without a vector disappear."""
+    store = write_points(table(spark, folder, "embeddings"), fresh_table_path(spark, "points"), "vec_id")
+    ids = table(spark, folder, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
+    return store.by_ids(ids).select("vec_id", "quality", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@register(
+    "scroll_pages",
+    """SELECT row // 100 AS page, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS n
+FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings WHERE label % 2 = 0) GROUP BY 1""",
+)
+def scroll_pages(spark, folder):
+    """Pages of 100 of a filtered scan in the order of identifiers."""
+    return page_bounds(table(spark, folder, "embeddings").where(F.col("label") % 2 == 0), "vec_id")
+
+
 @register(
     "latest_points",
     """SELECT label AS chunk_id, max(vec_id) AS version, 
