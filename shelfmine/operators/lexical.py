@@ -195,8 +195,11 @@ def bm25_topk(
     at score 0, as a full sort over all chunks would do.
     """
     found = top_k(bm25_scores(queries, index, text_col, k1, b), k).select("qid", "rank", "chunk_id", "score")
-    if not pad:
-        return found
+    return with_padding(found, queries, index, k) if pad else found
+
+
+def with_padding(found: DataFrame, queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """Ranked lists filled up to ``k`` with the first chunks at score 0."""
     # a query with fewer than k matches has them all in its list, so merging the short lists is exact
     merged = found.drop("rank").unionByName(padding(queries, index, k))
     return top_k(merged.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k).select(

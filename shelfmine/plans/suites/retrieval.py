@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions import text as tx
 from shelfmine.operators import evaluation as ev
-from shelfmine.operators import fusion, lexical, vectors
+from shelfmine.operators import blockmax, fusion, lexical, vectors
 from shelfmine.operators.models import HashingEmbedder
 from shelfmine.operators.rows import unfolded_values
 from shelfmine.plans import search
@@ -131,6 +131,16 @@ def segmented_vocab_df(spark, folder):
     return grown_library(spark, folder).index().term_stats.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+@register(
+    "blockmax_topk",
+    f"WITH {Q}, {sq.index_ctes()}, {sq.score_ctes('q', 's')}, {sq.padded_ctes('q', 's', 'r', K)} {RESULT} r",
+)
+def blockmax_topk(spark, folder):
+    """The same lists as the full search; blocks of chunks that cannot reach them are not scored."""
+    blocks = blockmax.blocked(document_index(spark, folder))
+    return blockmax.blockmax_topk(benchmark_queries(spark, folder), blocks, K)
+
+
 @register(
     "bm25_topk_by_source",
     f"""WITH {Q}, {sq.index_ctes()}, {sq.score_ctes('q', 's')}
