@@ -65,12 +65,12 @@ TOP_K = """
 WITH vectors AS (
   SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS double)) AS bigint)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS (SELECT vec_id, rn, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
 scores AS (
   SELECT q.rn AS query, q.vec_id AS query_id, c.rn, c.vec_id, CAST(sum(q.x * c.x) AS bigint) AS score
-  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scores)
+  FROM parts q JOIN parts c ON q.i = c.i AND q.rn <> c.rn WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scores)
 SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
