@@ -19,12 +19,14 @@ from shelfmine.operators.lexical import (
     SCORE_DIGITS,
     LexicalIndex,
     corpus_stats,
+    index_of_tokens,
     query_terms,
     term_stats,
     term_weight,
     top_k,
     with_padding,
 )
+from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import fits_broadcast, join_small
 from shelfmine.session import cut_lineage, drop_steps
 
@@ -47,28 +49,42 @@ class BlockIndex:
     avgdl: float
 
 
-def blocks_of(postings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(chunk_id, block)``. Chunks with the same most frequent term share blocks, so texts of one language or subject
-    come together and blocks of others have low bounds; a term of many chunks has as many blocks as these need."""
-    top = postings.groupBy("chunk_id").agg(F.max_by("term", F.struct("tf", "term")).alias("top"))
-    top = cut_lineage(top, "top-terms")
-    sizes = top.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
+def _with_block(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows(chunk_id, top)`` with their block. Chunks with the same most frequent term share blocks, so texts of one language
+    or subject come together and blocks of others have low bounds; a term of many chunks has as many blocks as these need."""
+    sizes = rows.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
-    return join_small(top, sizes, ["top"], "chunk_id").select("chunk_id", F.xxhash64("top", part).alias("block"))
+    return join_small(rows, sizes, ["top"], "chunk_id").withColumn("block", F.xxhash64("top", part)).drop("top", "parts")
+
+
+def _placed(index: LexicalIndex, block_rows: int) -> tuple[DataFrame, LexicalIndex, DataFrame]:
+    """Postings with blocks, the index over what was written, and that table. A lazy index is dealt before its terms
+    become rows, so its postings are not exchanged."""
+    columns = ["chunk_id", "slug", "dl"]
+    if index.tokens is not None:
+        tokens = cut_lineage(index.tokens, "tokens")
+        by_count = F.transform("runs", lambda r: F.struct(r["tf"].alias("tf"), r["term"].alias("term")))
+        rows = tokens.withColumn("top", F.array_max(by_count)["term"]).where(F.col("top").isNotNull())
+        dealt = _with_block(rows, block_rows)
+        return unfolded(dealt, F.col("runs"), "term", "block", *columns), index_of_tokens(tokens), tokens
+    postings = cut_lineage(index.postings.select(*columns, "term", "tf"), "postings")
+    top = cut_lineage(postings.groupBy("chunk_id").agg(F.max_by("term", F.struct("tf", "term")).alias("top")), "top-terms")
+    dealt = postings.join(_with_block(top, block_rows), "chunk_id")
+    return dealt, LexicalIndex(index.lengths, postings, index.term_stats), postings
 
 
 def blocked(index: LexicalIndex, block_rows: int = BLOCK_ROWS) -> BlockIndex:
     """Block tables of an index, written once for any number of searches."""
-    columns = ["chunk_id", "slug", "dl", "term", "tf"]
-    postings = cut_lineage(index.postings.select(*columns), "postings")
-    whole = LexicalIndex(index.lengths, postings, index.term_stats)
-    placed = postings.join(blocks_of(postings, block_rows), "chunk_id").select("block", *columns)
-    placed = cut_lineage(placed.repartition("block").sortWithinPartitions("block", "term"), "block-postings")
+    placed, whole, source = _placed(index, block_rows)
+    placed = placed.select("block", "chunk_id", "slug", "dl", "term", "tf").sortWithinPartitions("term")
+    placed = cut_lineage(placed, "block-postings")
     bounds = placed.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    n, avgdl = corpus_stats(index.lengths).first() if index.totals is None else (index.totals[0], index.totals[1] / max(index.totals[0], 1))
-    stats = cut_lineage(term_stats(whole).select("term", "idf"), "term-stats")
-    drop_steps(postings)
-    return BlockIndex(LexicalIndex(index.lengths, placed.drop("block"), stats), placed, cut_lineage(bounds, "bounds"), stats, n, avgdl)
+    n, avgdl = corpus_stats(whole.lengths).first() if index.totals is None else (index.totals[0], index.totals[1] / max(index.totals[0], 1))
+    stats = cut_lineage(term_stats(LexicalIndex(whole.lengths, placed, index.term_stats)).select("term", "idf"), "term-stats")
+    lengths = cut_lineage(whole.lengths.select("chunk_id", "slug", "dl"), "lengths")
+    bounds = cut_lineage(bounds, "bounds")
+    drop_steps(source)
+    return BlockIndex(LexicalIndex(lengths, placed.drop("block"), stats), placed, bounds, stats, n, avgdl)
 
 
 def scored_pairs(queries: DataFrame, blocks: BlockIndex, k: int, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
@@ -85,9 +101,13 @@ def scored_pairs(queries: DataFrame, blocks: BlockIndex, k: int, first_blocks: i
     bounds = join_small(blocks.bounds, weighted.select("qid", "term", "w"), ["term"], "block", fits=fits)
     bounds = cut_lineage(bounds.groupBy("qid", "block").agg(F.sum(most).alias("bound")), "bounds")
 
+    # only postings of the queries' words are exchanged, and these are written once for both rounds
+    vocabulary = weighted.select("term").distinct()
+    matched = cut_lineage(join_small(blocks.postings, vocabulary, ["term"], "chunk_id", "left_semi", fits=fits), "matched")
+
     def scored(pairs: DataFrame) -> DataFrame:
         asked = pairs.select("qid", "block").join(weighted, "qid")
-        hits = asked.join(blocks.postings, ["block", "term"])
+        hits = asked.join(matched, ["block", "term"])
         if by_slug:
             hits = hits.where(F.col("only_slug").isNull() | (F.col("slug") == F.col("only_slug")))
         part = F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.lit(blocks.avgdl))
@@ -101,7 +121,7 @@ def scored_pairs(queries: DataFrame, blocks: BlockIndex, k: int, first_blocks: i
     rest = bounds.join(high, ["qid", "block"], "left_anti").join(threshold, "qid", "left")
     rest = rest.where(F.col("bound") + SLACK >= F.coalesce("least", F.lit(0.0)))
     second = cut_lineage(scored(rest), "scores")
-    drop_steps(weighted, bounds, high)
+    drop_steps(weighted, bounds, high, matched)
     return first.unionByName(second)
 
 
