@@ -2,16 +2,20 @@
 
 A compact window (l, c, r) of a hash function stands for all subsequences that start in [l, c] and end in [c, r]: their
 min-hash is that of the shingle at c. Windows of at least the shortest passage are the large nodes of the Cartesian
-tree over the hashes of a text. Windows of one signature in different documents point to the window of the document
-that holds it first; windows that point to one document close to one diagonal, by enough hash functions, are joined to
-a region, and the texts of the regions are compared in full. Windows outside the passages found so meet the other places
-of their signature in rounds, until each lies in a passage or has met every earlier place that is no exact copy.
+tree over the hashes of a text. A passage of 50 words with a similarity of 0.8 has at most one changed word, so some 25
+words in a row stay as they are: the signature of a window is its shingle and the 15 words before it, and once more the
+15 words after it. Windows of one signature point to the window of the document that holds it first; windows that point
+to one document close to one diagonal are joined to a region, and the texts of the regions are compared in full.
+
+Windows outside the passages found so have met a first document that is no match. They and the other places of their
+signature are grouped again by longer stretches around the window: first by 16 to 41 shingles, then, where stretches of
+these still agree, by each stretch of the shortest passage. Each group points to its first place, so the work of a
+level is proportional to its windows, and exact copies always meet, however many texts share a line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +23,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces, word_lists
-from shelfmine.llm.shingles import SIMILARITY, WORDS, WordHashes, shingle_hashes
+from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces
+from shelfmine.llm.shingles import SIMILARITY, WORDS, text_shingles
 from shelfmine.session import cut_lineage, drop_steps
 
 # shortest passage, in words
 LEAST = 50
-FUNCTIONS = 4
-# hash functions, or places of one, that must agree on a region
-MIN_HASHES = 2
+FUNCTIONS = 3
+# windows that must agree on a region; each has 15 words in common with the other document
+MIN_HASHES = 1
+# shingles of a signature on one side of its place, the place included
+STRETCH = 11
 # windows of a region: how far their diagonals and their places may lie apart
 DRIFT = 16
 # bounds of the first document's part are rounded, so that regions of many documents ask for the same text
 ROUND = 32
-# places of a signature that the windows left meet in the first further round; each round doubles them
-PLACES = 16
-
 # back, forth: how far the window goes on both sides of its place, up to the shortest passage
 WINDOWS = "rid bigint, key bigint, at int, back smallint, forth smallint"
+PLACES = "key bigint, rid bigint, at int, back smallint, forth smallint, open boolean"
 REGIONS = "rid bigint, hub bigint, low int, high int, hub_low int, hub_high int"
 PASSAGES = "doc_id bigint, rid bigint, start int, stop int, first_doc_id bigint, first_start int, first_stop int"
 # exact: the passage is the first document's, word by word
@@ -97,38 +101,91 @@ def row_id(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(docs[id_col].isNull(), docs[id_col], text)
 
 
+def prefixes(values: np.ndarray) -> np.ndarray:
+    """``p`` such that ``p[j] ^ p[i]`` is a fingerprint of the shingles from i to j."""
+    return np.r_[np.uint64(0), np.bitwise_xor.accumulate(mixed(values, seed=99))]
+
+
+def stretch_keys(prefix: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places have so many shingles before and after them in their text, and the fingerprints of these."""
+    fits = np.flatnonzero((at - before >= first) & (at + after < end))
+    own = at[fits]
+    return fits, mixed(prefix[own + after + 1] ^ prefix[own - before], seed=1000 * before + after)
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str, least: int, functions: int, words: int) -> DataFrame:
     size = least - words + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             done = 0
             for piece in pieces(as_bytes(batch.column(1))):
                 ids = batch.column(0).slice(done, len(piece)).to_numpy()
                 done += len(piece)
-                values, bounds = shingle_hashes(word_lists(piece), hashes, words)
+                values, bounds = text_shingles(piece, words)
+                prefix = prefixes(values)
                 for f in range(functions):
-                    key = mixed(values, seed=f + 1)
-                    at, low, high = compact_windows(leftmost(key), bounds, size, size)
-                    if len(at) == 0:
-                        continue
+                    height = mixed(values, seed=f + 1)
+                    at, low, high = compact_windows(leftmost(height), bounds, size, size)
                     doc = np.searchsorted(bounds, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[doc]),
-                            pa.array(key[at].view(np.int64)),
-                            pa.array((at - bounds[doc]).astype(np.int32)),
-                            pa.array((at - low).astype(np.int16)),
-                            pa.array((high - at).astype(np.int16)),
-                        ],
-                        names=["rid", "key", "at", "back", "forth"],
-                    )
+                    for before, after in ((STRETCH - 1, 0), (0, STRETCH - 1)):
+                        fits, stretch = stretch_keys(prefix, at, bounds[doc], bounds[doc + 1], before, after)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(ids[doc[fits]]),
+                                pa.array(mixed(height[at[fits]] ^ stretch).view(np.int64)),
+                                pa.array((at - bounds[doc])[fits].astype(np.int32)),
+                                pa.array((at - low)[fits].astype(np.int16)),
+                                pa.array((high - at)[fits].astype(np.int16)),
+                            ],
+                            names=["rid", "key", "at", "back", "forth"],
+                        )
 
     rows = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[text_col].alias("text"))
     return rows.mapInArrow(cut, WINDOWS)
 
 
+def longer_stretches(size: int) -> list[tuple[int, int]]:
+    """Shingles before and after a place: some for passages with a changed word, and such that a passage of ``size``
+    shingles around a place holds one of the last kind whole."""
+    near = [(size // 3, 0), (0, size // 3), ((size - 1) // 2, 0), (0, (size - 1) // 2), (STRETCH - 1, STRETCH - 1)]
+    return near + [(i, max(size - 6, 0) - i) for i in range(0, max(size - 6, 0) + 1, 5)]
+
+
+def keyed(places: DataFrame, texts: DataFrame, stretches: list[tuple[int, int]], words: int) -> DataFrame:
+    """A row per place of ``places`` and stretch around it that the text has, with a fingerprint of the stretch."""
+    place = F.struct("at", "back", "forth", "open")
+    own = places.groupBy("rid").agg(F.collect_list(place).alias("places"))
+    names = [c.split()[0] for c in PLACES.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for piece in pieces(as_bytes(batch.column("text"))):
+                part = batch.slice(done, len(piece))
+                done += len(piece)
+                values, bounds = text_shingles(piece, words)
+                prefix = prefixes(values)
+                lists = part.column("places")
+                doc = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
+                fields = dict(zip(("at", "back", "forth", "open"), lists.flatten().flatten()))
+                at = fields["at"].to_numpy() + bounds[doc]
+                ids = part.column("rid").to_numpy()[doc]
+                for before, after in stretches:
+                    fits, stretch = stretch_keys(prefix, at, bounds[doc], bounds[doc + 1], before, after)
+                    rows = [x.take(pa.array(fits)) for x in fields.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(stretch.view(np.int64)), pa.array(ids[fits]), *rows], names=names)
+
+    return own.join(texts, "rid").select("rid", "text", "places").mapInArrow(cut, PLACES)
+
+
+def first_places(places: DataFrame) -> DataFrame:
+    """Open places beside the first place of their key, if another document holds that."""
+    first = places.groupBy("key").agg(F.min(F.struct("rid", "at")).alias("first"), F.max(F.when(F.col("open"), F.col("rid"))).alias("last"))
+    first = first.where("first.rid < last").select("key", F.col("first.rid").alias("hub"), F.col("first.at").alias("hub_at"))
+    return places.where("open").join(first, "key").where("hub < rid").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()
+
+
 def joined_regions(at: np.ndarray, low: np.ndarray, high: np.ndarray, hub_at: np.ndarray, least: int) -> list[tuple[int, ...]]:
     """Regions ``(low, high, hub first, hub last)`` of windows of a pair of documents that follow each other near one
     diagonal: the union of the windows, and the places in the other document. A region needs ``MIN_HASHES`` windows."""
@@ -147,13 +204,16 @@ def joined_regions(at: np.ndarray, low: np.ndarray, high: np.ndarray, hub_at: np
     )
     # neighbouring diagonals: an inserted word moves the rest of a passage to the next one
     out: list[list[int]] = []
+    near: list[list[int]] = []
     for a, b, c, d, lo, hi, n in sorted(found):
-        for x in reversed(out[-8:]):
-            if a - x[1] <= least and abs((a - c) - (x[1] - x[3])) <= 2 * DRIFT and c - x[3] <= least:
+        near = [x for x in near if a - x[1] <= least]
+        for x in reversed(near):
+            if abs((a - c) - (x[1] - x[3])) <= 2 * DRIFT and c - x[3] <= least:
                 x[:] = [x[0], max(x[1], b), min(x[2], c), max(x[3], d), min(x[4], lo), max(x[5], hi), x[6] + n]
                 break
         else:
             out.append([a, b, c, d, lo, hi, n])
+            near.append(out[-1])
     return [(x[4], x[5], x[2], x[3]) for x in out if x[6] >= MIN_HASHES]
 
 
@@ -231,15 +291,18 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, low, high in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("hub_low", "hub_high"))):
-                out.append(b" ".join(text.split()[low : high + words - 1]))
-            kept = batch.select(["hub", "hub_low", "hub_high", "doc_id"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.binary())], names=[*kept.schema.names, "part"])
-
-    wanted = asked.select("hub", "hub_low", "hub_high").distinct()
-    parts = wanted.join(texts, wanted["hub"] == texts["rid"]).select("hub", "hub_low", "hub_high", "doc_id", "text")
-    parts = parts.mapInArrow(slices, "hub bigint, hub_low int, hub_high int, first_doc_id bigint, part binary")
+            texts = as_bytes(batch.column("text"))
+            for hub, doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("hub", "doc_id")), texts, batch.column("ranges")):
+                own = text.split()
+                low, high = (np.array(x) for x in zip(*((r["hub_low"], r["hub_high"]) for r in ranges.as_py())))
+                part = [b" ".join(own[a : b + words - 1]) for a, b in zip(low, high)]
+                columns = [pa.array([x] * len(part), pa.int64()) for x in (hub, doc)] + [pa.array(low, pa.int32()), pa.array(high, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(part, pa.binary())], names=["hub", "first_doc_id", "hub_low", "hub_high", "part"])
+
+    # each text is read once for all its parts
+    wanted = asked.groupBy("hub").agg(F.collect_set(F.struct("hub_low", "hub_high")).alias("ranges"))
+    parts = wanted.join(texts, wanted["hub"] == texts["rid"]).select("hub", "doc_id", "text", "ranges")
+    parts = parts.mapInArrow(slices, "hub bigint, first_doc_id bigint, hub_low int, hub_high int, part binary")
     parts = asked.join(parts, ["hub", "hub_low", "hub_high"])
     grouped = parts.groupBy("rid").agg(F.collect_list(F.struct("low", "high", "hub_low", "first_doc_id", "part")).alias("parts"))
 
@@ -247,10 +310,10 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
     types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     kinds = [types[c.split()[1]] for c in COMPARED.split(", ")]
 
-    def compare(some: list[tuple], hashes: WordHashes) -> pa.RecordBatch:
+    def compare(some: list[tuple]) -> pa.RecordBatch:
         """Passages of some documents; the shingles of all their texts and parts are made together."""
         texts_ = [t for _, _, text, parts in some for t in (text, *(p["part"] for p in parts))]
-        values, bounds = shingle_hashes(word_lists(texts_), hashes, words)
+        values, bounds = text_shingles(texts_, words)
         rows, at, more = [], 0, words - 1
         for rid, doc, _, parts in some:
             own = values[bounds[at] : bounds[at + 1]]
@@ -265,7 +328,6 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             some, size = [], 0
             rows = zip(
@@ -278,9 +340,9 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
                 some.append(row)
                 size += len(row[2]) + sum(len(p["part"]) for p in row[3])
                 if size > PIECE_BYTES:
-                    yield compare(some, hashes)
+                    yield compare(some)
                     some, size = [], 0
-            yield compare(some, hashes)
+            yield compare(some)
 
     return grouped.join(texts, "rid").select("rid", "doc_id", "text", "parts").mapInArrow(verify, COMPARED)
 
@@ -292,6 +354,17 @@ def outside(places: DataFrame, passages: DataFrame, words: int) -> DataFrame:
     return places.join(spans, inside, "left_anti")
 
 
+def unmatched(places: DataFrame, passages: DataFrame, words: int) -> DataFrame:
+    """``(rid, at, back, forth, open)`` of places whose key has an open place outside all passages, and an earlier
+    place in another document that is no exact copy."""
+    rest = outside(places, passages.where("exact"), words)
+    still = outside(places.where("open"), passages, words).select("key", "rid", "at").distinct().withColumn("still", F.lit(True))
+    rest = rest.drop("open").join(still, ["key", "rid", "at"], "left").withColumn("open", F.col("still").isNotNull())
+    ends = rest.groupBy("key").agg(F.min("rid").alias("first"), F.max(F.when(F.col("open"), F.col("rid"))).alias("last"))
+    rest = rest.join(ends.where("first < last"), "key").where("rid <= last")
+    return rest.groupBy("rid", "at").agg(F.max("back").alias("back"), F.max("forth").alias("forth"), F.max("open").alias("open"))
+
+
 def repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -314,48 +387,39 @@ def repeats(
     met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
     drop_steps(found)
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
-    point = ["rid", "hub", "at", "back", "forth", "hub_at"]
-    points = cut_lineage(met.where("rid <> hub").join(hubs, "key").select(*point), "points")
-    asked = cut_lineage(regions(points, least, words), "regions")
-    texts = texts_of(docs, asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))), id_col, text_col)
-    passages = cut_lineage(compared(asked, texts, least, similarity, words), "passages")
-    drop_steps(asked, texts)
-    out = passages
-
-    # windows that met their first document only, and the places they have still to meet
-    left = met.where("rid <> hub").select("key", "rid", "at", "back", "forth")
-    other = met.join(hubs, "key").where("rid <> hub or at <> hub_at").select("key", "rid", "at")
-    steps, count, held = [met], PLACES, [points]
-    while True:
-        left = cut_lineage(outside(left, passages, words), "left")
-        # an exact copy stands for nothing that its first document has not shown
-        other = outside(other, passages.where("exact"), words)
-        last = left.groupBy("key").agg(F.max("rid").alias("last"))
-        other = cut_lineage(other.join(last, "key").where("rid < last").drop("last"), "other")
-        drop_steps(*steps)
-        steps = [left, other]
-        if other.isEmpty():
-            break
-        # all places of a signature that has few, so that the windows of a pair of documents come together
-        sizes = other.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        slot = F.when(F.col("n") > count, F.pmod(F.xxhash64("rid", "at"), F.lit(count))).otherwise(F.xxhash64("rid", "at"))
-        chosen = other.join(sizes, "key").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rid", "at")).alias("first"))
-        chosen = cut_lineage(chosen.select("key", F.col("first.rid").alias("hub"), F.col("first.at").alias("hub_at")), "chosen")
-        points = cut_lineage(left.join(chosen, "key").where("hub < rid").select(*point), "points")
-        # a region may have windows of several rounds
-        pairs = points.select("rid", "hub").distinct()
-        before = reduce(DataFrame.unionByName, held).join(pairs, ["rid", "hub"], "left_semi")
-        held.append(points)
-        asked = cut_lineage(regions(before.unionByName(points).select(*point), least, words), "regions")
-        needed = asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid")))
-        texts = texts_of(docs, needed, id_col, text_col)
+    points = met.where("rid <> hub").join(hubs, "key").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()
+
+    def passages_of(points: DataFrame) -> DataFrame:
+        asked = cut_lineage(regions(points, least, words), "regions")
+        texts = texts_of(docs, asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))), id_col, text_col)
         passages = cut_lineage(compared(asked, texts, least, similarity, words), "passages")
-        out = out.unionByName(passages)
-        spent = (other["key"] == chosen["key"]) & (other["rid"] == chosen["hub"]) & (other["at"] == chosen["hub_at"])
-        other = other.join(chosen, spent, "left_anti")
-        steps += [asked, chosen, texts]
-        count *= 2
-    drop_steps(*steps, *held)
+        drop_steps(asked, texts)
+        return passages
+
+    def levelled(places: DataFrame, stretches: list[tuple[int, int]]) -> DataFrame:
+        texts = texts_of(docs, places.select("rid"), id_col, text_col)
+        level = cut_lineage(keyed(places, texts, stretches, words), "level")
+        drop_steps(texts)
+        return level
+
+    out = passages_of(points)
+    # open places met their first document only; an exact copy stands for nothing that its first document has not shown
+    other = met.join(hubs, "key").where("rid <> hub or at <> hub_at").select("key", "rid", "at", "back", "forth", "hub")
+    other = other.withColumn("open", F.col("rid") != F.col("hub")).drop("hub")
+    size = least - words + 1
+    for stretches in (longer_stretches(size), [(i, size - 1 - i) for i in range(size)]):
+        places = cut_lineage(unmatched(other, out, words), "places")
+        drop_steps(met)
+        if places.isEmpty():
+            drop_steps(places)
+            break
+        met = levelled(places, stretches)
+        drop_steps(places)
+        new = passages_of(first_places(met))
+        out = out.unionByName(new)
+        other = met
+    else:
+        drop_steps(met)
     # two signatures may have led to one passage
     return out.drop("exact").distinct()
 

@@ -3,6 +3,7 @@ import pytest
 from conftest import prose
 
 from shelfmine.llm import substrings
+from shelfmine.llm.shingles import word_values
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -84,3 +85,61 @@ def test_variant_families_against_all_pairs(spark):
         if r.start <= 60 and r.stop >= 110:
             got.add((r.doc_id, r.first_doc_id))
     assert len(want) == 120 and want <= got
+
+
+@pytest.mark.parametrize("length", [50, 95, 140])
+def test_recall_of_changed_passages(spark, length):
+    """Passages at a similarity just above the threshold, by brute force, of which a third document holds another form."""
+    rng = np.random.default_rng(length)
+    docs, held = [], {}
+    for family in range(120):
+        passage = prose(20_000 + 1000 * length + family, length).split()
+        for k in range(3):
+            own = list(passage)
+            if k:
+                for place in rng.choice(np.arange(5, length - 5), length // 47, replace=False):
+                    own[place] = f"other{place}{k}"
+            doc = 10 * family + k
+            docs.append((doc, " ".join([*prose(5000 + doc, 60).split(), *own, *prose(9000 + doc, 60).split()])))
+            held[doc] = {tuple(own[i : i + 5]) for i in range(length - 4)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    order = {r.doc_id: r.rid for r in df.select("doc_id", substrings.row_id(df, "doc_id", "text").alias("rid")).collect()}
+    families = [[10 * f + k for k in range(3)] for f in range(120)]
+    alike = [
+        (a, b)
+        for docs_ in families
+        for a in docs_
+        for b in docs_
+        if order[b] < order[a] and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])
+    ]
+    want = {a for a, _ in alike}
+    rows = substrings.repeats(df).collect()
+    assert {(r.doc_id // 10, r.first_doc_id // 10) for r in rows} <= {(f, f) for f in range(120)}
+    covered = {}
+    for r in rows:
+        covered.setdefault(r.doc_id, set()).update(range(max(r.start, 60), min(r.stop, 60 + length)))
+    # a passage counts as found if it is covered but for what changed at its ends
+    got = {a for a in want if len(covered.get(a, ())) >= length - 10}
+    touched = want & covered.keys()
+    assert len(want) >= 120 and len(touched) >= 0.95 * len(want) and len(got) >= 0.85 * len(want)
+
+
+def test_hot_line_between_exact_copies(spark):
+    """Passages repeat in two documents each, and all hold one line that every document has: each pair is found."""
+    line = prose(77, 30)
+    docs = []
+    for pair in range(60):
+        passage = f"{prose(300 + pair, 10)} {line} {prose(500 + pair, 10)}"
+        docs += [(2 * pair + k, f"{prose(700 + 2 * pair + k, 40)} {passage} {prose(900 + 2 * pair + k, 40)}") for k in range(2)]
+    docs += [(1000 + i, f"{prose(2000 + i, 50)} {line} {prose(3000 + i, 50)}") for i in range(100)]
+    rows = substrings.repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id // 2 for r in rows if r.start <= 40 and r.stop >= 90} == set(range(60))
+    assert all(r.doc_id // 2 == r.first_doc_id // 2 for r in rows)
+
+
+def test_word_values_by_definition():
+    texts = [b"", b" ", b"a b c d e", b"\x00 \x00\x00 a b c", b"x" * 64 + b" " + b"x" * 65 + b" c d " + b"x" * 64, b"\xc2\xa0a b\x0bc d\n"]
+    values, n = word_values(texts)
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert len(set(values.tolist())) == len(set(words)) == len(set(zip(words, values.tolist())))
