@@ -9,12 +9,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmine.session import cut_lineage
+
 # white space of the word definition [^\x20\x09-\x0D]+; also what bytes.split() splits at
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 # texts are worked on in pieces of about this many bytes, so that memory does not grow with a batch
 PIECE_BYTES = 4 * 1024 * 1024
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """``cut_lineage``, where the shuffle files of the job go as soon as the table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df, stem)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

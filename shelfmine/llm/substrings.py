@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces
+from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces, written
 from shelfmine.llm.shingles import SIMILARITY, WORDS, text_shingles
-from shelfmine.session import cut_lineage, drop_steps
+from shelfmine.session import drop_steps
 
 # shortest passage, in words
 LEAST = 50
@@ -40,7 +40,7 @@ DRIFT = 16
 ROUND = 32
 # back, forth: how far the window goes on both sides of its place, up to the shortest passage
 WINDOWS = "rid bigint, key bigint, at int, back smallint, forth smallint"
-PLACES = "key bigint, rid bigint, at int, back smallint, forth smallint, open boolean"
+PLACES = "key bigint, rid bigint, at int, back smallint, forth smallint, open boolean, long boolean"
 REGIONS = "rid bigint, hub bigint, low int, high int, hub_low int, hub_high int"
 PASSAGES = "doc_id bigint, rid bigint, start int, stop int, first_doc_id bigint, first_start int, first_stop int"
 # exact: the passage is the first document's, word by word
@@ -157,6 +157,7 @@ def keyed(places: DataFrame, texts: DataFrame, stretches: list[tuple[int, int]],
     place = F.struct("at", "back", "forth", "open")
     own = places.groupBy("rid").agg(F.collect_list(place).alias("places"))
     names = [c.split()[0] for c in PLACES.split(", ")]
+    longest = max(before + after for before, after in stretches)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +175,8 @@ def keyed(places: DataFrame, texts: DataFrame, stretches: list[tuple[int, int]],
                 for before, after in stretches:
                     fits, stretch = stretch_keys(prefix, at, bounds[doc], bounds[doc + 1], before, after)
                     rows = [x.take(pa.array(fits)) for x in fields.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array(stretch.view(np.int64)), pa.array(ids[fits]), *rows], names=names)
+                    long = pa.array(np.full(len(fits), before + after == longest))
+                    yield pa.RecordBatch.from_arrays([pa.array(stretch.view(np.int64)), pa.array(ids[fits]), *rows, long], names=names)
 
     return own.join(texts, "rid").select("rid", "text", "places").mapInArrow(cut, PLACES)
 
@@ -283,7 +285,7 @@ def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
     """``(rid, doc_id, text)`` of the documents of ``needed``, one row each."""
     texts = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # a merge join at any size: the documents with regions grow with the corpus
-    return cut_lineage(texts.join(needed.distinct().hint("merge"), "rid").dropDuplicates(["rid"]), "texts")
+    return written(texts.join(needed.distinct().hint("merge"), "rid").dropDuplicates(["rid"]), "texts")
 
 
 def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float, words: int) -> DataFrame:
@@ -381,24 +383,24 @@ def repeats(
     an id like others. Null, empty and shorter texts have no passages; an empty table gives an empty result; other
     columns are not read.
     """
-    found = cut_lineage(windows(docs, id_col, text_col, least, functions, words), "windows")
+    found = written(windows(docs, id_col, text_col, least, functions, words), "windows")
     shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
     # only windows whose signature two documents have; they are few, and everything after works on them
-    met = cut_lineage(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
+    met = written(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
     drop_steps(found)
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
     points = met.where("rid <> hub").join(hubs, "key").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()
 
     def passages_of(points: DataFrame) -> DataFrame:
-        asked = cut_lineage(regions(points, least, words), "regions")
+        asked = written(regions(points, least, words), "regions")
         texts = texts_of(docs, asked.select("rid").unionByName(asked.select(F.col("hub").alias("rid"))), id_col, text_col)
-        passages = cut_lineage(compared(asked, texts, least, similarity, words), "passages")
+        passages = written(compared(asked, texts, least, similarity, words), "passages")
         drop_steps(asked, texts)
         return passages
 
     def levelled(places: DataFrame, stretches: list[tuple[int, int]]) -> DataFrame:
         texts = texts_of(docs, places.select("rid"), id_col, text_col)
-        level = cut_lineage(keyed(places, texts, stretches, words), "level")
+        level = written(keyed(places, texts, stretches, words), "level")
         drop_steps(texts)
         return level
 
@@ -408,7 +410,7 @@ def repeats(
     other = other.withColumn("open", F.col("rid") != F.col("hub")).drop("hub")
     size = least - words + 1
     for stretches in (longer_stretches(size), [(i, size - 1 - i) for i in range(size)]):
-        places = cut_lineage(unmatched(other, out, words), "places")
+        places = written(unmatched(other, out, words), "places")
         drop_steps(met)
         if places.isEmpty():
             drop_steps(places)
@@ -417,7 +419,8 @@ def repeats(
         drop_steps(places)
         new = passages_of(first_places(met))
         out = out.unionByName(new)
-        other = met
+        # passages without a change have one of the longest stretches in common
+        other = met.where("long").drop("long")
     else:
         drop_steps(met)
     # two signatures may have led to one passage
