@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions import text as tx
 from shelfmine.operators import evaluation as ev
-from shelfmine.operators import blockmax, fusion, lexical, vectors
+from shelfmine.operators import blockmax, cells, fusion, lexical, vectors
 from shelfmine.operators.models import HashingEmbedder
 from shelfmine.operators.rows import unfolded_values
 from shelfmine.plans import search
@@ -230,6 +230,12 @@ def cosine_topk(spark, folder):
     return vectors.cosine_topk(*_points(spark, folder), k=K, skip_self=True)
 
 
+@register("cosine_topk_cells", V + COSINE_SQL.format(and_=""))
+def cosine_topk_cells(spark, folder):
+    queries, points = _points(spark, folder)
+    return cells.cells_topk(queries, cells.celled(points), k=K, skip_self=True)
+
+
 @register("cosine_topk_same_label", V + COSINE_SQL.format(and_="AND a.label = b.label"))
 def cosine_topk_same_label(spark, folder):
     return vectors.cosine_topk(*_points(spark, folder, "group_key"), k=K, skip_self=True)
