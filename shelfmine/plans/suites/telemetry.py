@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmine.operators import rollups
 from shelfmine.operators import telemetry as tm
 from shelfmine.plans.registry import register, table
+from shelfmine.session import fresh_table_path
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,3 +227,45 @@ SELECT * FROM (SELECT * FROM m ORDER BY m.timestamp DESC, query_id DESC LIMIT 50
 )
 def display_errors(spark, folder):
     return tm.display_errors(metrics(spark, folder))
+
+
+def _rolled_up(spark: SparkSession, folder: str) -> rollups.Rollups:
+    """The metrics in three batches. The later ones repeat queries of the earlier ones, some with another rating; only the rating counts."""
+    rows, number = metrics(spark, folder), F.regexp_extract("query_id", r"(\d+)$", 1).cast("long")
+    store = rollups.Rollups(spark, fresh_table_path(spark, "rollups"))
+    later = lambda given, stars: given.withColumns({"user_rating": F.lit(stars), "latency_ms": F.lit(-1.0), "success": F.lit(True)})
+    store.add(rows.where(number % 3 != 1), 0)
+    store.add(rows.where(number % 3 == 1).unionByName(later(rows.where(number % 6 == 0), 2)), 1)
+    store.add(later(rows.where(number % 4 == 1), None).unionByName(later(rows.where(number % 12 == 0), 5)), 2)
+    return store
+
+
+# event_id % 12 = 0: rated 2, then 5; other event_id % 6 = 0: rated 2; event_id % 4 = 1: the rating is taken back
+ROLLED = f"""{M}, t AS (SELECT * REPLACE (CASE WHEN event_id % 12 = 0 THEN 5 WHEN event_id % 6 = 0 THEN 2 WHEN event_id % 4 = 1 THEN NULL
+ELSE user_rating END AS user_rating) FROM m WHERE NOT starts_with(query_id, 'ephemeral_'))"""
+
+
+@register(
+    "dashboard_incremental",
+    f"""WITH {ROLLED}
+SELECT 'ratings' AS panel, stars::INT AS position, stars::VARCHAR AS label, count(user_rating) AS count
+FROM range(1, 6) r(stars) LEFT JOIN t ON user_rating = stars GROUP BY stars
+UNION ALL SELECT 'latency', position, label, count(latency_ms) FROM {BUCKETS_SQL} LEFT JOIN t ON latency_ms >= lo AND latency_ms < hi GROUP BY position, label
+UNION ALL SELECT 'relevance', 0, score, count(*) FROM t WHERE score <> 'NOT_JUDGED' GROUP BY score
+UNION ALL SELECT 'tools', 0, tool, count(*) FROM (SELECT unnest(tool_calls) AS tool FROM t) GROUP BY tool""",
+)
+def dashboard_incremental(spark, folder):
+    store = _rolled_up(spark, folder)
+    return rollups.dashboard_table(store.counts(), store.tools())
+
+
+@register(
+    "hourly_slug_counts",
+    f"""WITH {ROLLED} SELECT date_trunc('hour', timestamp)::TIMESTAMP AS hour, book_slug AS slug, count(*) AS total, count(*) FILTER (success) AS good,
+count(user_rating) AS rated, coalesce(sum(user_rating), 0)::BIGINT AS rating, round(sum(latency_ms), 4) AS latency FROM t GROUP BY 1, 2""",
+)
+def hourly_slug_counts(spark, folder):
+    """Counts per hour and slug after three batches."""
+    names = ("total", "good", "rated", "rating")
+    merged = _rolled_up(spark, folder).counts().groupBy("hour", "slug")
+    return merged.agg(*[F.sum(n).alias(n) for n in names], F.round(F.sum("latency"), 4).alias("latency"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmine import schema
 from shelfmine.operators import telemetry
+from shelfmine.operators.rollups import Rollups
 
 
 def metric_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +34,16 @@ def store(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def roll_up(stream: DataFrame, rollups: Rollups, checkpoint: str) -> StreamingQuery:
+    """Keep ``rollups`` up to date. A micro-batch that is done again after a failure overwrites what it wrote."""
+    return (
+        stream.writeStream.foreachBatch(rollups.add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stored_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Everything stored so far, one row per query: the facts of its first row, rating and comment of its last one."""
     rows = spark.read.schema(schema.QUERY_METRICS + ", batch long").parquet(folder)
