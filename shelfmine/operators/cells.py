@@ -36,6 +36,8 @@ RINGS = 32
 # vectors that a query scores to get its threshold, for each result that it wants
 FIRST_ROWS = 8
 QUERY_BLOCK = 4_096
+# cells are scored in bundles of about this many vectors, so that a query is copied once per bundle and not once per ring
+BUNDLE_ROWS = 4_096
 # scores are rounded and angles near zero are exact to about 1e-8, so a bound counts as reached from this far below
 SLACK = 2 * 10.0**-SCORE_DIGITS
 # numbers of a table of bounds held at once
@@ -181,28 +183,41 @@ def other_rings(asked: DataFrame, cells: VectorCells, scored: DataFrame, k: int)
 
 
 def _scored(asked: DataFrame, rings: str, cells: VectorCells, k: int, skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
-    """Best ``k`` of each query in each part of its rings. A ring is copied for every ``query_block`` queries that ask for it,
-    and cut into parts of ``vector_block`` rows."""
+    """Best ``k`` of each query in each part of the bundles that hold its rings. A bundle is copied for every ``query_block``
+    queries that ask for one of its rings, and cut into parts of ``vector_block`` rows."""
     spark = asked.sparkSession
-    sizes = spark.createDataFrame(cells.rings[["ring", "rows"]], "ring int, rows long")
-    pairs = asked.select("qid", "group_key", "vector", "slot", F.explode(rings).alias("ring"))
+    ring, rows = cells.rings["ring"], cells.rings["rows"]
+    per_cell = rows.sum() / max(1, (ring // RINGS).nunique())
+    width = RINGS * max(1, int(BUNDLE_ROWS / max(1.0, per_cell)))
+    bundle = lambda column: F.floor(column / F.lit(width)).cast("int")
+    sizes = rows.groupby(ring // width).sum().rename_axis("bundle").reset_index(name="rows")
+    sizes = spark.createDataFrame(sizes, "bundle int, rows long")
+    bundles = F.explode(F.array_distinct(F.transform(rings, bundle)))
+    pairs = asked.select("qid", "group_key", "vector", "slot", rings, bundles.alias("bundle"))
+    inside = F.filter(rings, lambda r: bundle(r) == F.col("bundle")).alias("rings")
     parts = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
-    # one row per ring, so its size has the bound of the rings
-    layout = pairs.groupBy("ring").agg(F.count(F.lit(1)).alias("asking")).join(F.broadcast(sizes), "ring")
-    layout = F.broadcast(layout.select("ring", parts("asking", query_block).alias("_qs"), parts("rows", vector_block).alias("_vs")))
+    # one row per bundle, so its size has the bound of the rings
+    layout = pairs.groupBy("bundle").agg(F.count(F.lit(1)).alias("asking")).join(F.broadcast(sizes), "bundle")
+    layout = F.broadcast(layout.select("bundle", parts("asking", query_block).alias("_qs"), parts("rows", vector_block).alias("_vs")))
     part = lambda n: F.pmod("slot", n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = pairs.join(layout, "ring").select("qid", "group_key", "vector", "ring", part("_qs").alias("_q"), each("_vs").alias("_v"))
-    right = cells.rows.join(layout, "ring").select("chunk_id", "group_key", "vector", "ring", part("_vs").alias("_v"), each("_qs").alias("_q"))
+    left = pairs.join(layout, "bundle").select("qid", "group_key", "vector", inside, "bundle", part("_qs").alias("_q"), each("_vs").alias("_v"))
+    right = cells.rows.withColumn("bundle", bundle(F.col("ring"))).join(layout, "bundle")
+    right = right.select("chunk_id", "group_key", "vector", "ring", "bundle", part("_vs").alias("_v"), each("_qs").alias("_q"))
 
     def cell(block: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         best = _Best(block, k, skip_self)
-        for start in range(0, len(points), STRIPE):
-            best.add(points.iloc[start : start + STRIPE])
+        known, place = np.unique(points["ring"].to_numpy(), return_inverse=True)
+        wanted = np.array([np.isin(known, r) for r in block["rings"]]).reshape(len(block), len(known))
+        order = np.argsort(place, kind="stable")
+        order = order[wanted.any(axis=0)[place[order]]] if len(block) else order[:0]
+        for start in range(0, len(order), STRIPE):
+            at = order[start : start + STRIPE]
+            best.add(points.iloc[at], wanted[:, place[at]])
         return best.result()
 
     schema = f"qid {_sql_type(asked, 'qid')}, chunk_id {_sql_type(cells.rows, 'chunk_id')}, score double"
-    keys = ("ring", "_q", "_v")
+    keys = ("bundle", "_q", "_v")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
 

@@ -51,13 +51,14 @@ class _Best:
         self.skip_self = skip_self
         self.parts: list[pd.DataFrame] = []
 
-    def add(self, vectors: pd.DataFrame) -> None:
+    def add(self, vectors: pd.DataFrame, asked: np.ndarray | None = None) -> None:
+        """Meet some vectors; ``asked`` (queries by vectors, all with a direction) names the pairs that count."""
         vectors = _directed(vectors)
         if len(vectors) == 0 or len(self.qid) == 0:
             return
         ids = vectors["chunk_id"].to_numpy()
         scores = np.round(self.matrix @ _matrix(vectors["vector"]).T, SCORE_DIGITS) + 0.0
-        allowed = np.ones(scores.shape, dtype=bool)
+        allowed = np.ones(scores.shape, dtype=bool) if asked is None else asked.copy()
         bound = ~pd.isna(self.group)
         if bound.any():
             allowed &= ~bound[:, None] | (self.group[:, None] == vectors["group_key"].to_numpy()[None, :])

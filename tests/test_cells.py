@@ -37,7 +37,7 @@ def same(got, want):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("bound, skip_self, blocks", [(False, True, (4096, 65536)), (True, False, (5, 16)), (False, False, (5, 16))])
+@pytest.mark.parametrize("bound, skip_self, blocks", [(False, True, (4096, 65536)), (True, False, (64, 512)), (False, False, (64, 512))])
 def test_same_lists_as_the_full_search(points, store, bound, skip_self, blocks):
     queries = asked(points, bound)
     # rows bound to a key meet rows of that key, so the full search needs the key on both sides or on none
