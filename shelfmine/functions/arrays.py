@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,3 +93,8 @@ def head_positions(lines: Column, is_head: Callable[[Column], Column]) -> Column
 
 def joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
+
+
+def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i], first[i] + 1, ...``, ``sizes[i]`` of them, of all ``i`` one after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
-from shelfmine.operators.vectors import STRIPE, VECTOR_BLOCK, _Best, _directed, _matrix, _sql_type, _with_group
+from shelfmine.operators.vectors import STRIPE, VECTOR_BLOCK, _directed, _Meeting, _matrix, _sql_type, _with_group
 from shelfmine.session import cut_lineage, drop_steps
 
 # centres are fitted on about this many rows; every row is dealt to its cell
@@ -35,9 +35,11 @@ ITERATIONS = 8
 RINGS = 32
 # vectors that a query scores to get its threshold, for each result that it wants
 FIRST_ROWS = 8
-QUERY_BLOCK = 4_096
-# cells are scored in bundles of about this many vectors, so that a query is copied once per bundle and not once per ring
+QUERY_BLOCK = 16_384
+# cells are scored in bundles of at least this many vectors, so that a query is copied once per bundle and not once per ring
 BUNDLE_ROWS = 4_096
+# larger tables are cut into about this many bundles, of at most VECTOR_BLOCK vectors
+BUNDLES = 12
 # scores are rounded and angles near zero are exact to about 1e-8, so a bound counts as reached from this far below
 SLACK = 2 * 10.0**-SCORE_DIGITS
 # numbers of a table of bounds held at once
@@ -188,7 +190,8 @@ def _scored(asked: DataFrame, rings: str, cells: VectorCells, k: int, skip_self:
     spark = asked.sparkSession
     ring, rows = cells.rings["ring"], cells.rings["rows"]
     per_cell = rows.sum() / max(1, (ring // RINGS).nunique())
-    width = RINGS * max(1, int(BUNDLE_ROWS / max(1.0, per_cell)))
+    wide = min(max(BUNDLE_ROWS, rows.sum() / BUNDLES), VECTOR_BLOCK)
+    width = RINGS * max(1, int(wide / max(1.0, per_cell)))
     bundle = lambda column: F.floor(column / F.lit(width)).cast("int")
     sizes = rows.groupby(ring // width).sum().rename_axis("bundle").reset_index(name="rows")
     sizes = spark.createDataFrame(sizes, "bundle int, rows long")
@@ -206,14 +209,17 @@ def _scored(asked: DataFrame, rings: str, cells: VectorCells, k: int, skip_self:
     right = right.select("chunk_id", "group_key", "vector", "ring", "bundle", part("_vs").alias("_v"), each("_qs").alias("_q"))
 
     def cell(block: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(block, k, skip_self)
+        block = _directed(block)
+        points = _directed(points)
+        best = _Meeting(block, k, skip_self)
         known, place = np.unique(points["ring"].to_numpy(), return_inverse=True)
         wanted = np.array([np.isin(known, r) for r in block["rings"]]).reshape(len(block), len(known))
         order = np.argsort(place, kind="stable")
         order = order[wanted.any(axis=0)[place[order]]] if len(block) else order[:0]
+        every = wanted.all()
         for start in range(0, len(order), STRIPE):
             at = order[start : start + STRIPE]
-            best.add(points.iloc[at], wanted[:, place[at]])
+            best.add(points.iloc[at], None if every else wanted[:, place[at]])
         return best.result()
 
     schema = f"qid {_sql_type(asked, 'qid')}, chunk_id {_sql_type(cells.rows, 'chunk_id')}, score double"

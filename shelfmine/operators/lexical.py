@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from shelfmine.functions.arrays import run_lengths
 from shelfmine.functions.text import index_terms
+from shelfmine.operators.lists import SCORE_DIGITS
 from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import fits_broadcast, join_small
 from shelfmine.session import cut_lineage
 
 K1 = 1.5
 B = 0.75
-SCORE_DIGITS = 6
 
 
 @dataclass(frozen=True)

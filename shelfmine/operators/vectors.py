@@ -15,12 +15,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.operators.lexical import SCORE_DIGITS, top_k
+from shelfmine.functions.arrays import spans
+from shelfmine.operators.lexical import top_k
+from shelfmine.operators.lists import BestLists
 from shelfmine.operators.skew import join_small
 
-QUERY_BLOCK = 1_024
+# a query side of this size goes to the tasks that read the vectors
+SHARED_QUERIES = 1_024
+# Every row is copied once per block of the other side, so blocks are large: the copies grow with the product of both tables
+# over the block's size. Smaller tables are cut into at least MIN_CELLS cells of FEW rows and more, to use all cores.
+QUERY_BLOCK = 16_384
 VECTOR_BLOCK = 65_536
-# rows of the product held at once inside a cell
+MIN_CELLS = 24
+FEW = 1_024
+MAX_BINS = 4_096
+# queries and vectors of the product held at once inside a cell
+QUERY_STRIPE = 1_024
 STRIPE = 4_096
 
 
@@ -40,16 +50,31 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 class _Best:
-    """Best ``k`` (score, chunk) per query among the stripes seen so far, in the order of the final sort."""
+    """Best ``k`` (score, chunk) per query among the stripes seen so far, in the order of the final sort.
+
+    Products are taken in single precision; cells that may be listed are computed again in double precision.
+    """
 
     def __init__(self, queries: pd.DataFrame, k: int, skip_self: bool) -> None:
         queries = _directed(queries)
         self.qid = queries["qid"].to_numpy()
-        self.group = queries["group_key"].to_numpy()
         self.matrix = _matrix(queries["vector"])
-        self.k = k
-        self.skip_self = skip_self
-        self.parts: list[pd.DataFrame] = []
+        self.rough = self.matrix.astype(np.float32)
+        # sums of products of unit vectors in single precision, with both sides rounded to it
+        self.error = (self.matrix.shape[1] + 8) * 2.0**-23
+        self.lists = [BestLists(min(QUERY_STRIPE, len(self.qid) - at), k) for at in range(0, len(self.qid), QUERY_STRIPE)]
+        self.names = None
+        if skip_self:
+            codes, self.names = pd.factorize(self.qid)
+            self.by_code = np.argsort(codes, kind="stable")
+            self.ends = np.searchsorted(codes[self.by_code], np.arange(len(self.names) + 1))
+
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of a query and the vector of the same identifier."""
+        code = pd.Index(self.names).get_indexer(ids) if len(self.names) else np.full(len(ids), -1)
+        columns = np.flatnonzero(code >= 0)
+        first, sizes = self.ends[code[columns]], self.ends[code[columns] + 1] - self.ends[code[columns]]
+        return self.by_code[spans(first, sizes)], np.repeat(columns, sizes)
 
     def add(self, vectors: pd.DataFrame, asked: np.ndarray | None = None) -> None:
         """Meet some vectors; ``asked`` (queries by vectors, all with a direction) names the pairs that count."""
@@ -57,42 +82,60 @@ class _Best:
         if len(vectors) == 0 or len(self.qid) == 0:
             return
         ids = vectors["chunk_id"].to_numpy()
-        scores = np.round(self.matrix @ _matrix(vectors["vector"]).T, SCORE_DIGITS) + 0.0
-        allowed = np.ones(scores.shape, dtype=bool) if asked is None else asked.copy()
-        bound = ~pd.isna(self.group)
-        if bound.any():
-            allowed &= ~bound[:, None] | (self.group[:, None] == vectors["group_key"].to_numpy()[None, :])
-        if self.skip_self:
-            allowed &= self.qid[:, None] != ids[None, :]
-        scores = np.where(allowed, scores, -np.inf)
-        rows, columns = self._candidates(scores, ids)
-        values = scores[rows, columns]
-        found = np.isfinite(values)
-        self.parts.append(
-            pd.DataFrame({"qid": self.qid[rows[found]], "chunk_id": ids[columns[found]], "score": values[found]})
-        )
-        if len(self.parts) > 16:
-            self.parts = [self.result()]
-
-    def _candidates(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells that may be among the best ``k`` of their row, ties included."""
-        if scores.shape[1] <= self.k:
-            return np.nonzero(np.ones(scores.shape, dtype=bool))
-        bound = np.partition(scores, -self.k, axis=1)[:, -self.k]
-        at_least = scores >= bound[:, None]
-        if at_least.sum() <= 4 * self.k * len(scores):
-            return np.nonzero(at_least)
-        # many equal scores (copies of one vector): order ties by identifier right here
-        by_id = np.argsort(ids, kind="stable")
-        best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, : self.k]]
-        return np.repeat(np.arange(len(scores)), self.k), best.ravel()
+        points = _matrix(vectors["vector"])
+        rough = points.astype(np.float32)
+        rows, columns = self._own(ids) if self.names is not None else (None, None)
+        for i, lists in enumerate(self.lists):
+            start = i * QUERY_STRIPE
+            stop = start + lists.n
+            scores = self.rough[start:stop] @ rough.T
+            if asked is not None:
+                scores[~asked[start:stop]] = -np.inf
+            if rows is not None:
+                here = (rows >= start) & (rows < stop)
+                scores[rows[here] - start, columns[here]] = -np.inf
+            block = self.matrix[start:stop]
+
+            def exact(r: np.ndarray, c: np.ndarray | None) -> np.ndarray:
+                return block[r] @ points.T if c is None else np.einsum("ij,ij->i", block[r], points[c])
+
+            lists.offer(scores, ids, exact, self.error)
 
     def result(self) -> pd.DataFrame:
-        if not self.parts:
+        found = [(self.qid[i * QUERY_STRIPE + r], ids, scores) for i, x in enumerate(self.lists) for r, ids, scores in [x.result()]]
+        found = [pd.DataFrame({"qid": q, "chunk_id": ids, "score": scores}) for q, ids, scores in found if len(q)]
+        if not found:
             empty = pd.Series([], dtype=object)
             return pd.DataFrame({"qid": empty, "chunk_id": empty, "score": pd.Series([], dtype=float)})
-        merged = pd.concat(self.parts).sort_values(["qid", "score", "chunk_id"], ascending=[True, False, True])
-        return merged.groupby("qid", sort=False).head(self.k)
+        # a null qid gets no list
+        return pd.concat(found).dropna(subset=["qid"])
+
+
+class _Meeting:
+    """A block of queries of any keys: those of a key meet vectors of that key only, those without one meet all."""
+
+    def __init__(self, queries: pd.DataFrame, k: int, skip_self: bool) -> None:
+        self.rows = {key: at for key, at in queries.reset_index(drop=True).groupby("group_key", sort=False).indices.items()}
+        free = np.flatnonzero(queries["group_key"].isna().to_numpy())
+        self.bound = {key: _Best(queries.iloc[at], k, skip_self) for key, at in self.rows.items()}
+        self.free, self.free_rows = (_Best(queries.iloc[free], k, skip_self) if len(free) else None), free
+
+    def add(self, points: pd.DataFrame, asked: np.ndarray | None = None) -> None:
+        """Meet some vectors, in stripes; ``asked`` as in ``_Best.add``."""
+        if self.free is not None:
+            for start in range(0, len(points), STRIPE):
+                part = slice(start, start + STRIPE)
+                self.free.add(points.iloc[part], None if asked is None else asked[self.free_rows, part])
+        if self.bound:
+            for key, at in points.reset_index(drop=True).groupby("group_key", sort=False).indices.items():
+                if key in self.bound:
+                    for start in range(0, len(at), STRIPE):
+                        part = at[start : start + STRIPE]
+                        self.bound[key].add(points.iloc[part], None if asked is None else asked[np.ix_(self.rows[key], part)])
+
+    def result(self) -> pd.DataFrame:
+        every = [*self.bound.values(), *([self.free] if self.free is not None else [])]
+        return pd.concat([x.result() for x in every]) if every else _Best(pd.DataFrame({"qid": [], "vector": []}), 1, False).result()
 
 
 def cosine_topk(
@@ -121,10 +164,10 @@ def cosine_topk(
         vectors = join_small(vectors, groups, ["group_key"], "chunk_id", "left_semi").select(
             "chunk_id", "group_key", "vector"
         )
-    if total <= query_block:
+    if total <= min(query_block, SHARED_QUERIES):
         cells = _one_query_block(queries, vectors, k, skip_self, schema)
     else:
-        cells = _block_grid(queries, vectors, k, skip_self, schema, query_block, vector_block)
+        cells = _block_grid(queries, vectors, k, skip_self, schema, query_block, vector_block, bound == total)
     return top_k(cells, k).select("qid", "rank", "chunk_id", "score")
 
 
@@ -141,10 +184,9 @@ def _one_query_block(queries: DataFrame, vectors: DataFrame, k: int, skip_self:
     shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(shared.value, k, skip_self)
+        best = _Meeting(shared.value, k, skip_self)
         for batch in batches:
-            for start in range(0, len(batch), STRIPE):
-                best.add(batch.iloc[start : start + STRIPE])
+            best.add(batch)
         yield best.result()
 
     return vectors.mapInPandas(score, schema)
@@ -158,25 +200,35 @@ def _block_grid(
     schema: str,
     query_block: int,
     vector_block: int,
+    by_group: bool,
 ) -> DataFrame:
-    """Grid of cells; each row is repeated once per block of the other side, each cell holds bounded blocks."""
-    query_cells = max(1, -(-queries.count() // query_block))
-    vector_cells = max(1, -(-vectors.count() // vector_block))
-    across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(query_cells)).cast("int")).withColumn(
-        "_v", across(vector_cells)
-    )
-    right = vectors.withColumn("_v", F.pmod(F.xxhash64("chunk_id"), F.lit(vector_cells)).cast("int")).withColumn(
-        "_q", across(query_cells)
-    )
+    """Grid of cells; each row is repeated once per block of the other side, each cell holds bounded blocks.
+
+    With ``by_group``, where every query is tied to a group, rows are first dealt to bins by group, so that a row is only
+    repeated within its bin.
+    """
+    most = -(-max(queries.count(), vectors.count()) // FEW)
+    bins = max(1, min(MAX_BINS, most)) if by_group else 1
+    binned = lambda df: df.withColumn("_g", F.pmod(F.xxhash64("group_key"), F.lit(bins)).cast("int"))
+    queries, vectors = binned(queries), binned(vectors)
+    sizes = lambda df, name: df.groupBy("_g").agg(F.count(F.lit(1)).alias(name))
+    # one row per bin, at most MAX_BINS
+    counts = sizes(queries, "_nq").join(sizes(vectors, "_nv"), "_g").collect()
+    each = -(-MIN_CELLS // max(1, len(counts)))
+    layout = [(r["_g"], max(-(-r["_nq"] // query_block), min(-(-r["_nq"] // FEW), each)), -(-r["_nv"] // vector_block)) for r in counts]
+    layout = F.broadcast(queries.sparkSession.createDataFrame(layout, "_g int, _qs int, _vs int"))
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    left = queries.join(layout, "_g").withColumn("_q", place("qid", "_qs")).withColumn("_v", across("_vs"))
+    right = vectors.join(layout, "_g").withColumn("_v", place("chunk_id", "_vs")).withColumn("_q", across("_qs"))
+    left, right = left.drop("_qs", "_vs"), right.drop("_qs", "_vs")
 
     def cell(block: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(block, k, skip_self)
-        for start in range(0, len(points), STRIPE):
-            best.add(points.iloc[start : start + STRIPE])
+        best = _Meeting(block, k, skip_self)
+        best.add(points)
         return best.result()
 
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(cell, schema)
+    return left.groupBy("_g", "_q", "_v").cogroup(right.groupBy("_g", "_q", "_v")).applyInPandas(cell, schema)
 
 
 def latest_points(points: DataFrame, order: str) -> DataFrame:

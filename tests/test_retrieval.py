@@ -2,11 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmine.operators import evaluation as ev
 from shelfmine.operators import fusion, lexical, skew, vectors
+from shelfmine.operators.lists import BestLists
 from shelfmine.session import fresh_table_path
 from shelfmine.sources import index_store
 
@@ -150,6 +152,55 @@ def test_cosine_within_groups_and_empty_side(spark):
     assert vectors.cosine_topk(queries, points.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [(16_384, 65_536), (5, 8)])
+def test_cosine_within_groups_by_blocks(spark, blocks, monkeypatch):
+    """Groups of very different sizes, one of them all copies, on the grid of cells."""
+    monkeypatch.setattr(vectors, "SHARED_QUERIES", 10)
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2] if i < 100 else f"g{i}", [1.0, 2.0, 3.0] if i % 2 else [float(x) for x in rng.normal(size=3)]) for i in range(130)]
+    points = spark.createDataFrame(rows, "chunk_id long, group_key string, vector array<double>")
+    queries = points.withColumnRenamed("chunk_id", "qid")
+    got = vectors.cosine_topk(queries, points, 4, True, *blocks).collect()
+    unit = np.array([v for _, _, v in rows]) / np.linalg.norm([v for _, _, v in rows], axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    for i, group, _ in rows:
+        others = [j for j, g, _ in rows if g == group and j != i]
+        want = [(j, scores[i, j]) for j in sorted(others, key=lambda j: (-scores[i, j], j))[:4]]
+        assert ranked(r for r in got if r["qid"] == i) == want
+
+
+def test_queries_of_a_group_meet_no_other_vectors(monkeypatch):
+    """The products of a block are those within groups, not all pairs with most of them left out afterwards."""
+    pairs = []
+    add = vectors._Best.add
+    monkeypatch.setattr(vectors._Best, "add", lambda self, part, asked=None: (pairs.append(len(self.qid) * len(part)), add(self, part, asked)))
+    rows = pd.DataFrame({"qid": range(400), "group_key": [f"g{i % 10}" for i in range(400)], "vector": [np.array([1.0, i]) for i in range(400)]})
+    meeting = vectors._Meeting(rows, 3, False)
+    meeting.add(rows.rename(columns={"qid": "chunk_id"}))
+    assert sum(pairs) == 10 * 40 * 40
+    assert len(meeting.result()) == 400 * 3
+
+
+@pytest.mark.parametrize("values", [3, 10_000])
+def test_best_lists_in_stripes(values):
+    """Lists that are kept while stripes pass by, with few distinct scores and with many, beside a full sort."""
+    rng = np.random.default_rng(6)
+    scores = np.round(rng.integers(0, values, size=(30, 900)) / values, 6)
+    scores[0, 200:] = -np.inf
+    scores[1] = -np.inf
+    ids = rng.permutation(900)
+    best = BestLists(30, 5)
+    for start in range(0, 900, 150):
+        part = scores[:, start : start + 150]
+        exact = lambda r, c: part[r] if c is None else part[r, c]
+        best.offer((part + np.where(part % 0.002 > 0.001, 1e-7, -1e-7)).astype(np.float32), ids[start : start + 150], exact, 1e-6)
+    rows, found, got = best.result()
+    for q in range(30):
+        fine = [i for i in range(900) if np.isfinite(scores[q, i])]
+        want = sorted(fine, key=lambda i: (-scores[q, i], ids[i]))[:5]
+        assert list(zip(found[rows == q], got[rows == q])) == [(ids[i], scores[q, i]) for i in want]
+
+
 def test_latest_points_and_fetch_order(spark):
     points = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x")], "chunk_id string, seq int, text string")
     latest = vectors.latest_points(points, "seq")
