@@ -1,21 +1,29 @@
 """Inverted index and BM25.
 
 Terms are counted inside each document row, so building postings needs no shuffle. Scoring keeps the terms of
-a document together: query terms are joined to the postings by broadcast, the sum per (query, document) runs in
-the partition of the document, and only each partition's best rows per query are exchanged.
+a document together: the counted query terms go to every task, which adds up the scores of bounded stripes of chunks and keeps
+the best of each query, so only these are exchanged and no list of pairs is made. ``bm25_scores`` makes that list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfmine.functions.arrays import run_lengths
+from shelfmine.functions.arrays import run_lengths, spans
 from shelfmine.functions.text import index_terms
-from shelfmine.operators.lists import SCORE_DIGITS
+from shelfmine.operators.lists import SCORE_DIGITS, BestLists
 from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import fits_broadcast, join_small
 from shelfmine.session import cut_lineage
@@ -174,6 +182,167 @@ def bm25_scores(
     return hits.groupBy("qid", "slug", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 
 
+# pairs, and occurrences of query terms, that a task holds at once
+CELLS_HELD = 1_000_000
+# results that a task holds before it hands them on
+RESULTS_HELD = 1_000_000
+
+
+@dataclass(frozen=True)
+class _Wanted:
+    """Weighted query terms by key: ``query`` and ``weight`` from ``ends[i]`` to ``ends[i + 1]`` belong to ``keys[i]``."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, float]]) -> _Wanted:
+        key, query, weight = (np.array(x, dtype=t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (np.int64, np.int64, float)))
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        return cls(keys, np.append(first, len(order)), query[order], weight[order])
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the entries of each key."""
+        if len(self.keys) == 0:
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.ends[at], np.where(self.keys[at] == keys, self.ends[at + 1] - self.ends[at], 0)
+
+
+def _matched(index: LexicalIndex, words: list[str]) -> tuple[DataFrame, dict[int, float], float]:
+    """``(chunk_id, slug, dl, codes, tfs)`` of the chunks with the numbers of the given words in them, the idf of these
+    numbers, and the average length."""
+    spark = index.lengths.sparkSession
+    if index.tokens is None:
+        known = spark.createDataFrame(list(enumerate(words)), "code int, term string")
+        vocabulary = known.select("term")
+        small = F.broadcast(known)
+        rows = _pushed(index.postings, vocabulary, True).join(small, "term").groupBy("chunk_id", "slug", "dl")
+        pairs = rows.agg(F.collect_list(F.struct("code", "tf")).alias("runs"))
+        matched = pairs.select("chunk_id", "slug", "dl", *[F.col("runs")[x].cast("array<int>").alias(x + "s") for x in ("code", "tf")])
+        avgdl = corpus_stats(index.lengths).first()["avgdl"] if index.totals is None else index.totals[1] / max(index.totals[0], 1)
+        idf = {r["code"]: r["idf"] for r in term_stats(index).join(small, "term").select("code", "idf").collect()}
+        return matched, idf, avgdl
+
+    # the texts are tokenised once: what the queries need of them is written, one row per chunk, and read three times
+    tokens = index.tokens.select("chunk_id", "slug", "dl", "runs")
+    shared = spark.sparkContext.broadcast(words)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(3)
+            flat, parent = runs.flatten(), pc.list_parent_indices(runs)
+            terms, tf = pc.struct_field(flat, 0), pc.struct_field(flat, 1)
+            code = pc.index_in(terms, value_set=pa.array(shared.value, terms.type))
+            known = pc.is_valid(code)
+            sizes = np.bincount(parent.filter(known).to_numpy(), minlength=len(runs))
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x.filter(known).cast(pa.int32())) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["chunk_id", "slug", "dl", "codes", "tfs"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema.fields[:3])
+    matched = cut_lineage(tokens.mapInArrow(pick, f"{kinds}, codes array<int>, tfs array<int>"), "matched")
+    n, avgdl = corpus_stats(matched).first()
+    counts = matched.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+    # one row per word of the queries
+    return matched, {r["code"]: log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0) for r in counts.collect()}, avgdl
+
+
+def bm25_best(
+    queries: DataFrame,
+    index: LexicalIndex,
+    k: int,
+    by_slug: bool = False,
+    text_col: str = "query",
+    k1: float = K1,
+    b: float = B,
+) -> DataFrame:
+    """``(qid, slug, chunk_id, score, rank)``: the best ``k`` rows of ``bm25_scores`` per query or, with ``by_slug``, per query
+    and slug of the chunks; otherwise ``slug`` is null. A chunk is one row of the index.
+
+    Query terms are counted before they go to the tasks; a larger query side is joined and exchanged instead.
+    """
+    terms = query_terms(queries, text_col)
+    per = ("qid", "slug") if by_slug else ("qid",)
+    if not fits_broadcast(terms):
+        return top_k(bm25_scores(queries, index, text_col, k1, b), k, per)
+    spark = queries.sparkSession
+    asked = terms.collect()
+    words = sorted({r["term"] for r in asked})
+    matched, idf, avgdl = _matched(index, words)
+
+    code = {w: i for i, w in enumerate(words)}
+    number = {q: i for i, q in enumerate(dict.fromkeys(r["qid"] for r in asked))}
+    only = [r["slug"] if "slug" in terms.columns else None for r in asked]
+    slugs = {s: i for i, s in enumerate(dict.fromkeys(s for s in only if s is not None))}
+    free, bound = [], []
+    for r, slug in zip(asked, only):
+        if (c := code[r["term"]]) in idf:
+            row = (c if slug is None else slugs[slug] * len(words) + c, number[r["qid"]], r["qtf"] * idf[c])
+            (free if slug is None else bound).append(row)
+    schema = T.StructType(
+        [T.StructField("qid", queries.schema["qid"].dataType), T.StructField("slug", matched.schema["slug"].dataType)]
+        + [T.StructField("chunk_id", matched.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]
+    )
+    kinds = to_arrow_schema(schema)
+    shared = spark.sparkContext.broadcast((pa.array(list(number), kinds.field(0).type), slugs, _Wanted.of(free), _Wanted.of(bound)))
+    n_words = len(words)
+
+    def rows_of(lists: dict) -> Iterator[pa.RecordBatch]:
+        qids = shared.value[0]
+        for slug, best in lists.items():
+            rows, ids, scores = best.result()
+            columns = [qids.take(pa.array(rows)), pa.array([slug] * len(rows), kinds.field(1).type)]
+            columns += [pa.array(ids, kinds.field(2).type), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, slugs, free, bound = shared.value
+        lists: dict = {}
+        for batch in batches:
+            ids = batch.column(0)
+            ids = np.array(ids.to_pylist(), dtype=object) if ids.null_count else ids.to_numpy(zero_copy_only=False)
+            slug = np.array(batch.column(1).to_pylist(), dtype=object)
+            codes, tf = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (3, 4))
+            chunk = np.repeat(np.arange(len(ids)), pc.list_value_length(batch.column(3)).to_numpy())
+            dl = batch.column(2).to_numpy(zero_copy_only=False)[chunk]
+            weight = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / (avgdl or 1.0)))
+            home = np.array([slugs.get(s, -1) for s in slug], dtype=np.int64)[chunk]
+            found = [(free, *free.found(codes)), (bound, *bound.found(np.where(home < 0, -1, home * n_words + codes)))]
+            hits = np.bincount(chunk, sum(sizes for _, _, sizes in found), minlength=len(ids))
+            cost = np.where(hits > 0, np.cumsum(np.where(hits > 0, hits + len(qids), 0)) // CELLS_HELD, -1)
+            for stripe in range(int(cost.max(initial=-1)) + 1):
+                chunks = np.flatnonzero(cost == stripe)
+                if len(chunks) == 0:
+                    continue
+                at = slice(*np.searchsorted(chunk, [chunks[0], chunks[-1] + 1]))
+                place = np.searchsorted(chunks, chunk[at])
+                parts = [(spans(first[at], sizes[at]), sizes[at], wanted) for wanted, first, sizes in found]
+                query = np.concatenate([wanted.query[x] for x, _, wanted in parts])
+                cell = np.concatenate([np.repeat(place, sizes) for _, sizes, _ in parts])
+                value = np.concatenate([wanted.weight[x] * np.repeat(weight[at], sizes) for x, sizes, wanted in parts])
+                present = np.flatnonzero(np.bincount(query, minlength=len(qids)))
+                row = np.searchsorted(present, np.arange(len(qids)))
+                sums = np.bincount(row[query] * len(chunks) + cell, value, minlength=len(present) * len(chunks))
+                sums = sums.reshape(len(present), len(chunks))
+                sums[sums <= 0.0] = -np.inf
+                groups = pd.Series(slug[chunks]).groupby(slug[chunks], sort=False, dropna=False).indices if by_slug else {None: slice(None)}
+                for name, columns in groups.items():
+                    name = None if name is None or name != name else name
+                    block = sums[:, columns]
+                    best = lists.setdefault(name, BestLists(len(qids), k))
+                    best.offer(block, ids[chunks][columns], lambda r, c: block[r] if c is None else block[r, c], queries=present)
+            if len(lists) * len(qids) * k > RESULTS_HELD:
+                yield from rows_of(lists)
+                lists = {}
+        yield from rows_of(lists)
+
+    return top_k(matched.mapInArrow(score, schema), k, per)
+
+
 def top_k(scores: DataFrame, k: int, partition: tuple[str, ...] = ("qid",), tie: str = "chunk_id") -> DataFrame:
     """Best ``k`` rows per partition with a one-based ``rank``; Spark prunes each task to ``k`` rows first."""
     order = W.partitionBy(*partition).orderBy(F.desc("score"), F.asc(tie))
@@ -194,7 +363,7 @@ def bm25_topk(
     With ``pad``, a query with fewer than ``k`` matching chunks is filled with the first chunks by identifier
     at score 0, as a full sort over all chunks would do.
     """
-    found = top_k(bm25_scores(queries, index, text_col, k1, b), k).select("qid", "rank", "chunk_id", "score")
+    found = bm25_best(queries, index, k, False, text_col, k1, b).select("qid", "rank", "chunk_id", "score")
     return with_padding(found, queries, index, k) if pad else found
 
 

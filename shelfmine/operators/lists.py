@@ -20,6 +20,13 @@ def rounded(scores: np.ndarray) -> np.ndarray:
     return np.round(scores, SCORE_DIGITS) + 0.0
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Places in ascending order, nulls first as in Spark."""
+    if ids.dtype.kind in "iu":
+        return np.argsort(ids, kind="stable")
+    return pd.Series(ids).sort_values(kind="stable", na_position="first").index.to_numpy()
+
+
 class BestLists:
     """Best ``k`` (score, identifier) of ``n`` queries, ties to the smaller identifier."""
 
@@ -30,12 +37,22 @@ class BestLists:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, exact: Callable[[np.ndarray, np.ndarray | None], np.ndarray], error: float = 0.0) -> None:
+    def offer(
+        self,
+        scores: np.ndarray,
+        ids: np.ndarray,
+        exact: Callable[[np.ndarray, np.ndarray | None], np.ndarray],
+        error: float = 0.0,
+        queries: np.ndarray | None = None,
+    ) -> None:
         """``scores`` are within ``error`` of the exact ones, and ``-inf`` where a pair does not count. ``exact(rows, columns)``
-        gives the exact scores of single cells, without columns those of whole rows."""
+        gives the exact scores of single cells, without columns those of whole rows. ``queries`` are the numbers of the rows'
+        queries, if these are not all."""
         slack = 2.0 * error + ROUNDING
-        floor = self.least - slack
-        fresh = np.flatnonzero(np.isneginf(self.least))
+        least = self.least if queries is None else self.least[queries]
+        floor = least - slack
+        fresh = np.flatnonzero(np.isneginf(least))
+        number = np.arange(self.n) if queries is None else queries
         if len(fresh) and scores.shape[1] > self.k:
             block = scores if len(fresh) == len(scores) else scores[fresh]
             floor[fresh] = np.partition(block, -self.k, axis=1)[:, -self.k].astype(np.float64) - slack
@@ -48,15 +65,15 @@ class BestLists:
         if len(heavy):
             light = ~np.isin(rows, heavy)
             rows, columns = rows[light], columns[light]
-            by_id = np.argsort(ids, kind="stable")
+            by_id = _order(ids)
             for start in range(0, len(heavy), 256):
                 some = heavy[start : start + 256]
                 values = np.where(np.isneginf(scores[some]), -np.inf, rounded(exact(some, None)))[:, by_id]
                 best = np.argsort(-values, axis=1, kind="stable")[:, : self.k]
-                self._hold(np.repeat(some, best.shape[1]), ids[by_id[best.ravel()]], np.take_along_axis(values, best, axis=1).ravel())
+                self._hold(np.repeat(number[some], best.shape[1]), ids[by_id[best.ravel()]], np.take_along_axis(values, best, axis=1).ravel())
         for start in range(0, len(rows), 65_536):
             r, c = rows[start : start + 65_536], columns[start : start + 65_536]
-            self._hold(r, ids[c], rounded(exact(r, c)))
+            self._hold(number[r], ids[c], rounded(exact(r, c)))
         if self.waiting > self.n * self.k:
             self._reduce()
 
@@ -67,10 +84,8 @@ class BestLists:
 
     def _reduce(self) -> None:
         rows, ids, scores = (np.concatenate(x) for x in zip(*self.parts))
-        if ids.dtype.kind in "iuf":
-            order = np.lexsort((ids, -scores, rows))
-        else:
-            order = pd.DataFrame({"r": rows, "s": -scores, "i": ids}).sort_values(["r", "s", "i"]).index.to_numpy()
+        by_id = _order(ids)
+        order = by_id[np.lexsort((-scores[by_id], rows[by_id]))]
         rows, ids, scores = rows[order], ids[order], scores[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         kept = place < self.k

@@ -148,8 +148,8 @@ SELECT qid, source AS slug, rank, doc_id AS chunk_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""",
 )
 def bm25_topk_by_source(spark, folder):
-    scores = lexical.bm25_scores(benchmark_queries(spark, folder), document_index(spark, folder))
-    return lexical.top_k(scores, 3, ("qid", "slug")).select("qid", "slug", "rank", "chunk_id", "score")
+    best = lexical.bm25_best(benchmark_queries(spark, folder), document_index(spark, folder), 3, by_slug=True)
+    return best.select("qid", "slug", "rank", "chunk_id", "score")
 
 
 @register(

@@ -71,6 +71,42 @@ def test_salted_scoring_equals_broadcast_scoring(spark, monkeypatch):
     assert sorted(plain) == sorted(salted)
 
 
+def many_chunks(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i}", [None, "a", "b", "c"][i % 4], " ".join(rng.choice(words, size=i % 23))) for i in range(300)]
+    rows += [(f"copy{i}", "a", "w1 w2 w3") for i in range(120)] + [("none", "b", None)]
+    return spark.createDataFrame(rows, "chunk_id string, slug string, text string").repartition(3)
+
+
+@pytest.mark.parametrize("by_slug", [False, True])
+@pytest.mark.parametrize("stored", [False, True])
+def test_best_chunks_are_those_of_all_scores(spark, monkeypatch, by_slug, stored):
+    """Queries with and without a slug, over small stripes and few held results."""
+    monkeypatch.setattr(lexical, "CELLS_HELD", 90)
+    monkeypatch.setattr(lexical, "RESULTS_HELD", 60)
+    asked = [(0, "w1 w2 w2 w5", None), (1, "w1 w2 w3", "a"), (2, "w7 nowhere", "b"), (3, "nowhere", None), (4, "w9 w30 w31", None), (5, "w3", "zz"), (6, None, None)]
+    queries = spark.createDataFrame(asked, "qid int, query string, slug string")
+    index = lexical.build_index(many_chunks(spark))
+    if stored:
+        index = lexical.LexicalIndex(index.lengths, index.postings, lexical.term_stats(index))
+    per = ("qid", "slug") if by_slug else ("qid",)
+    columns = [*per, "rank", "chunk_id", "score"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    got = rows(lexical.bm25_best(queries, index, 4, by_slug))
+    assert got == rows(lexical.top_k(lexical.bm25_scores(queries, index), 4, per))
+    assert len(got) > 10
+
+
+def test_best_chunks_exchange_no_pairs(spark):
+    """Every task hands on its best rows only; pairs of queries and chunks are neither exchanged nor grouped."""
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(30)], "qid int, query string")
+    found = lexical.bm25_topk(queries, lexical.build_index(many_chunks(spark)), 2, pad=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" not in plan and "keys=[qid" not in plan
+    assert "hashpartitioning(qid" in plan
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_small_salted_equals_plain(spark, how):
     big = spark.range(500).select((F.col("id") % 7).alias("k"), "id")
