@@ -6,11 +6,17 @@ meant for tests and wiring and makes no claim about quality.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmine.functions.arrays import let, run_lengths, strip
 from shelfmine.functions.text import extractive_summary, index_terms, is_comparison, pieces, query_words
@@ -50,29 +56,49 @@ class Rephraser(Protocol):
         """Another phrasing, or an empty string."""
 
 
+# terms whose bucket a task remembers
+REMEMBERED = 200_000
+
+
 @dataclass(frozen=True)
 class HashingEmbedder:
-    """Term counts hashed into ``dimensions`` buckets, normalised. Terms are counted in the JVM."""
+    """Term counts hashed into ``dimensions`` buckets, normalised. Terms are counted in the JVM, each distinct term of a batch is
+    hashed once."""
 
     dimensions: int = 64
 
     def embed(self, rows: DataFrame, text: str) -> DataFrame:
-        bucket = lambda term: F.pmod(F.conv(F.left(F.md5(term), F.lit(8)), 16, 10).cast("long"), F.lit(self.dimensions))
-        # each distinct term is hashed once; then occurrences are counted by bucket, by the same sort that counts terms
-        hashed = lambda runs: F.flatten(F.transform(runs, lambda r: F.array_repeat(bucket(r["term"]), r["tf"])))
-        counts = run_lengths(let(run_lengths(index_terms(F.col(text))), hashed), "bucket", "n")
-
-        def unit(sums: Column) -> Column:
-            norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda done, x: done + x * x))
-            return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-
-        def spread(known: Column) -> Column:
-            at = F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda b: F.try_element_at(known, b.cast("long")))
-            return F.transform(at, lambda n: F.coalesce(n.cast("double"), F.lit(0.0)))
-
-        empty = F.array().cast("array<struct<bucket:bigint,n:int>>")
-        known = F.map_from_entries(F.coalesce(counts, empty))
-        return rows.withColumn("vector", let(let(known, spread), unit))
+        counted = rows.withColumn("_runs", run_lengths(index_terms(F.col(text))))
+        return self.of_runs(counted, "_runs")
+
+    def of_runs(self, rows: DataFrame, runs: str) -> DataFrame:
+        """Rows with ``vector`` in place of a column ``array<struct<term, tf>>``."""
+        kept = [f for f in rows.schema.fields if f.name not in (runs, "vector")]
+        schema = T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+        rows = rows.select(*[f"`{f.name}`" for f in kept], runs)
+        width = self.dimensions
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket: dict[str, int] = {}
+            for batch in batches:
+                counts = batch.column(batch.num_columns - 1)
+                flat, parent = counts.flatten(), pc.list_parent_indices(counts).to_numpy().astype(np.int64)
+                terms = pc.struct_field(flat, 0).dictionary_encode()
+                if len(bucket) > REMEMBERED:
+                    bucket = {}
+                names = terms.dictionary.to_pylist()
+                for name in names:
+                    if name not in bucket:
+                        bucket[name] = int(md5(name.encode()).hexdigest()[:8], 16) % width
+                at = np.array([bucket[name] for name in names], dtype=np.int64)[terms.indices.to_numpy()]
+                tf = pc.struct_field(flat, 1).to_numpy()
+                sums = np.bincount(parent * width + at, tf, minlength=len(counts) * width).reshape(-1, width)
+                norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+                ends = pa.array(np.arange(len(counts) + 1) * width, pa.int32())
+                vector = pa.ListArray.from_arrays(ends, pa.array((sums / np.where(norm > 0.0, norm, 1.0)).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], [f.name for f in schema.fields])
+
+        return rows.mapInArrow(vectors, schema)
 
 
 @dataclass(frozen=True)

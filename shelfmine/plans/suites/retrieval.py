@@ -16,7 +16,7 @@ from shelfmine.operators.rows import unfolded_values
 from shelfmine.plans import search
 from shelfmine.plans import sqltext as sq
 from shelfmine.plans.registry import register, table
-from shelfmine.session import fresh_table_path
+from shelfmine.session import cut_lineage, fresh_table_path
 from shelfmine.sources.points import page_bounds, write_points
 from shelfmine.sources.segments import SegmentedLibrary, index_tables
 
@@ -38,9 +38,12 @@ def document_index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
 
 
 def document_library(spark: SparkSession, folder: str) -> search.Library:
+    """Both indexes over texts that are tokenised once: the terms of each chunk are written and read by either."""
     chunks = document_chunks(spark, folder)
     embedder = HashingEmbedder()
-    return search.Library(chunks, search.embedded(chunks, embedder), lexical.build_index(chunks), embedder)
+    tokens = cut_lineage(lexical.build_index(chunks).tokens, "tokens")
+    vectors = embedder.of_runs(tokens.select("chunk_id", "slug", "runs"), "runs")
+    return search.Library(chunks, vectors, lexical.index_of_tokens(tokens), embedder)
 
 
 Q = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
@@ -434,9 +437,10 @@ SELECT metric, tb.v AS baseline, ta.v AS adaptive, round((ta.v - tb.v) / nullif(
 FROM ta JOIN tb USING (metric)""",
 )
 def search_improvement(spark, folder):
-    gold = golden(spark, folder)
-    base = ev.evaluate(ev.gold_ranks(gold, weighted_fusion(spark, folder)))
-    return ev.improvement(base, ev.evaluate(adaptive_ranks(spark, folder)))
+    gold = cut_lineage(golden(spark, folder), "gold")
+    queries, library = benchmark_queries(spark, folder), document_library(spark, folder)
+    base = ev.evaluate(ev.gold_ranks(gold, search.baseline_search(queries, library, K)))
+    return ev.improvement(base, ev.evaluate(ev.gold_ranks(gold, search.hybrid_search(queries, library, K))))
 
 
 # rows of one source have no source: a null group is a group like others
