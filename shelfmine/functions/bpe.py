@@ -9,6 +9,7 @@ size, read on the driver from the path that the caller gives.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 # Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # words of a task that are worked on together, and distinct words that it remembers
-WORDS_AT_ONCE = 500_000
-REMEMBERED = 500_000
+WORDS_AT_ONCE = 100_000
+REMEMBERED = 200_000
 # bytes of a word that is merged by looking through all pairs
 SCANNED = 64
 
@@ -103,7 +104,8 @@ class _Encoder:
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
-        self.known: dict[bytes, list[int]] = {}
+        # ids as the bytes of 32-bit numbers, a fraction of the size of a list
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)``: the tokens of all words in a row, and how many each word has."""
@@ -113,10 +115,10 @@ class _Encoder:
         lists = []
         for word in coded.dictionary.to_pylist():
             if (found := self.known.get(word)) is None:
-                found = self.known[word] = merged(word, self.ranks)
+                found = self.known[word] = array("i", merged(word, self.ranks)).tobytes()
             lists.append(found)
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(sizes.sum()))
+        sizes = np.array([len(x) for x in lists], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(lists), dtype=np.int32)
         first = np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy()
         counts = sizes[at]

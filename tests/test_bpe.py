@@ -2,8 +2,10 @@
 
 import base64
 import random
+import sys
 import time
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -102,3 +104,15 @@ def test_file_that_is_no_byte_vocabulary(tmp_path):
     (tmp_path / "v").write_text("YQ== 0\n")
     with pytest.raises(ValueError, match="255 bytes"):
         bpe.read_ranks(str(tmp_path / "v"))
+
+
+def test_memory_of_a_task_is_bounded(pairs, library):
+    """A task remembers a bounded number of words, and of each no more than its ids' bytes."""
+    encoder = bpe._Encoder(pairs.ranks.value)
+    for start in range(0, 500_000, 50_000):
+        words = pa.array([f"x{i}q".encode() for i in range(start, start + 50_000)], pa.binary())
+        ids, counts = encoder.ids(words)
+        assert len(encoder.known) <= bpe.REMEMBERED + 50_000
+    assert sys.getsizeof(encoder.known[b"x499999q"]) < 33 + 4 * 8 + 1
+    assert library.decode_bytes(ids[-counts[-1] :].tolist()) == b"x499999q"
+    assert ids.dtype == "int32" and bpe.REMEMBERED + bpe.WORDS_AT_ONCE <= 300_000
