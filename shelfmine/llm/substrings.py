@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces, written
@@ -384,9 +385,11 @@ def repeats(
     columns are not read.
     """
     found = written(windows(docs, id_col, text_col, least, functions, words), "windows")
-    shared = found.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("last")).where("hub < last")
-    # only windows whose signature two documents have; they are few, and everything after works on them
-    met = written(found.join(shared.select("key", "hub"), "key").select("key", "rid", "hub", "at", "back", "forth"), "met")
+    # only windows whose signature two documents have; they are few, and everything after works on them. A window function, so
+    # that all windows are exchanged once and not a second time for the first and last document of each signature
+    same = W.partitionBy("key")
+    both = found.withColumns({"hub": F.min("rid").over(same), "last": F.max("rid").over(same)}).where("hub < last")
+    met = written(both.select("key", "rid", "hub", "at", "back", "forth"), "met")
     drop_steps(found)
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
     points = met.where("rid <> hub").join(hubs, "key").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()

@@ -143,3 +143,21 @@ def test_word_values_by_definition():
     words = [w for t in texts for w in t.split()]
     assert n.tolist() == [len(t.split()) for t in texts]
     assert len(set(values.tolist())) == len(set(words)) == len(set(zip(words, values.tolist())))
+
+
+def test_windows_are_exchanged_once(spark, monkeypatch):
+    """The largest table is dealt by signature a single time; its shuffle files are the most that the job has on disk."""
+    exchanges = {}
+    keep = substrings.written
+
+    def watched(df, stem):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges.setdefault(stem, plan.count("Exchange hashpartitioning"))
+        return keep(df, stem)
+
+    monkeypatch.setattr(substrings, "written", watched)
+    passage = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, "a b c " + passage), (2, passage + " d e f"), (3, "short text")], "doc_id long, text string")
+    found = substrings.repeats(docs).collect()
+    assert {(r["stop"] - r["start"]) for r in found} == {120}
+    assert exchanges["met"] == 1
