@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[list[bytes]
         yield texts[start:]
 
 
+def byte_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The texts of a column as ``pieces`` of bytes, of which one is held at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.r_[0, sizes], dtype=np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
+        yield as_bytes(column.slice(start, stop - start))
+        start = stop
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """``crc32(doc_id as text) mod parts``; a null id counts as the text "null"."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(parts)).cast("int")

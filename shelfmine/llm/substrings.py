@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import PIECE_BYTES, as_bytes, mixed, pieces, written
+from shelfmine.llm.common import PIECE_BYTES, byte_pieces, mixed, written
 from shelfmine.llm.shingles import SIMILARITY, WORDS, text_shingles
 from shelfmine.session import drop_steps
 
@@ -39,8 +39,12 @@ STRETCH = 11
 DRIFT = 16
 # bounds of the first document's part are rounded, so that regions of many documents ask for the same text
 ROUND = 32
+# bytes of texts that a task works on at once
+HELD = PIECE_BYTES // 2
 # back, forth: how far the window goes on both sides of its place, up to the shortest passage
-WINDOWS = "rid bigint, key bigint, at int, back smallint, forth smallint"
+# the three are one number while all windows are exchanged and sorted
+WINDOWS = "rid bigint, key bigint, place bigint"
+PLACE = "int(shiftright(place, 32)) at", "smallint(shiftright(place, 16) & 65535) back", "smallint(place & 65535) forth"
 PLACES = "key bigint, rid bigint, at int, back smallint, forth smallint, open boolean, long boolean"
 REGIONS = "rid bigint, hub bigint, low int, high int, hub_low int, hub_high int"
 PASSAGES = "doc_id bigint, rid bigint, start int, stop int, first_doc_id bigint, first_start int, first_stop int"
@@ -120,7 +124,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, least: int, functions:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for piece in pieces(as_bytes(batch.column(1))):
+            for piece in byte_pieces(batch.column(1), HELD):
                 ids = batch.column(0).slice(done, len(piece)).to_numpy()
                 done += len(piece)
                 values, bounds = text_shingles(piece, words)
@@ -129,17 +133,16 @@ def windows(docs: DataFrame, id_col: str, text_col: str, least: int, functions:
                     height = mixed(values, seed=f + 1)
                     at, low, high = compact_windows(leftmost(height), bounds, size, size)
                     doc = np.searchsorted(bounds, at, side="right") - 1
+                    place = ((at - bounds[doc]) << 32) | ((at - low) << 16) | (high - at)
                     for before, after in ((STRETCH - 1, 0), (0, STRETCH - 1)):
                         fits, stretch = stretch_keys(prefix, at, bounds[doc], bounds[doc + 1], before, after)
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(ids[doc[fits]]),
                                 pa.array(mixed(height[at[fits]] ^ stretch).view(np.int64)),
-                                pa.array((at - bounds[doc])[fits].astype(np.int32)),
-                                pa.array((at - low)[fits].astype(np.int16)),
-                                pa.array((high - at)[fits].astype(np.int16)),
+                                pa.array(place[fits]),
                             ],
-                            names=["rid", "key", "at", "back", "forth"],
+                            names=["rid", "key", "place"],
                         )
 
     rows = docs.select(row_id(docs, id_col, text_col).alias("rid"), docs[text_col].alias("text"))
@@ -163,7 +166,7 @@ def keyed(places: DataFrame, texts: DataFrame, stretches: list[tuple[int, int]],
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for piece in pieces(as_bytes(batch.column("text"))):
+            for piece in byte_pieces(batch.column("text"), HELD):
                 part = batch.slice(done, len(piece))
                 done += len(piece)
                 values, bounds = text_shingles(piece, words)
@@ -252,27 +255,32 @@ def alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float, words: in
     A stretch goes on over gaps of up to two changed words, and is halved at its largest gap where it is not similar
     enough as a whole.
     """
-    common = np.isin(a, b)
+    # numbers instead of values, so that sets are masks and only the one sort is needed
+    known, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = number[: len(a)], number[len(a) :]
+    inside = np.zeros(len(known), dtype=bool)
+    inside[b] = True
     size = least - words + 1
     found = []
-    places = np.flatnonzero(common)
+    places = np.flatnonzero(inside[a])
     todo = np.split(places, np.flatnonzero(np.diff(places) > 2 * words + 1) + 1)
     while todo:
         some = todo.pop()
         if len(some) == 0 or some[-1] - some[0] + 1 < size:
             continue
         first, last = some[0], some[-1] + 1
-        own = np.unique(a[first:last])
-        at = np.flatnonzero(np.isin(b, own))
+        own = np.zeros(len(known), dtype=bool)
+        own[a[first:last]] = True
+        at = np.flatnonzero(own[b])
         # the densest part of b as long as the stretch holds its counterpart, if b repeats shingles elsewhere
         length = last - first
         if at[-1] - at[0] + 1 > length * 5 // 4:
-            inside = np.searchsorted(at, at + length * 5 // 4) - np.arange(len(at))
-            k = int(inside.argmax())
-            at = at[k : k + inside[k]]
-        other = np.unique(b[at[0] : at[-1] + 1])
-        n = len(np.intersect1d(own, other, assume_unique=True))
-        if n >= similarity * (len(own) + len(other) - n) - 1e-9:
+            near = np.searchsorted(at, at + length * 5 // 4) - np.arange(len(at))
+            k = int(near.argmax())
+            at = at[k : k + near[k]]
+        other = np.zeros(len(known), dtype=bool)
+        other[b[at[0] : at[-1] + 1]] = True
+        if np.count_nonzero(own & other) >= similarity * np.count_nonzero(own | other) - 1e-9:
             found.append((int(first), int(last), int(at[0]), int(at[-1]) + 1))
             continue
         gaps = np.diff(some)
@@ -294,9 +302,9 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
+            texts = (x.as_py() for x in batch.column("text").cast(pa.binary()))
             for hub, doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("hub", "doc_id")), texts, batch.column("ranges")):
-                own = text.split()
+                own = (text or b"").split()
                 low, high = (np.array(x) for x in zip(*((r["hub_low"], r["hub_high"]) for r in ranges.as_py())))
                 part = [b" ".join(own[a : b + words - 1]) for a, b in zip(low, high)]
                 columns = [pa.array([x] * len(part), pa.int64()) for x in (hub, doc)] + [pa.array(low, pa.int32()), pa.array(high, pa.int32())]
@@ -336,13 +344,13 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
             rows = zip(
                 batch.column("rid").to_pylist(),
                 batch.column("doc_id").to_pylist(),
-                as_bytes(batch.column("text")),
+                (x.as_py() or b"" for x in batch.column("text").cast(pa.binary())),
                 (x.as_py() for x in batch.column("parts")),
             )
             for row in rows:
                 some.append(row)
                 size += len(row[2]) + sum(len(p["part"]) for p in row[3])
-                if size > PIECE_BYTES:
+                if size > HELD:
                     yield compare(some)
                     some, size = [], 0
             yield compare(some)
@@ -384,13 +392,13 @@ def repeats(
     an id like others. Null, empty and shorter texts have no passages; an empty table gives an empty result; other
     columns are not read.
     """
-    found = written(windows(docs, id_col, text_col, least, functions, words), "windows")
+    found = windows(docs, id_col, text_col, least, functions, words)
     # only windows whose signature two documents have; they are few, and everything after works on them. A window function, so
-    # that all windows are exchanged once and not a second time for the first and last document of each signature
+    # that all windows are exchanged once, straight from the texts, and not a second time for the first and last document of
+    # each signature
     same = W.partitionBy("key")
     both = found.withColumns({"hub": F.min("rid").over(same), "last": F.max("rid").over(same)}).where("hub < last")
-    met = written(both.select("key", "rid", "hub", "at", "back", "forth"), "met")
-    drop_steps(found)
+    met = written(both.selectExpr("key", "rid", "hub", *PLACE), "met")
     hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
     points = met.where("rid <> hub").join(hubs, "key").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()
 

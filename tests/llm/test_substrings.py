@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose
 
 from shelfmine.llm import substrings
+from shelfmine.llm.common import byte_pieces
 from shelfmine.llm.shingles import word_values
 
 
@@ -161,3 +163,48 @@ def test_windows_are_exchanged_once(spark, monkeypatch):
     found = substrings.repeats(docs).collect()
     assert {(r["stop"] - r["start"]) for r in found} == {120}
     assert exchanges["met"] == 1
+    assert "windows" not in exchanges  # and goes to that exchange without being a table before
+
+
+def plainly_alike(a, b, least, similarity, words):
+    """``substrings.alike`` with sets of values."""
+    found, places = [], np.flatnonzero(np.isin(a, b))
+    todo = np.split(places, np.flatnonzero(np.diff(places) > 2 * words + 1) + 1)
+    while todo:
+        some = todo.pop()
+        if len(some) == 0 or some[-1] - some[0] + 1 < least - words + 1:
+            continue
+        first, last = some[0], some[-1] + 1
+        own = set(a[first:last].tolist())
+        at = np.array([i for i, x in enumerate(b.tolist()) if x in own])
+        length = last - first
+        if at[-1] - at[0] + 1 > length * 5 // 4:
+            counts = [int(((at >= x) & (at < x + length * 5 // 4)).sum()) for x in at]
+            k = int(np.argmax(counts))
+            at = at[k : k + counts[k]]
+        other = set(b[at[0] : at[-1] + 1].tolist())
+        if len(own & other) >= similarity * len(own | other) - 1e-9:
+            found.append((first, last, at[0], at[-1] + 1))
+            continue
+        gaps = np.diff(some)
+        if len(gaps) and gaps.max() > 1:
+            k = int(gaps.argmax()) + 1
+            todo += [some[:k], some[k:]]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alike_by_sets(seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 400, 300).astype(np.uint64)
+    b = np.concatenate([rng.integers(0, 400, 20).astype(np.uint64), a[50:200], a[80:140], rng.integers(0, 400, 50).astype(np.uint64)])
+    b[rng.integers(0, len(b), seed)] = 7
+    assert substrings.alike(a, b, 50, 0.8, 5) == plainly_alike(a, b, 50, 0.8, 5)
+    assert substrings.alike(a[:0], b, 50, 0.8, 5) == substrings.alike(a, b[:0], 50, 0.8, 5) == []
+
+
+def test_texts_become_bytes_a_piece_at_a_time():
+    texts = pa.array(["ab", None, "", "é", "x" * 9, "c", "de", None])
+    assert list(byte_pieces(texts, 4)) == [[b"ab", b"", b"", "é".encode()], [b"x" * 9], [b"c", b"de", b""]]
+    assert list(byte_pieces(texts.slice(5), 2)) == [[b"c"], [b"de", b""]]
+    assert list(byte_pieces(texts[:0])) == []
