@@ -19,6 +19,7 @@ from shelfmine.plans.suites.retrieval import (
     document_library,
     hybrid_sql,
 )
+from shelfmine.session import cut_lineage
 from shelfmine.sources import index_store
 
 LF = sq.LF
@@ -388,7 +389,8 @@ def rephrase_and_retry(spark, folder):
         .otherwise(F.concat(F.lit("what about the zzqx"), item.cast("string")))
     )
     queries = benchmark_queries(spark, folder).withColumn("query", query)
-    index = document_index(spark, folder)
+    # the terms of the chunks are written once for both searches
+    index = lexical.index_of_tokens(cut_lineage(document_index(spark, folder).tokens, "tokens"))
 
     def counted(asked: DataFrame) -> DataFrame:
         found = lexical.bm25_topk(asked, index, K, pad=False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfmine.operators import evaluation as ev
 from shelfmine.operators import fusion, lexical, skew, vectors
 from shelfmine.operators.lists import BestLists
+from shelfmine.plans.suites import library
 from shelfmine.session import fresh_table_path
 from shelfmine.sources import index_store
 
@@ -326,3 +327,17 @@ def test_texts_are_embedded_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
     assert {r.qid for r in found.collect()} == {"a", "b", "c"} - ({"b"} if points.where("chunk_id = 'b' and vector is null").count() else set())
+
+
+def test_second_search_reads_terms_and_not_texts(spark, monkeypatch):
+    plans = []
+    keep = lexical.cut_lineage
+
+    def watched(df, stem):
+        if stem == "matched":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, stem)
+
+    monkeypatch.setattr(lexical, "cut_lineage", watched)
+    library.rephrase_and_retry(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("regexp_extract_all" in plan for plan in plans)
