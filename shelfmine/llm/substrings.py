@@ -359,21 +359,31 @@ def compared(asked: DataFrame, texts: DataFrame, least: int, similarity: float,
 
 
 def outside(places: DataFrame, passages: DataFrame, words: int) -> DataFrame:
-    """The places that lie in none of the passages of their document."""
-    spans = passages.select(F.col("rid").alias("own"), "start", (F.col("stop") - (words - 1)).alias("end")).distinct()
-    inside = (places["rid"] == F.col("own")) & (places["at"] >= F.col("start")) & (places["at"] < F.col("end"))
-    return places.join(spans, inside, "left_anti")
+    """The places that lie in no exact passage of their document; one that lies in any other passage is not open any more.
+    Each document has its passages as a list, so that its places are exchanged once for both questions."""
+    spans = passages.select("rid", "exact", F.struct("start", (F.col("stop") - (words - 1)).alias("end")).alias("span")).distinct()
+    lists = [F.collect_list(F.when(kind, F.col("span"))) for kind in (F.col("exact"), ~F.col("exact"))]
+    spans = spans.groupBy("rid").agg(lists[0].alias("copies"), lists[1].alias("others"))
+
+    def inside(spans: str) -> Column:
+        found = F.exists(spans, lambda s: (F.col("at") >= s["start"]) & (F.col("at") < s["end"]))
+        return F.coalesce(found, F.lit(False))
+
+    rest = places.join(spans, "rid", "left").where(~inside("copies"))
+    return rest.select("key", "rid", "at", "back", "forth", (F.col("open") & ~inside("others")).alias("open"))
 
 
 def unmatched(places: DataFrame, passages: DataFrame, words: int) -> DataFrame:
     """``(rid, at, back, forth, open)`` of places whose key has an open place outside all passages, and an earlier
-    place in another document that is no exact copy."""
-    rest = outside(places, passages.where("exact"), words)
-    still = outside(places.where("open"), passages, words).select("key", "rid", "at").distinct().withColumn("still", F.lit(True))
-    rest = rest.drop("open").join(still, ["key", "rid", "at"], "left").withColumn("open", F.col("still").isNotNull())
+    place in another document that is no exact copy. Whether a place is open goes by its key and document."""
+    # written, as both the ends of the keys and the places read it
+    rest = written(outside(places, passages, words), "rest")
     ends = rest.groupBy("key").agg(F.min("rid").alias("first"), F.max(F.when(F.col("open"), F.col("rid"))).alias("last"))
-    rest = rest.join(ends.where("first < last"), "key").where("rid <= last")
-    return rest.groupBy("rid", "at").agg(F.max("back").alias("back"), F.max("forth").alias("forth"), F.max("open").alias("open"))
+    found = rest.join(ends.where("first < last"), "key").where("rid <= last")
+    found = found.groupBy("rid", "at").agg(F.max("back").alias("back"), F.max("forth").alias("forth"), F.max("open").alias("open"))
+    found = written(found, "places")
+    drop_steps(rest)
+    return found
 
 
 def repeats(
@@ -392,15 +402,18 @@ def repeats(
     an id like others. Null, empty and shorter texts have no passages; an empty table gives an empty result; other
     columns are not read.
     """
-    found = windows(docs, id_col, text_col, least, functions, words)
+    # dealt and sorted here, so that the window function's pairs of columns are made after the exchange
+    found = windows(docs, id_col, text_col, least, functions, words).repartition("key").sortWithinPartitions("key")
     # only windows whose signature two documents have; they are few, and everything after works on them. A window function, so
     # that all windows are exchanged once, straight from the texts, and not a second time for the first and last document of
     # each signature
     same = W.partitionBy("key")
-    both = found.withColumns({"hub": F.min("rid").over(same), "last": F.max("rid").over(same)}).where("hub < last")
-    met = written(both.selectExpr("key", "rid", "hub", *PLACE), "met")
-    hubs = met.where("rid = hub").groupBy("key").agg(F.min("at").alias("hub_at"))
-    points = met.where("rid <> hub").join(hubs, "key").select("rid", "hub", "at", "back", "forth", "hub_at").distinct()
+    # the first place, too, so that no join with the signatures is needed to know where their first document holds them
+    first = F.min(F.struct("rid", "place")).over(same)
+    both = found.withColumns({"first": first, "last": F.max("rid").over(same)}).where("first.rid < last")
+    met = written(both.selectExpr("key", "rid", "first.rid hub", "int(shiftright(first.place, 32)) hub_at", *PLACE), "met")
+    # dealt by pairs of documents once, for equal points and for the regions
+    points = met.where("rid <> hub").select("rid", "hub", "at", "back", "forth", "hub_at").repartition("rid", "hub").distinct()
 
     def passages_of(points: DataFrame) -> DataFrame:
         asked = written(regions(points, least, words), "regions")
@@ -417,11 +430,10 @@ def repeats(
 
     out = passages_of(points)
     # open places met their first document only; an exact copy stands for nothing that its first document has not shown
-    other = met.join(hubs, "key").where("rid <> hub or at <> hub_at").select("key", "rid", "at", "back", "forth", "hub")
-    other = other.withColumn("open", F.col("rid") != F.col("hub")).drop("hub")
+    other = met.where("rid <> hub or at <> hub_at").select("key", "rid", "at", "back", "forth", (F.col("rid") != F.col("hub")).alias("open"))
     size = least - words + 1
     for stretches in (longer_stretches(size), [(i, size - 1 - i) for i in range(size)]):
-        places = written(unmatched(other, out, words), "places")
+        places = unmatched(other, out, words)
         drop_steps(met)
         if places.isEmpty():
             drop_steps(places)

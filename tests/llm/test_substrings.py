@@ -164,6 +164,33 @@ def test_windows_are_exchanged_once(spark, monkeypatch):
     assert {(r["stop"] - r["start"]) for r in found} == {120}
     assert exchanges["met"] == 1
     assert "windows" not in exchanges  # and goes to that exchange without being a table before
+    # its points go to the regions by one exchange by pairs of documents, without a join with the signatures
+    assert exchanges["regions"] == 1
+
+
+def test_places_outside_passages_by_definition(spark):
+    rng = np.random.default_rng(3)
+    places = [(int(k), int(r), int(a), 1, 2, bool((k + r) % 2)) for k, r, a in rng.integers(0, [20, 6, 60], (300, 3))]
+    # documents 4 and 5 have no passages, document 3 no exact ones
+    spans = [(int(r), int(a), int(a + n), bool(e and r != 3)) for r, a, n, e in rng.integers(0, [4, 50, 15, 2], (12, 4))]
+    passages = spark.createDataFrame(spans + spans, "rid long, start int, stop int, exact boolean")
+    frame = spark.createDataFrame(places, "key long, rid long, at int, back int, forth int, open boolean")
+    inside = lambda r, at, exact: any(r == s[0] and s[1] <= at < s[2] - 4 and (s[3] or not exact) for s in spans)
+    want = [(k, r, at, b, f, o and not inside(r, at, False)) for k, r, at, b, f, o in places if not inside(r, at, True)]
+    rest = substrings.outside(frame, passages, 5)
+    # one read of the places answers both questions
+    assert rest._jdf.queryExecution().executedPlan().toString().count("ExistingRDD[key") == 1
+    assert sorted(map(tuple, rest.collect())) == sorted(want) and len(want) < len(places)
+
+    by_key = {}
+    for row in want:
+        by_key.setdefault(row[0], []).append(row)
+    left = set()
+    for rows in by_key.values():
+        last = max((r[1] for r in rows if r[5]), default=None)
+        if last is not None and min(r[1] for r in rows) < last:
+            left |= {(r[1], r[2]) for r in rows if r[1] <= last}
+    assert {(r.rid, r.at) for r in substrings.unmatched(frame, passages, 5).collect()} == left
 
 
 def plainly_alike(a, b, least, similarity, words):
