@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import as_bytes, mixed, pieces, word_lists
+from shelfmine.llm.common import PIECE_BYTES, as_bytes, byte_pieces, mixed, word_lists
 from shelfmine.llm.components import components
 from shelfmine.llm.shingles import SIMILARITY, WORDS, WordHashes, shingle_hashes
 from shelfmine.session import cut_lineage, drop_steps
@@ -31,6 +31,8 @@ DEPTH = 5
 # texts of a bucket that is compared in full, and of a block of a larger one
 BUCKET = 256
 RECALL = 0.9999
+# bytes of texts that a task signs at once
+HELD = PIECE_BYTES // 4
 # runs that are added at a time
 MORE_RUNS = 4
 # a bucket with a child of this share is dense: its texts are alike, further splits would only lose pairs
@@ -67,7 +69,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
         hashes = WordHashes()
         for batch in batches:
             done = 0
-            for piece in pieces(as_bytes(batch.column(2))):
+            for piece in byte_pieces(batch.column(2), HELD):
                 values, bounds = shingle_hashes(word_lists(piece), hashes, words)
                 full = np.flatnonzero(np.diff(bounds))
                 made: list[bytes | None] = [None] * len(piece)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmine.llm.common import SPACES, as_bytes, pieces, word_lists
+from shelfmine.llm.common import PIECE_BYTES, SPACES, byte_pieces, word_lists
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -20,6 +20,8 @@ MIN_REPEAT = 5
 # verdict: share of the words that lie in repeated substrings, and length of the longest of them
 MAX_COVERED = 0.3
 MAX_LONGEST = 100
+# bytes of texts that a task works on at once; a word has a rank per level of doubling
+HELD = PIECE_BYTES // 4
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
@@ -116,14 +118,19 @@ def measures(texts: list[bytes], least: int = MIN_REPEAT) -> dict[str, np.ndarra
     }
 
 
+def measured(column: pa.Array, least: int) -> pa.Array:
+    """Struct of counts for each text of a batch, of which ``HELD`` bytes are worked on at once."""
+    parts = [measures(p, least) for p in byte_pieces(column, HELD)]
+    data = [np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for f in FIELDS]
+    return pa.StructArray.from_arrays([pa.array(d, pa.int64()) for d in data], names=list(FIELDS))
+
+
 def repetition(text: Column, least: int = MIN_REPEAT) -> Column:
     """Struct of counts for a text column; null counts as a text without words."""
     kind = ", ".join(f"{f} bigint" for f in FIELDS)
 
     def measure(column: pa.Array) -> pa.Array:
-        parts = [measures(p, least) for p in pieces(as_bytes(column))]
-        data = [np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for f in FIELDS]
-        return pa.StructArray.from_arrays([pa.array(d, pa.int64()) for d in data], names=list(FIELDS))
+        return measured(column, least)
 
     measure.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(measure, kind)(text)

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,16 @@ def test_long_repeat_is_rejected(spark):
     (row,) = quality.verdicts(docs).collect()
     assert row.longest_repeat == 150 and not row.base_failed and not row.kept
     assert quality.verdicts(docs, max_longest=150).where(F.col("kept")).count() == 1
+
+
+def test_a_batch_is_measured_in_small_pieces(monkeypatch):
+    """A task's memory goes by the largest piece; each piece gives what the texts give together."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40_000))) for _ in range(60)] + [None, ""]
+    whole = quality.measures([(t or "").encode() for t in texts])
+    sizes, measures = [], quality.measures
+    monkeypatch.setattr(quality, "measures", lambda piece, least: sizes.append(sum(map(len, piece))) or measures(piece, least))
+    got = quality.measured(pa.array(texts), quality.MIN_REPEAT)
+    assert [[r[f] for r in got.to_pylist()] for f in quality.FIELDS] == [whole[f].tolist() for f in quality.FIELDS]
+    assert sum(sizes) > 2 * 2**20 and max(sizes) <= 2**20
+    assert len(quality.measured(pa.array([], pa.string()), quality.MIN_REPEAT)) == 0
