@@ -18,7 +18,7 @@ from shelfmine.operators.models import Embedder, ExtractiveSummarizer, HashingEm
 from shelfmine.plans.search import Library, embedded
 from shelfmine.session import cut_lineage
 from shelfmine.sources.index_store import BUCKETS, attach_index, empty_index, index_replacing, index_without, write_index
-from shelfmine.sources.segments import SegmentedLibrary, index_tables
+from shelfmine.sources.segments import SegmentedLibrary, index_tables, written_tokens
 
 TABLES = ("documents", "chunks", "section_summaries", "document_summaries", "vectors")
 
@@ -177,7 +177,11 @@ def append(incoming: DataFrame, library: SegmentedLibrary, replace_known: bool =
     documents = cut_lineage(catalog.upsert_documents(known, batch["documents"]), "documents")
     highest = documents.agg(F.max("book_id")).first()[0] or 0
     notes = {"highest_book_id": max(highest, library.manifest["notes"].get("highest_book_id", 0))}
-    tables = {**batch, "documents": documents, **index_tables(batch["chunks"])}
+    # vectors of hashed terms come from the terms that are written for the index
+    tokens, embedder = written_tokens(batch["chunks"]), options.get("embedder") or HashingEmbedder()
+    if isinstance(embedder, HashingEmbedder):
+        batch["vectors"] = embedder.of_runs(tokens.select("chunk_id", "slug", "runs"), "runs")
+    tables = {**batch, "documents": documents, **index_tables(batch["chunks"], tokens)}
     return library.append(tables, None if empty else incoming.select("slug"), notes)
 
 

@@ -318,7 +318,13 @@ class SegmentedLibrary:
         return join_small(rows, slugs, ["slug"], rows.columns[0], "left_semi", fits=n <= BROADCAST_ROWS)
 
 
-def index_tables(chunks: DataFrame) -> dict[str, DataFrame]:
-    """``lengths`` and ``postings`` of ``(chunk_id, slug, text)``; the texts are tokenised once."""
-    index = index_of_tokens(cut_lineage(build_index(chunks).tokens, "tokens"))
+def written_tokens(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, slug, dl, runs)`` of ``(chunk_id, slug, text)`` as a table."""
+    return cut_lineage(build_index(chunks).tokens, "tokens")
+
+
+def index_tables(chunks: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``lengths`` and ``postings`` of ``(chunk_id, slug, text)``; the texts are tokenised once, or not at all where their
+    written tokens are given."""
+    index = index_of_tokens(written_tokens(chunks) if tokens is None else tokens)
     return {"lengths": index.lengths, "postings": index.postings}
