@@ -190,7 +190,10 @@ RESULTS_HELD = 1_000_000
 
 @dataclass(frozen=True)
 class _Wanted:
-    """Weighted query terms by key: ``query`` and ``weight`` from ``ends[i]`` to ``ends[i + 1]`` belong to ``keys[i]``."""
+    """Weighted query terms by key: ``query`` and ``weight`` from ``ends[i]`` to ``ends[i + 1]`` belong to ``keys[i]``.
+
+    A broadcast value names its class, which executors need not know, so tasks are sent the ``arrays``.
+    """
 
     keys: np.ndarray
     ends: np.ndarray
@@ -204,6 +207,10 @@ class _Wanted:
         keys, first = np.unique(key[order], return_index=True)
         return cls(keys, np.append(first, len(order)), query[order], weight[order])
 
+    @property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.keys, self.ends, self.query, self.weight
+
     def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the entries of each key."""
         if len(self.keys) == 0:
@@ -288,7 +295,7 @@ def bm25_best(
         + [T.StructField("chunk_id", matched.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]
     )
     kinds = to_arrow_schema(schema)
-    shared = spark.sparkContext.broadcast((pa.array(list(number), kinds.field(0).type), slugs, _Wanted.of(free), _Wanted.of(bound)))
+    shared = spark.sparkContext.broadcast((pa.array(list(number), kinds.field(0).type), slugs, _Wanted.of(free).arrays, _Wanted.of(bound).arrays))
     n_words = len(words)
 
     def rows_of(lists: dict) -> Iterator[pa.RecordBatch]:
@@ -300,7 +307,8 @@ def bm25_best(
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, slugs, free, bound = shared.value
+        qids, slugs, *sent = shared.value
+        free, bound = (_Wanted(*arrays) for arrays in sent)
         lists: dict = {}
         for batch in batches:
             ids = batch.column(0)

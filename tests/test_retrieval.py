@@ -1,4 +1,5 @@
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,15 @@ def test_best_chunks_exchange_no_pairs(spark):
     assert "hashpartitioning(qid" in plan
 
 
+def test_tasks_of_bm25_need_no_package_on_executors(spark, monkeypatch):
+    """Broadcast values are pickled by name, so none of them may hold a class of the package."""
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(pickle.dumps(value)) or send(value))
+    queries = spark.createDataFrame([(1, "white rabbit", None), (2, "rabbit", "a")], "qid int, query string, slug string")
+    assert lexical.bm25_best(queries, lexical.build_index(chunks(spark)), 2).count() == 4
+    assert len(sent) == 2 and not any(b"shelfmine" in value for value in sent)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_small_salted_equals_plain(spark, how):
     big = spark.range(500).select((F.col("id") % 7).alias("k"), "id")
