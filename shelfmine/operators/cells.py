@@ -3,11 +3,11 @@
 Vectors are dealt to the nearest of a bounded number of centres and, within such a cell, to rings by their angle to the centre.
 By the triangle inequality for angles, a query at angle t from a centre is at least ``t - high`` and at least ``low - t`` away from every
 vector of a ring whose angles go from ``low`` to ``high``, which bounds the cosine from above. A query first scores the rings of
-its highest bounds. The score of its k-th best vector there is a threshold, and of the other rings it scores those only whose
+its highest bounds. The score of its k-th best vector there is a threshold, and of all rings it then scores those only whose
 bound reaches it. A vector that is not scored could not have been in the list, so the result is that of ``vectors.cosine_topk``.
 
 Rings are left out where vectors form groups. On vectors without any, all angles are alike, every bound is reached, and
-``vectors.cosine_topk`` is the cheaper search.
+``vectors.cosine_topk`` is the cheaper search, as it needs no first lists.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmine.operators.lexical import SCORE_DIGITS, top_k
-from shelfmine.operators.vectors import STRIPE, VECTOR_BLOCK, _directed, _Meeting, _matrix, _sql_type, _with_group
+from shelfmine.operators.vectors import VECTOR_BLOCK, _directed, _Meeting, _matrix, _sql_type, _with_group
 from shelfmine.session import cut_lineage, drop_steps
 
 # centres are fitted on about this many rows; every row is dealt to its cell
@@ -163,18 +163,27 @@ def first_rings(queries: DataFrame, cells: VectorCells, k: int) -> DataFrame:
     ring, rows = cells.rings["ring"].to_numpy(), cells.rings["rows"].to_numpy()
 
     def pick(batch: pd.DataFrame, bounds: np.ndarray) -> list:
-        order = np.argsort(-bounds, axis=1, kind="stable")
+        # every ring holds a vector, so this many rings hold enough
+        most = min(len(ring), FIRST_ROWS * k + 1)
+        high = np.argpartition(-bounds, most - 1, axis=1)[:, :most]
+        order = np.take_along_axis(high, np.argsort(-np.take_along_axis(bounds, high, axis=1), axis=1, kind="stable"), axis=1)
         taken = (np.cumsum(rows[order], axis=1) < FIRST_ROWS * k + 1).sum(axis=1) + 1
         return [ring[o[:n]] for o, n in zip(order, taken)]
 
     return _with_rings(queries, cells, "first", pick)
 
 
+def _with_least(asked: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """``asked`` with the k-th score of each query as ``least``, null where there is none."""
+    least = top_k(scored, k).where(F.col("rank") == k).select(F.col("qid").alias("_qid"), F.col("score").alias("least"))
+    return asked.join(least, F.col("qid").eqNullSafe(F.col("_qid")), "left").drop("_qid")
+
+
 def other_rings(asked: DataFrame, cells: VectorCells, scored: DataFrame, k: int) -> DataFrame:
-    """``asked`` with, as ``rest``, the other rings whose bound reaches the k-th score; all of them where there is none."""
+    """``asked`` with, as ``rest``, the other rings whose bound reaches the k-th score; all of them where there is none. These
+    are the rings that the second search reads beside the first ones."""
     ring = cells.rings["ring"].to_numpy()
-    least = top_k(scored, k).where(F.col("rank") == k).select(F.col("qid").alias("_qid"), F.col("score").alias("least"))
-    joined = asked.join(least, F.col("qid").eqNullSafe(F.col("_qid")), "left").drop("_qid")
+    joined = _with_least(asked, scored, k)
 
     def pick(batch: pd.DataFrame, bounds: np.ndarray) -> list:
         least = batch["least"].astype(float).fillna(-np.inf).to_numpy()
@@ -184,45 +193,114 @@ def other_rings(asked: DataFrame, cells: VectorCells, scored: DataFrame, k: int)
     return _with_rings(joined, cells, "rest", pick)
 
 
-def _scored(asked: DataFrame, rings: str, cells: VectorCells, k: int, skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
-    """Best ``k`` of each query in each part of the bundles that hold its rings. A bundle is copied for every ``query_block``
-    queries that ask for one of its rings, and cut into parts of ``vector_block`` rows."""
-    spark = asked.sparkSession
-    ring, rows = cells.rings["ring"], cells.rings["rows"]
+def _bundle_width(rings: pd.DataFrame) -> int:
+    """Numbers of rings that make a bundle."""
+    ring, rows = rings["ring"], rings["rows"]
     per_cell = rows.sum() / max(1, (ring // RINGS).nunique())
     wide = min(max(BUNDLE_ROWS, rows.sum() / BUNDLES), VECTOR_BLOCK)
-    width = RINGS * max(1, int(wide / max(1.0, per_cell)))
+    return RINGS * max(1, int(wide / max(1.0, per_cell)))
+
+
+def _listed(block: pd.DataFrame, known: np.ndarray) -> np.ndarray:
+    """Which of the ``known`` rings each query has in its list."""
+    lists = [np.asarray(r, dtype=np.int64) for r in block["rings"]]
+    query, ring = np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.concatenate(lists)
+    place = np.minimum(np.searchsorted(known, ring), len(known) - 1)
+    wanted = np.zeros((len(lists), len(known)), dtype=bool)
+    here = known[place] == ring
+    wanted[query[here], place[here]] = True
+    return wanted
+
+
+def _reached(block: pd.DataFrame, rings: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Which rings have a bound that reaches the query's ``least``."""
+    parts = [b + SLACK >= q["least"].astype(float).fillna(-np.inf).to_numpy()[:, None] for q, b in _stripes([block], rings, centres)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(rings)), dtype=bool)
+
+
+def _scored(asked: DataFrame, rings: str, cells: VectorCells, k: int, skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
+    """Best ``k`` of each query in each part of the bundles that hold the rings of its list."""
+    width = _bundle_width(cells.rings)
     bundle = lambda column: F.floor(column / F.lit(width)).cast("int")
-    sizes = rows.groupby(ring // width).sum().rename_axis("bundle").reset_index(name="rows")
-    sizes = spark.createDataFrame(sizes, "bundle int, rows long")
     bundles = F.explode(F.array_distinct(F.transform(rings, bundle)))
     pairs = asked.select("qid", "group_key", "vector", "slot", rings, bundles.alias("bundle"))
     inside = F.filter(rings, lambda r: bundle(r) == F.col("bundle")).alias("rings")
+    pairs = pairs.select("qid", "group_key", "vector", "slot", "bundle", inside)
+    return _met(pairs, cells, k, skip_self, query_block, vector_block)
+
+
+def _scored_again(asked: DataFrame, cells: VectorCells, scored: DataFrame, k: int, skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
+    """Best ``k`` of each query among all vectors of rings whose bound reaches the k-th score so far, the first rings among them.
+
+    A query carries its k-th score and the bundles to visit. Which rings count is found again in the cells, as lists of rings
+    would grow with the vectors and be copied with each query.
+    """
+    width = _bundle_width(cells.rings)
+    shared = asked.sparkSession.sparkContext.broadcast((cells.rings, cells.centres))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rings, centres = shared.value
+        names, first = np.unique(rings["ring"].to_numpy() // width, return_index=True)
+        for batch in batches:
+            # rings are in order, so those of a bundle are neighbours
+            batch = _directed(batch).reset_index(drop=True)
+            if len(batch) and len(names):
+                reached = np.logical_or.reduceat(_reached(batch, rings, centres), first, axis=1)
+                yield batch.assign(bundles=[names[r] for r in reached])
+
+    joined = _with_least(asked, scored, k).select("qid", "group_key", "vector", "slot", "least")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema)
+    visits = cut_lineage(joined.mapInPandas(visit, f"{fields}, bundles array<int>"), "visits")
+    pairs = visits.select("qid", "group_key", "vector", "slot", "least", F.explode("bundles").alias("bundle"))
+    return _met(pairs, cells, k, skip_self, query_block, vector_block)
+
+
+def _met(pairs: DataFrame, cells: VectorCells, k: int, skip_self: bool, query_block: int, vector_block: int) -> DataFrame:
+    """Queries ``pairs(qid, group_key, vector, slot, bundle)`` meet the rings that they want in their bundle: those of ``rings`` or,
+    without it, those whose bound reaches ``least``. A bundle is copied for every ``query_block`` queries that ask for one of
+    its rings, and cut into parts of ``vector_block`` rows."""
+    spark = pairs.sparkSession
+    width = _bundle_width(cells.rings)
+    sizes = cells.rings.groupby(cells.rings["ring"] // width)["rows"].sum().rename_axis("bundle").reset_index(name="rows")
+    sizes = spark.createDataFrame(sizes, "bundle int, rows long")
     parts = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
     # one row per bundle, so its size has the bound of the rings
     layout = pairs.groupBy("bundle").agg(F.count(F.lit(1)).alias("asking")).join(F.broadcast(sizes), "bundle")
     layout = F.broadcast(layout.select("bundle", parts("asking", query_block).alias("_qs"), parts("rows", vector_block).alias("_vs")))
     part = lambda n: F.pmod("slot", n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = pairs.join(layout, "bundle").select("qid", "group_key", "vector", inside, "bundle", part("_qs").alias("_q"), each("_vs").alias("_v"))
-    right = cells.rows.withColumn("bundle", bundle(F.col("ring"))).join(layout, "bundle")
+    choice = "rings" if "rings" in pairs.columns else "least"
+    left = pairs.join(layout, "bundle").select("qid", "group_key", "vector", choice, "bundle", part("_qs").alias("_q"), each("_vs").alias("_v"))
+    right = cells.rows.withColumn("bundle", F.floor(F.col("ring") / F.lit(width)).cast("int")).join(layout, "bundle")
     right = right.select("chunk_id", "group_key", "vector", "ring", "bundle", part("_vs").alias("_v"), each("_qs").alias("_q"))
+    shared = spark.sparkContext.broadcast((cells.rings, cells.centres))
 
     def cell(block: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        block = _directed(block)
-        points = _directed(points)
+        block, points = _directed(block).reset_index(drop=True), _directed(points)
+        if len(block) and choice == "rings":
+            # queries of one ring become neighbours
+            block = block.iloc[np.argsort([min(r) for r in block["rings"]], kind="stable")].reset_index(drop=True)
         best = _Meeting(block, k, skip_self)
-        known, place = np.unique(points["ring"].to_numpy(), return_inverse=True)
-        wanted = np.array([np.isin(known, r) for r in block["rings"]]).reshape(len(block), len(known))
-        order = np.argsort(place, kind="stable")
-        order = order[wanted.any(axis=0)[place[order]]] if len(block) else order[:0]
-        every = wanted.all()
-        for start in range(0, len(order), STRIPE):
-            at = order[start : start + STRIPE]
-            best.add(points.iloc[at], None if every else wanted[:, place[at]])
+        if len(block) == 0 or len(points) == 0:
+            return best.result()
+        points = points.iloc[np.argsort(points["ring"].to_numpy(), kind="stable")]
+        known, first = np.unique(points["ring"].to_numpy(), return_index=True)
+        ends = np.append(first[1:], len(points))
+        if choice == "rings":
+            wanted = _listed(block, known)
+        else:
+            rings, centres = shared.value
+            wanted = _reached(block, rings[rings["ring"].isin(known)], centres)
+        # rings that most queries want are met by all in one product, which adds pairs but no wrong ones; others by their own queries
+        share = wanted.mean(axis=0)
+        dense = share > 0.5
+        place = np.repeat(np.arange(len(known)), ends - first)
+        best.add(points.iloc[np.flatnonzero(dense[place])])
+        for i in np.flatnonzero(~dense & (share > 0.0)):
+            best.add(points.iloc[first[i] : ends[i]], asking=wanted[:, i])
         return best.result()
 
-    schema = f"qid {_sql_type(asked, 'qid')}, chunk_id {_sql_type(cells.rows, 'chunk_id')}, score double"
+    schema = f"qid {_sql_type(pairs, 'qid')}, chunk_id {_sql_type(cells.rows, 'chunk_id')}, score double"
     keys = ("bundle", "_q", "_v")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
@@ -243,6 +321,6 @@ def cells_topk(
     """
     asked = first_rings(queries, cells, k)
     first = cut_lineage(_scored(asked, "first", cells, k, skip_self, query_block, vector_block), "scores")
-    more = other_rings(asked, cells, first, k)
-    second = _scored(more, "rest", cells, k, skip_self, query_block, vector_block)
-    return top_k(first.unionByName(second), k).select("qid", "rank", "chunk_id", "score")
+    # the first rings are read again, with all others, so no pair has to be left out there and none comes twice
+    second = _scored_again(asked, cells, first, k, skip_self, query_block, vector_block)
+    return top_k(second, k).select("qid", "rank", "chunk_id", "score")

@@ -52,7 +52,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 class _Best:
     """Best ``k`` (score, chunk) per query among the stripes seen so far, in the order of the final sort.
 
-    Products are taken in single precision; cells that may be listed are computed again in double precision.
+    Products are taken in single precision; cells that may be listed are computed again in double precision. Where queries have a
+    score ``least`` that ``k`` vectors are known to reach, lower ones are not looked at.
     """
 
     def __init__(self, queries: pd.DataFrame, k: int, skip_self: bool) -> None:
@@ -63,21 +64,26 @@ class _Best:
         # sums of products of unit vectors in single precision, with both sides rounded to it
         self.error = (self.matrix.shape[1] + 8) * 2.0**-23
         self.lists = [BestLists(min(QUERY_STRIPE, len(self.qid) - at), k) for at in range(0, len(self.qid), QUERY_STRIPE)]
+        if "least" in queries.columns:
+            least = queries["least"].astype(float).fillna(-np.inf).to_numpy()
+            for i, lists in enumerate(self.lists):
+                lists.least[:] = least[i * QUERY_STRIPE : i * QUERY_STRIPE + lists.n]
         self.names = None
         if skip_self:
-            codes, self.names = pd.factorize(self.qid)
+            codes, names = pd.factorize(self.qid)
+            self.names = pd.Index(names)
             self.by_code = np.argsort(codes, kind="stable")
             self.ends = np.searchsorted(codes[self.by_code], np.arange(len(self.names) + 1))
 
     def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of a query and the vector of the same identifier."""
-        code = pd.Index(self.names).get_indexer(ids) if len(self.names) else np.full(len(ids), -1)
+        code = self.names.get_indexer(ids) if len(self.names) else np.full(len(ids), -1)
         columns = np.flatnonzero(code >= 0)
         first, sizes = self.ends[code[columns]], self.ends[code[columns] + 1] - self.ends[code[columns]]
         return self.by_code[spans(first, sizes)], np.repeat(columns, sizes)
 
-    def add(self, vectors: pd.DataFrame, asked: np.ndarray | None = None) -> None:
-        """Meet some vectors; ``asked`` (queries by vectors, all with a direction) names the pairs that count."""
+    def add(self, vectors: pd.DataFrame, asking: np.ndarray | None = None) -> None:
+        """Meet some vectors; ``asking`` says which queries, all with a direction, meet them."""
         vectors = _directed(vectors)
         if len(vectors) == 0 or len(self.qid) == 0:
             return
@@ -88,18 +94,24 @@ class _Best:
         for i, lists in enumerate(self.lists):
             start = i * QUERY_STRIPE
             stop = start + lists.n
-            scores = self.rough[start:stop] @ rough.T
-            if asked is not None:
-                scores[~asked[start:stop]] = -np.inf
+            some = None if asking is None else np.flatnonzero(asking[start:stop])
+            if some is not None and len(some) == 0:
+                continue
+            at = slice(start, stop) if some is None else start + some
+            scores = self.rough[at] @ rough.T
             if rows is not None:
                 here = (rows >= start) & (rows < stop)
-                scores[rows[here] - start, columns[here]] = -np.inf
-            block = self.matrix[start:stop]
+                own, column = rows[here] - start, columns[here]
+                if some is not None:
+                    met = np.isin(own, some)
+                    own, column = np.searchsorted(some, own[met]), column[met]
+                scores[own, column] = -np.inf
+            block = self.matrix[at]
 
             def exact(r: np.ndarray, c: np.ndarray | None) -> np.ndarray:
                 return block[r] @ points.T if c is None else np.einsum("ij,ij->i", block[r], points[c])
 
-            lists.offer(scores, ids, exact, self.error)
+            lists.offer(scores, ids, exact, self.error, some)
 
     def result(self) -> pd.DataFrame:
         found = [(self.qid[i * QUERY_STRIPE + r], ids, scores) for i, x in enumerate(self.lists) for r, ids, scores in [x.result()]]
@@ -120,18 +132,19 @@ class _Meeting:
         self.bound = {key: _Best(queries.iloc[at], k, skip_self) for key, at in self.rows.items()}
         self.free, self.free_rows = (_Best(queries.iloc[free], k, skip_self) if len(free) else None), free
 
-    def add(self, points: pd.DataFrame, asked: np.ndarray | None = None) -> None:
-        """Meet some vectors, in stripes; ``asked`` as in ``_Best.add``."""
+    def add(self, points: pd.DataFrame, asking: np.ndarray | None = None) -> None:
+        """Meet some vectors, in stripes; ``asking`` as in ``_Best.add``."""
+        some = lambda rows: None if asking is None else asking[rows]
         if self.free is not None:
             for start in range(0, len(points), STRIPE):
                 part = slice(start, start + STRIPE)
-                self.free.add(points.iloc[part], None if asked is None else asked[self.free_rows, part])
+                self.free.add(points.iloc[part], some(self.free_rows))
         if self.bound:
             for key, at in points.reset_index(drop=True).groupby("group_key", sort=False).indices.items():
                 if key in self.bound:
                     for start in range(0, len(at), STRIPE):
                         part = at[start : start + STRIPE]
-                        self.bound[key].add(points.iloc[part], None if asked is None else asked[np.ix_(self.rows[key], part)])
+                        self.bound[key].add(points.iloc[part], some(self.rows[key]))
 
     def result(self) -> pd.DataFrame:
         every = [*self.bound.values(), *([self.free] if self.free is not None else [])]

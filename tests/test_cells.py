@@ -58,6 +58,18 @@ def test_rings_are_left_out(points, store):
     assert pairs < 0.2 * queries.count() * int(store.rings["rows"].sum())
 
 
+def test_no_list_of_rings_travels_with_the_queries_of_the_second_search(points, store, monkeypatch):
+    """On vectors without groups such a list would name all rings, whose number grows with the vectors."""
+    written, cut = [], cells.cut_lineage
+    monkeypatch.setattr(cells, "cut_lineage", lambda df, stem="step": written.append((stem, cut(df, stem))) or written[-1][1])
+    queries = asked(points).where("qid < 1995")
+    same(cells.cells_topk(queries, store, 5), vectors.cosine_topk(queries, points.drop("group_key"), 5))
+    assert "rest" not in dict(written)
+    visits = dict(written)["visits"]
+    bundles = len({r // cells._bundle_width(store.rings) for r in store.rings["ring"]})
+    assert visits.count() == queries.count() and visits.where(F.size("bundles") > bundles).count() == 0
+
+
 def test_bounds_hold(spark):
     """No vector is closer to a query than the bound of its ring says, with directions that have no groups."""
     rng = np.random.default_rng(8)
