@@ -19,9 +19,9 @@ from shelfmine.operators.lexical import (
     SCORE_DIGITS,
     LexicalIndex,
     corpus_stats,
+    idf_of,
     index_of_tokens,
     query_terms,
-    term_stats,
     term_weight,
     top_k,
     with_padding,
@@ -39,7 +39,7 @@ SLACK = 2 * 10.0**-SCORE_DIGITS
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """``postings(block, chunk_id, slug, dl, term, tf)``, ``bounds(term, block, max_tf, min_dl)`` and the statistics."""
+    """``postings(block, chunk_id, slug, dl, term, tf)``, ``bounds(term, block, max_tf, min_dl, rows)`` and the statistics."""
 
     index: LexicalIndex
     postings: DataFrame
@@ -58,14 +58,14 @@ def _with_block(rows: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _placed(index: LexicalIndex, block_rows: int) -> tuple[DataFrame, LexicalIndex, DataFrame]:
-    """Postings with blocks, the index over what was written, and that table. A lazy index is dealt before its terms
-    become rows, so its postings are not exchanged."""
+    """Postings with blocks, the index over what was written, and that table. A lazy index is dealt, and its chunks meet in the
+    task of their block, before its terms become rows, so its postings are not exchanged."""
     columns = ["chunk_id", "slug", "dl"]
     if index.tokens is not None:
-        tokens = cut_lineage(index.tokens, "tokens")
         by_count = F.transform("runs", lambda r: F.struct(r["tf"].alias("tf"), r["term"].alias("term")))
-        rows = tokens.withColumn("top", F.array_max(by_count)["term"]).where(F.col("top").isNotNull())
-        dealt = _with_block(rows, block_rows)
+        # written with the terms, as it is read for the sizes, the postings and the bounds
+        tokens = cut_lineage(index.tokens.withColumn("top", F.array_max(by_count)["term"]), "tokens")
+        dealt = _with_block(tokens.where(F.col("top").isNotNull()), block_rows).repartition("block")
         return unfolded(dealt, F.col("runs"), "term", "block", *columns), index_of_tokens(tokens), tokens
     postings = cut_lineage(index.postings.select(*columns, "term", "tf"), "postings")
     top = cut_lineage(postings.groupBy("chunk_id").agg(F.max_by("term", F.struct("tf", "term")).alias("top")), "top-terms")
@@ -76,13 +76,18 @@ def _placed(index: LexicalIndex, block_rows: int) -> tuple[DataFrame, LexicalInd
 def blocked(index: LexicalIndex, block_rows: int = BLOCK_ROWS) -> BlockIndex:
     """Block tables of an index, written once for any number of searches."""
     placed, whole, source = _placed(index, block_rows)
-    placed = placed.select("block", "chunk_id", "slug", "dl", "term", "tf").sortWithinPartitions("term")
-    placed = cut_lineage(placed, "block-postings")
-    bounds = placed.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    dealt = placed.select("block", "chunk_id", "slug", "dl", "term", "tf")
+    placed = cut_lineage(dealt.sortWithinPartitions("term"), "block-postings")
+    # the tasks of a lazy index hold whole blocks; a stored one is not joined again for its bounds
+    whole_blocks = dealt if index.tokens is not None else placed
+    largest = (F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("rows"))
+    bounds = cut_lineage(whole_blocks.groupBy("term", "block").agg(*largest), "bounds")
     n, avgdl = corpus_stats(whole.lengths).first() if index.totals is None else (index.totals[0], index.totals[1] / max(index.totals[0], 1))
-    stats = cut_lineage(term_stats(LexicalIndex(whole.lengths, placed, index.term_stats)).select("term", "idf"), "term-stats")
+    stats = index.term_stats
+    if stats is None:
+        stats = bounds.groupBy("term").agg(F.sum("rows").alias("df")).withColumn("idf", idf_of(F.lit(n), F.col("df")))
+    stats = cut_lineage(stats.select("term", "idf"), "term-stats")
     lengths = cut_lineage(whole.lengths.select("chunk_id", "slug", "dl"), "lengths")
-    bounds = cut_lineage(bounds, "bounds")
     drop_steps(source)
     return BlockIndex(LexicalIndex(lengths, placed.drop("block"), stats), placed, bounds, stats, n, avgdl)
 

@@ -55,6 +55,19 @@ def test_bounds_hold_for_every_posting(made):
     assert blocks.postings.select("chunk_id", "block").distinct().count() == blocks.postings.select("chunk_id").distinct().count()
 
 
+def test_postings_are_not_exchanged_for_the_bounds(spark, monkeypatch):
+    chunks, _ = tables(spark, n=50)
+    plans, cut = {}, blockmax.cut_lineage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(blockmax, "cut_lineage", lambda df, stem: plans.update({stem: plan(df)}) or cut(df, stem))
+    blocks = blockmax.blocked(lexical.build_index(chunks), 16)
+    for stem in ("bounds", "block-postings"):
+        after_unfolding, below = plans[stem].split("Generate", 1)
+        assert "Exchange" not in after_unfolding and "Exchange" in below
+    expected = {r["term"]: r["idf"] for r in lexical.term_stats(lexical.build_index(chunks)).collect()}
+    assert {r["term"]: r["idf"] for r in blocks.stats.collect()} == pytest.approx(expected)
+
+
 def test_empty_corpus(spark):
     chunks, queries = tables(spark, n=20)
     blocks = blockmax.blocked(lexical.build_index(chunks.where("false")))
