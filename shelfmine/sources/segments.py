@@ -16,16 +16,19 @@ import json
 import math
 import secrets
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmine.operators.lexical import LexicalIndex, build_index, idf_of, index_of_tokens
+from shelfmine.operators.lexical import LexicalIndex, build_index, document_frequency, idf_of
+from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import BROADCAST_ROWS, join_small
 from shelfmine.session import cut_lineage, drop_steps
 
 BUCKET_BYTES = 64 * 1024 * 1024
+POSTING_BYTES = 32
 MOST_BUCKETS = 4_096
 # rows of one bucket go to several files from this size of a segment on, so that a document with most rows is no one task
 SPREAD = 8
@@ -45,6 +48,28 @@ class NoLibrary(FileNotFoundError):
     """No library, or no such version, at the given place."""
 
 
+@dataclass(frozen=True)
+class Folded:
+    """A table that is dealt to its buckets as ``rows`` with an array of structs each, and unfolded there. The other columns of
+    ``rows`` that are named in ``keep`` come before the fields of the structs, of which ``field`` is never null."""
+
+    rows: DataFrame
+    structs: str
+    field: str
+    keep: tuple[str, ...]
+
+    def unfolded(self, rows: DataFrame | None = None, *more: str) -> DataFrame:
+        return unfolded(self.rows if rows is None else rows, F.col(self.structs), self.field, *self.keep, *more)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.unfolded().columns
+
+    @property
+    def schema(self) -> T.StructType:
+        return self.unfolded().schema
+
+
 class _Files:
     """The few file operations that a manifest needs, on any file system that Spark reads."""
 
@@ -198,7 +223,7 @@ class SegmentedLibrary:
     # ---------------------------------------------------------------- writing
 
     def append(
-        self, tables: Mapping[str, DataFrame], replaced: DataFrame | None = None, notes: Mapping[str, int] | None = None
+        self, tables: Mapping[str, DataFrame | Folded], replaced: DataFrame | None = None, notes: Mapping[str, int] | None = None
     ) -> SegmentedLibrary:
         """The library with one more segment. Documents of ``replaced(slug)`` lose all their earlier rows."""
         manifest = self._after_delete(replaced) if replaced is not None else self._next()
@@ -231,8 +256,12 @@ class SegmentedLibrary:
         ids = {s["id"] for s in group}
         names = sorted({n for s in group for n, rows in s["rows"].items() if rows})
         tables = {n: self._live(n, group).select(*self._schema(n).names) for n in names}
+        # dead rows are counted as well here, which can only make more buckets
+        postings = sum(s["rows"].get("postings", 0) for s in group)
+        size = None if "chunks" in names else postings * POSTING_BYTES
+        counts = self._term_counts(group).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if postings else None
         manifest["segments"] = [s for s in self.segments if s["id"] not in ids]
-        manifest["segments"].append(self._write_segment(manifest["change"], tables))
+        manifest["segments"].append(self._write_segment(manifest["change"], tables, size, counts))
         oldest = min(s["id"] for s in manifest["segments"])
         manifest["deletes"] = [d for d in manifest["deletes"] if d["id"] > oldest]
         return self._commit(manifest)
@@ -244,10 +273,23 @@ class SegmentedLibrary:
         change = version * CHANGES + secrets.randbelow(CHANGES)
         return {**json.loads(json.dumps(self.manifest)), "version": version, "change": change}
 
-    def _write_segment(self, segment: int, tables: Mapping[str, DataFrame]) -> dict:
-        size_of = tables.get("chunks", tables.get("postings"))
-        heavy = F.sum(F.length("text")) if size_of is not None and "text" in size_of.columns else F.count(F.lit(1)) * 32
-        size = (size_of.agg(heavy).first()[0] or 0) if size_of is not None else 0
+    @staticmethod
+    def _size(table: DataFrame | Folded | None) -> int:
+        """Bytes of the texts, or an estimate from the number of postings."""
+        if table is None:
+            return 0
+        if isinstance(table, Folded):
+            heavy, rows = F.sum(F.greatest(F.size(table.structs), F.lit(0))) * POSTING_BYTES, table.rows
+        else:
+            heavy, rows = F.sum(F.length("text")) if "text" in table.columns else F.count(F.lit(1)) * POSTING_BYTES, table
+        return rows.agg(heavy).first()[0] or 0
+
+    def _write_segment(
+        self, segment: int, tables: Mapping[str, DataFrame | Folded], size: int | None = None, counts: DataFrame | None = None
+    ) -> dict:
+        """Tables of one segment. A merge knows about their ``size`` and the document frequencies ``counts(term, df)`` already."""
+        if size is None:
+            size = self._size(tables.get("chunks", tables.get("postings")))
         buckets = max(1, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
         rows = {name: self._write(name, frame, segment, buckets) for name, frame in tables.items()}
         made = {"id": segment, "buckets": buckets, "rows": rows, "chunks": 0, "tokens": 0}
@@ -255,12 +297,14 @@ class SegmentedLibrary:
             lengths = self._stored("lengths", [made], tables["lengths"].schema)
             made["chunks"], made["tokens"] = lengths.agg(F.count(F.lit(1)), F.sum("dl")).first()
         if rows.get("postings"):
-            counts = self._stored("postings", [made], tables["postings"].schema).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            if counts is None:
+                counts = document_frequency(self._stored("postings", [made], tables["postings"].schema))
             self._write_terms(counts.withColumn("segment", F.lit(segment).cast("long")), "terms", "segment")
         return made
 
-    def _write(self, name: str, rows: DataFrame, segment: int, buckets: int) -> int:
+    def _write(self, name: str, table: DataFrame | Folded, segment: int, buckets: int) -> int:
         """Rows written. Only this segment's partitions are overwritten, so a batch that failed can be written again."""
+        rows = table.rows if isinstance(table, Folded) else table
         placed = rows.withColumns(
             {
                 "segment": F.lit(segment).cast("long"),
@@ -269,13 +313,15 @@ class SegmentedLibrary:
             }
         )
         dealt = placed.repartition(buckets * (SPREAD if buckets > 1 else 1), "bucket", "_spread").drop("_spread")
+        if isinstance(table, Folded):
+            dealt = table.unfolded(dealt, "segment", "bucket")
         dealt = dealt.sortWithinPartitions("segment", "bucket", ORDER.get(name, "slug"))
         writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("segment", "bucket").parquet(f"{self.root}/{name}")
         made = {"id": segment, "rows": {name: 1}}
         if f"segment={segment}" not in _Files(self.spark, self.root).names(name):
             return 0
-        return self._stored(name, [made], rows.schema).count()
+        return self._stored(name, [made], table.schema).count()
 
     def _write_terms(self, counts: DataFrame, name: str, *by: str) -> None:
         ordered = counts.repartitionByRange("term").sortWithinPartitions(*by, "term")
@@ -323,8 +369,9 @@ def written_tokens(chunks: DataFrame) -> DataFrame:
     return cut_lineage(build_index(chunks).tokens, "tokens")
 
 
-def index_tables(chunks: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame]:
+def index_tables(chunks: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame | Folded]:
     """``lengths`` and ``postings`` of ``(chunk_id, slug, text)``; the texts are tokenised once, or not at all where their
-    written tokens are given."""
-    index = index_of_tokens(written_tokens(chunks) if tokens is None else tokens)
-    return {"lengths": index.lengths, "postings": index.postings}
+    written tokens are given. Chunks become postings in the tasks that write these."""
+    tokens = written_tokens(chunks) if tokens is None else tokens
+    columns = ("chunk_id", "slug", "dl")
+    return {"lengths": tokens.select(*columns), "postings": Folded(tokens, "runs", "term", columns)}

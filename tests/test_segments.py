@@ -118,6 +118,25 @@ def test_merging_leaves_out_dead_rows(spark):
     same_search(spark, later, [r for r in final if r[1] != "s60"])
 
 
+def test_postings_are_neither_exchanged_nor_counted_again(spark, monkeypatch, tmp_path):
+    """Chunks are dealt before they become postings; a merge knows the frequencies and the size from its segments."""
+    first, second = chunks(spark, range(20)), chunks(spark, [3, 4, 30], turn=1)
+    library = SegmentedLibrary.create(spark, str(tmp_path / "library"))
+    tables = index_tables(first)
+    assert "runs" in tables["postings"].rows.columns
+    library = library.append(tables).append(index_tables(second), second.select("slug")).delete(slugs(spark, [5]))
+
+    def again(*_):
+        raise AssertionError("postings are counted again")
+
+    monkeypatch.setattr(segments, "document_frequency", again)
+    monkeypatch.setattr(SegmentedLibrary, "_size", again)
+    merged = library._merge(library.segments)
+    assert len(merged.segments) == 1
+    final = [*map(tuple, first.where("slug not in ('s3', 's4', 's5')").collect()), *map(tuple, second.collect())]
+    same_search(spark, merged, sorted(final))
+
+
 def test_second_writer_is_refused(spark):
     root = fresh_table_path(spark, "lib")
     library = SegmentedLibrary.create(spark, root)
