@@ -78,7 +78,8 @@ class HashingEmbedder:
         rows = rows.select(*[f"`{f.name}`" for f in kept], runs)
         width = self.dimensions
 
-        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # plans show this name, so that they say where terms are hashed
+        def hashed_by_md5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket: dict[str, int] = {}
             for batch in batches:
                 counts = batch.column(batch.num_columns - 1)
@@ -98,7 +99,7 @@ class HashingEmbedder:
                 vector = pa.ListArray.from_arrays(ends, pa.array((sums / np.where(norm > 0.0, norm, 1.0)).ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], [f.name for f in schema.fields])
 
-        return rows.mapInArrow(vectors, schema)
+        return rows.mapInArrow(hashed_by_md5, schema)
 
 
 @dataclass(frozen=True)
