@@ -48,19 +48,19 @@ class LexicalIndex:
     totals: tuple[int, int] | None = None
 
 
-def tokenised(chunks: DataFrame, id_col: str, text_col: str, slug_col: str | None) -> DataFrame:
+def tokenised(chunks: DataFrame, id_col: str, text_col: str, slug_col: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
     slug = F.col(slug_col) if slug_col else F.lit(None).cast("string")
     return chunks.select(
-        F.col(id_col).alias("chunk_id"), slug.alias("slug"), index_terms(F.col(text_col)).alias("terms")
+        F.col(id_col).alias("chunk_id"), slug.alias("slug"), index_terms(F.col(text_col)).alias("terms"), *keep
     )
 
 
 def build_index(
-    chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", slug_col: str | None = "slug"
+    chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", slug_col: str | None = "slug", keep: tuple[str, ...] = ()
 ) -> LexicalIndex:
-    """Lazy index over a chunk table; nothing runs until it is queried or written."""
-    tokens = tokenised(chunks, id_col, text_col, slug_col).select(
-        "chunk_id", "slug", F.size("terms").alias("dl"), run_lengths(F.col("terms")).alias("runs")
+    """Lazy index over a chunk table; nothing runs until it is queried or written. ``tokens`` has the columns of ``keep`` too."""
+    tokens = tokenised(chunks, id_col, text_col, slug_col, keep).select(
+        "chunk_id", "slug", F.size("terms").alias("dl"), run_lengths(F.col("terms")).alias("runs"), *keep
     )
     return index_of_tokens(tokens)
 

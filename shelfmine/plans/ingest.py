@@ -16,9 +16,9 @@ from shelfmine.operators.chunking import chunk_totals, section_texts
 from shelfmine.operators.lexical import LexicalIndex
 from shelfmine.operators.models import Embedder, ExtractiveSummarizer, HashingEmbedder, Summarizer
 from shelfmine.plans.search import Library, embedded
-from shelfmine.session import cut_lineage
+from shelfmine.session import RELEASED, cut_lineage, drop_steps, settings
 from shelfmine.sources.index_store import BUCKETS, attach_index, empty_index, index_replacing, index_without, write_index
-from shelfmine.sources.segments import SegmentedLibrary, index_tables, written_tokens
+from shelfmine.sources.segments import CODEC, SegmentedLibrary, index_tables, written_tokens
 
 TABLES = ("documents", "chunks", "section_summaries", "document_summaries", "vectors")
 
@@ -130,16 +130,40 @@ def batch_tables(
     summarizer, embedder = summarizer or ExtractiveSummarizer(), embedder or HashingEmbedder()
     # five tables follow from the chunks, so they are parsed and written once
     chunks = cut_lineage(parsed_chunks(incoming, max_tokens, overlap))
+    sections = sections_of(chunks, summarizer)
+    return {
+        "documents": documents_of(incoming, chunks, numbers_of(incoming), highest),
+        "chunks": chunks,
+        "section_summaries": sections,
+        "document_summaries": summaries_of(sections, incoming, summarizer),
+        "vectors": embedded(chunks, embedder),
+    }
+
+
+def sections_of(chunks: DataFrame, summarizer: Summarizer) -> DataFrame:
     sections = models.section_summaries(section_texts(chunks), summarizer)
+    return sections.withColumn("section", F.col("section").cast("int"))
+
+
+def summaries_of(sections: DataFrame, incoming: DataFrame, summarizer: Summarizer) -> DataFrame:
+    """Summaries of documents from those of their sections."""
     kinds = incoming.select("slug", "doc_type")
     overall = None
     for doc_type in schema.DOC_TYPES:
         own = sections.join(kinds.where(F.col("doc_type") == doc_type).select("slug"), "slug", "left_semi")
         part = models.document_summaries(own, summarizer, doc_type)
         overall = part if overall is None else overall.unionByName(part)
-    # the numbering is written once, so that every later use sees the same identifiers
-    numbered = cut_lineage(incoming.select("slug", F.monotonically_increasing_id().alias("_n")))
-    documents = (
+    return overall
+
+
+def numbers_of(incoming: DataFrame) -> DataFrame:
+    """``(slug, _n)``, written once, so that every later use sees the same identifiers."""
+    return cut_lineage(incoming.select("slug", F.monotonically_increasing_id().alias("_n")))
+
+
+def documents_of(incoming: DataFrame, chunks: DataFrame, numbered: DataFrame, highest: int) -> DataFrame:
+    """Catalogue rows of a batch, numbered from ``highest + 1`` on."""
+    return (
         incoming.select("slug", "title", "author", "doc_type")
         .join(numbered, "slug")
         .join(chunk_totals(chunks).select("slug", "num_chunks", F.col("num_chars").alias("_chars")), "slug", "left")
@@ -156,33 +180,48 @@ def batch_tables(
             F.localtimestamp().alias("added_at"),
         )
     )
-    return {
-        "documents": documents,
-        "chunks": chunks,
-        "section_summaries": sections.withColumn("section", F.col("section").cast("int")),
-        "document_summaries": overall,
-        "vectors": embedded(chunks, embedder),
-    }
 
 
-def append(incoming: DataFrame, library: SegmentedLibrary, replace_known: bool = False, **options) -> SegmentedLibrary:
+def append(
+    incoming: DataFrame,
+    library: SegmentedLibrary,
+    replace_known: bool = False,
+    max_tokens: int = 500,
+    overlap: int = 100,
+    summarizer: Summarizer | None = None,
+    embedder: Embedder | None = None,
+) -> SegmentedLibrary:
     """The stored library with a batch ``(slug, title, author, doc_type, text)`` added or replaced; only the batch is
-    written. A known document keeps its number and the time at which it was added. ``options`` as for ``batch_tables``."""
+    written. A known document keeps its number and the time at which it was added. The other tables follow from the stored
+    chunks, so no copy of the batch stays beside the library."""
+    summarizer, embedder = summarizer or ExtractiveSummarizer(), embedder or HashingEmbedder()
     empty = not library.segments
-    stored = empty_stores(incoming.sparkSession).documents if empty else library.table("documents")
-    checked(incoming, stored, replace_known)
-    # numbers grow with every batch; the highest so far is noted in the library, so that no batch looks for it
-    batch = batch_tables(incoming, library.manifest["notes"].get("highest_book_id", 0), **options)
-    known = stored.join(incoming.select("slug"), "slug", "left_semi")
-    documents = cut_lineage(catalog.upsert_documents(known, batch["documents"]), "documents")
-    highest = documents.agg(F.max("book_id")).first()[0] or 0
-    notes = {"highest_book_id": max(highest, library.manifest["notes"].get("highest_book_id", 0))}
-    # vectors of hashed terms come from the terms that are written for the index
-    tokens, embedder = written_tokens(batch["chunks"]), options.get("embedder") or HashingEmbedder()
-    if isinstance(embedder, HashingEmbedder):
-        batch["vectors"] = embedder.of_runs(tokens.select("chunk_id", "slug", "runs"), "runs")
-    tables = {**batch, "documents": documents, **index_tables(batch["chunks"], tokens)}
-    return library.append(tables, None if empty else incoming.select("slug"), notes)
+    with settings(incoming.sparkSession, RELEASED):
+        stored = empty_stores(incoming.sparkSession).documents if empty else library.table("documents")
+        checked(incoming, stored, replace_known)
+        parsed = cut_lineage(parsed_chunks(incoming, max_tokens, overlap), "chunks", CODEC)
+        segment = library.begin(None if empty else incoming.select("slug"))
+        segment.write({"chunks": parsed})
+        drop_steps(parsed)
+        chunks = segment.stored("chunks")
+        segment.write({"section_summaries": sections_of(chunks, summarizer)})
+        sections = segment.stored("section_summaries").drop("bucket")
+        segment.write({"document_summaries": summaries_of(sections, incoming, summarizer)})
+        # numbers grow with every batch; the highest so far is noted in the library, so that no batch looks for it
+        noted, numbers = library.manifest["notes"].get("highest_book_id", 0), numbers_of(incoming)
+        known = stored.join(incoming.select("slug"), "slug", "left_semi")
+        segment.write({"documents": catalog.upsert_documents(known, documents_of(incoming, chunks, numbers, noted))})
+        drop_steps(numbers)
+        highest = segment.stored("documents").agg(F.max("book_id")).first()[0] or 0
+        # vectors of hashed terms come from the terms that are written for the index
+        tokens = written_tokens(chunks, "bucket")
+        if isinstance(embedder, HashingEmbedder):
+            segment.follow({"vectors": embedder.of_runs(tokens.select("chunk_id", "slug", "bucket", "runs"), "runs")})
+        else:
+            segment.write({"vectors": embedded(chunks, embedder)})
+        segment.follow(index_tables(chunks, tokens))
+        drop_steps(tokens)
+        return segment.commit({"highest_book_id": max(highest, noted)})
 
 
 def stores_of(library: SegmentedLibrary) -> Stores:

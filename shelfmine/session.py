@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,14 +49,34 @@ def fresh_table_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, stem: str = "step") -> DataFrame:
+# files of a query's exchanges go when the query ends, not when the driver happens to collect its garbage
+RELEASED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session with other settings, which end with the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def cut_lineage(df: DataFrame, stem: str = "step", compression: str | None = None) -> DataFrame:
     """Write the rows as a table in the shared folder and read them back.
 
     The result survives the loss of any executor, is computed once however often it is used, and has known
     size and prunable columns. ``drop_steps`` deletes it when nothing reads it any more.
     """
     path = fresh_table_path(df.sparkSession, stem)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     step = df.sparkSession.read.schema(df.schema).parquet(path)
     step._step_path = path
     return step

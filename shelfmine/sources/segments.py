@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from shelfmine.operators.lexical import LexicalIndex, build_index, document_frequency, idf_of
 from shelfmine.operators.rows import unfolded
 from shelfmine.operators.skew import BROADCAST_ROWS, join_small
-from shelfmine.session import cut_lineage, drop_steps
+from shelfmine.session import RELEASED, cut_lineage, drop_steps, settings
 
 BUCKET_BYTES = 64 * 1024 * 1024
 POSTING_BYTES = 32
@@ -36,6 +36,10 @@ CHANGES = 1_000_000
 FAN_OUT = 4
 INDEX = ("lengths", "postings")
 TERMS = "term string, df bigint"
+# stored texts, vectors and postings are about a third smaller than in the default codec
+CODEC = "zstd"
+# A task that makes tables of a segment from stored rows reads about one file of these, which bounds what it sorts.
+PLACED = {"spark.sql.files.maxPartitionBytes": str(8 * 1024 * 1024)}
 # the last sort column puts rows that are asked for together into the same pages of a file
 ORDER = {"postings": "term"}
 
@@ -226,18 +230,18 @@ class SegmentedLibrary:
         self, tables: Mapping[str, DataFrame | Folded], replaced: DataFrame | None = None, notes: Mapping[str, int] | None = None
     ) -> SegmentedLibrary:
         """The library with one more segment. Documents of ``replaced(slug)`` lose all their earlier rows."""
-        manifest = self._after_delete(replaced) if replaced is not None else self._next()
-        manifest["notes"] = {**manifest["notes"], **(notes or {})}
-        for name, rows in tables.items():
-            if reserved := {"segment", "bucket"} & set(rows.columns):
-                raise ValueError(f"table {name} has columns that the layout uses: {sorted(reserved)}")
-            manifest["schemas"].setdefault(name, json.loads(rows.schema.json()))
-        manifest["segments"].append(self._write_segment(manifest["change"], tables))
-        return self._commit(manifest)
+        segment = self.begin(replaced)
+        segment.write(tables)
+        return segment.commit(notes)
+
+    def begin(self, replaced: DataFrame | None = None) -> SegmentWriter:
+        """A segment that is written table by table; documents of ``replaced(slug)`` lose all their earlier rows by it."""
+        return SegmentWriter(self, self._after_delete(replaced) if replaced is not None else self._next())
 
     def delete(self, slugs: DataFrame) -> SegmentedLibrary:
         """The library without the documents of ``slugs(slug)``; unknown slugs change nothing."""
-        return self._commit(self._after_delete(slugs))
+        with settings(self.spark, RELEASED):
+            return self._commit(self._after_delete(slugs))
 
     def merged(self, fan_out: int = FAN_OUT) -> SegmentedLibrary:
         """Segments of like size as one, as long as ``fan_out`` of them are found; the library itself if there are none."""
@@ -290,42 +294,55 @@ class SegmentedLibrary:
         """Tables of one segment. A merge knows about their ``size`` and the document frequencies ``counts(term, df)`` already."""
         if size is None:
             size = self._size(tables.get("chunks", tables.get("postings")))
-        buckets = max(1, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
-        rows = {name: self._write(name, frame, segment, buckets) for name, frame in tables.items()}
-        made = {"id": segment, "buckets": buckets, "rows": rows, "chunks": 0, "tokens": 0}
-        if rows.get("lengths"):
-            lengths = self._stored("lengths", [made], tables["lengths"].schema)
-            made["chunks"], made["tokens"] = lengths.agg(F.count(F.lit(1)), F.sum("dl")).first()
-        if rows.get("postings"):
-            if counts is None:
-                counts = document_frequency(self._stored("postings", [made], tables["postings"].schema))
-            self._write_terms(counts.withColumn("segment", F.lit(segment).cast("long")), "terms", "segment")
+        made = {"id": segment, "buckets": max(1, min(MOST_BUCKETS, -(-size // BUCKET_BYTES))), "rows": {}, "chunks": 0, "tokens": 0}
+        self._add(made, tables, counts)
         return made
 
-    def _write(self, name: str, table: DataFrame | Folded, segment: int, buckets: int) -> int:
+    def _add(self, made: dict, tables: Mapping[str, DataFrame | Folded], counts: DataFrame | None = None) -> None:
+        """More tables of a segment."""
+        for name, table in tables.items():
+            folded = table if isinstance(table, Folded) else None
+            made["rows"][name] = self._write(name, folded.rows if folded else table, made["id"], made["buckets"], folded)
+        if "lengths" in tables and made["rows"]["lengths"]:
+            lengths = self._stored("lengths", [made], _own(tables["lengths"]))
+            made["chunks"], made["tokens"] = lengths.agg(F.count(F.lit(1)), F.sum("dl")).first()
+        if "postings" in tables and made["rows"]["postings"]:
+            if counts is None:
+                counts = document_frequency(self._stored("postings", [made], _own(tables["postings"])))
+            self._write_terms(counts.withColumn("segment", F.lit(made["id"]).cast("long")), "terms", "segment")
+
+    def _dealt(self, name: str, rows: DataFrame, segment: int, buckets: int, folded: Folded | None) -> DataFrame:
+        """Rows with ``segment`` and ``bucket`` in the tasks that write them. Rows that follow from stored ones of the segment
+        bring their bucket and are not exchanged again."""
+        number = F.lit(segment).cast("long")
+        if "bucket" in rows.columns:
+            dealt = rows.withColumn("segment", number)
+        else:
+            spread = SPREAD if buckets > 1 else 1
+            placed = rows.withColumns(
+                {
+                    "segment": number,
+                    "bucket": F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int"),
+                    "_spread": F.pmod(F.xxhash64(rows.columns[0]), F.lit(spread)),
+                }
+            )
+            dealt = placed.repartition(buckets * spread, "bucket", "_spread").drop("_spread")
+        if folded is not None:
+            dealt = folded.unfolded(dealt, "segment", "bucket")
+        return dealt.sortWithinPartitions("segment", "bucket", ORDER.get(name, "slug"))
+
+    def _write(self, name: str, rows: DataFrame, segment: int, buckets: int, folded: Folded | None = None) -> int:
         """Rows written. Only this segment's partitions are overwritten, so a batch that failed can be written again."""
-        rows = table.rows if isinstance(table, Folded) else table
-        placed = rows.withColumns(
-            {
-                "segment": F.lit(segment).cast("long"),
-                "bucket": F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int"),
-                "_spread": F.pmod(F.xxhash64(rows.columns[0]), F.lit(SPREAD if buckets > 1 else 1)),
-            }
-        )
-        dealt = placed.repartition(buckets * (SPREAD if buckets > 1 else 1), "bucket", "_spread").drop("_spread")
-        if isinstance(table, Folded):
-            dealt = table.unfolded(dealt, "segment", "bucket")
-        dealt = dealt.sortWithinPartitions("segment", "bucket", ORDER.get(name, "slug"))
-        writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("segment", "bucket").parquet(f"{self.root}/{name}")
+        with settings(self.spark, PLACED if "bucket" in rows.columns else {}):
+            _save(self._dealt(name, rows, segment, buckets, folded), f"{self.root}/{name}", "segment", "bucket")
         made = {"id": segment, "rows": {name: 1}}
         if f"segment={segment}" not in _Files(self.spark, self.root).names(name):
             return 0
-        return self._stored(name, [made], table.schema).count()
+        return self._stored(name, [made], _own(rows if folded is None else folded)).count()
 
     def _write_terms(self, counts: DataFrame, name: str, *by: str) -> None:
         ordered = counts.repartitionByRange("term").sortWithinPartitions(*by, "term")
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.root}/{name}")
+        _save(ordered, f"{self.root}/{name}", *by)
 
     def _after_delete(self, slugs: DataFrame) -> dict:
         manifest = self._next()
@@ -335,8 +352,7 @@ class SegmentedLibrary:
         if n == 0 or not self.segments:
             drop_steps(slugs)
             return manifest
-        by_id = slugs.withColumn("id", F.lit(now).cast("long"))
-        by_id.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(f"{self.root}/deletes")
+        _save(slugs.withColumn("id", F.lit(now).cast("long")), f"{self.root}/deletes", "id")
         hit: dict[int, tuple[int, int]] = {}
         if "lengths" in self.manifest["schemas"]:
             hurt = self._of_slugs("lengths", slugs, n).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
@@ -364,9 +380,59 @@ class SegmentedLibrary:
         return join_small(rows, slugs, ["slug"], rows.columns[0], "left_semi", fits=n <= BROADCAST_ROWS)
 
 
-def written_tokens(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, slug, dl, runs)`` of ``(chunk_id, slug, text)`` as a table."""
-    return cut_lineage(build_index(chunks).tokens, "tokens")
+class SegmentWriter:
+    """The next segment of a library, table by table, so that tables can follow from those that are stored already. No version
+    has it before ``commit``."""
+
+    def __init__(self, library: SegmentedLibrary, manifest: dict) -> None:
+        self.library, self.manifest, self.made = library, manifest, None
+
+    def write(self, tables: Mapping[str, DataFrame | Folded]) -> None:
+        """More tables. The first ones say by the size of ``chunks``, else of ``postings``, how many buckets there are."""
+        for name, rows in tables.items():
+            if reserved := {"segment", "bucket"} & set(rows.columns):
+                raise ValueError(f"table {name} has columns that the layout uses: {sorted(reserved)}")
+        self._add(tables)
+
+    def follow(self, tables: Mapping[str, DataFrame | Folded]) -> None:
+        """More tables, whose rows are made row by row from ``stored`` ones and have kept their ``bucket``."""
+        for name, table in tables.items():
+            if "bucket" not in (table.rows if isinstance(table, Folded) else table).columns:
+                raise ValueError(f"rows of table {name} have no bucket")
+        self._add(tables)
+
+    def _add(self, tables: Mapping[str, DataFrame | Folded]) -> None:
+        for name, table in tables.items():
+            self.manifest["schemas"].setdefault(name, json.loads(_own(table).json()))
+        if self.made is None:
+            self.made = self.library._write_segment(self.manifest["change"], tables)
+        else:
+            self.library._add(self.made, tables)
+
+    def stored(self, name: str) -> DataFrame:
+        """Rows of a written table, with their ``bucket``."""
+        return self.library._stored(name, [self.made], T.StructType.fromJson(self.manifest["schemas"][name])).drop("segment")
+
+    def commit(self, notes: Mapping[str, int] | None = None) -> SegmentedLibrary:
+        self.manifest["notes"] = {**self.manifest["notes"], **(notes or {})}
+        self.manifest["segments"].append(self.made)
+        return self.library._commit(self.manifest)
+
+
+def _own(table: DataFrame | Folded) -> T.StructType:
+    """The columns of a table without its place."""
+    return T.StructType([f for f in table.schema.fields if f.name != "bucket"])
+
+
+def _save(rows: DataFrame, path: str, *by: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
+    writer.partitionBy(*by).parquet(path)
+
+
+def written_tokens(chunks: DataFrame, *keep: str) -> DataFrame:
+    """``(chunk_id, slug, dl, runs)`` of ``(chunk_id, slug, text)`` as a table, and the columns of ``keep``."""
+    with settings(chunks.sparkSession, PLACED if "bucket" in keep else {}):
+        return cut_lineage(build_index(chunks, keep=keep).tokens, "tokens", CODEC)
 
 
 def index_tables(chunks: DataFrame, tokens: DataFrame | None = None) -> dict[str, DataFrame | Folded]:
@@ -374,4 +440,5 @@ def index_tables(chunks: DataFrame, tokens: DataFrame | None = None) -> dict[str
     written tokens are given. Chunks become postings in the tasks that write these."""
     tokens = written_tokens(chunks) if tokens is None else tokens
     columns = ("chunk_id", "slug", "dl")
-    return {"lengths": tokens.select(*columns), "postings": Folded(tokens, "runs", "term", columns)}
+    places = [c for c in ("bucket",) if c in tokens.columns]
+    return {"lengths": tokens.select(*columns, *places), "postings": Folded(tokens, "runs", "term", columns)}

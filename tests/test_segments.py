@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmine.operators import lexical
 from shelfmine.plans import ingest, search
-from shelfmine.session import fresh_table_path
+from shelfmine.session import RELEASED, fresh_table_path, settings, shared_folder
 from shelfmine.sources import segments
 from shelfmine.sources.segments import SegmentedLibrary, index_tables
 
@@ -193,3 +193,76 @@ def test_ingestion_by_batches(spark):
     hits = search.passages(search.hybrid_search(queries, stores.library(), 2), stores.chunks).where("rank = 1").collect()
     assert {r.qid: r.slug for r in hits if r.qid != 2} == {1: "aiw", 3: "talk"}
     assert "rabbit" not in {r.term for r in stores.index.term_stats.collect()}
+
+
+def batch(spark, numbers, turn=0):
+    rows = [(f"s{i}", f"T{i}", "", "book", f"{text(i, turn)}\nCHAPTER I.\n\n{text(i + 1, turn)} " * 5) for i in numbers]
+    return spark.createDataFrame(rows, "slug string, title string, author string, doc_type string, text string")
+
+
+def test_an_appended_batch_leaves_no_copy_beside_the_library(spark, monkeypatch):
+    """Steps of a batch go as soon as they are stored, and so do the files of exchanges; what follows from stored chunks is
+    not exchanged again, and every table holds its rows in the buckets of their slugs."""
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 2_000)
+    plans, dealt = {}, SegmentedLibrary._dealt
+
+    def watched(self, name, *rows):
+        out = dealt(self, name, *rows)
+        plans[name] = out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(SegmentedLibrary, "_dealt", watched)
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    root = fresh_table_path(spark, "lib").removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    conf = {name: spark.conf.get(name) for name in (*RELEASED, *segments.PLACED)}
+    library = ingest.append(batch(spark, range(40)), SegmentedLibrary.create(spark, root), max_tokens=12, overlap=4)
+    library = ingest.append(batch(spark, [3, 50], turn=1), library, replace_known=True, max_tokens=12, overlap=4).delete(slugs(spark, [7]))
+    assert set(os.listdir(folder)) - before <= {os.path.basename(root)}
+    assert conf == {name: spark.conf.get(name) for name in conf}
+    for name in ("vectors", "lengths", "postings"):
+        assert "Exchange" not in plans[name] and "Scan parquet" in plans[name]
+    assert library.segments[0]["buckets"] > 1
+    kept = {f"s{i}" for i in (*range(40), 50)} - {"s7"}
+    for name in (*ingest.TABLES, "lengths", "postings"):
+        assert {"segment", "bucket"}.isdisjoint(library.table(name).columns)
+        assert {r.slug for r in library.table(name).select("slug").distinct().collect()} == kept
+        for s in library.segments:
+            home = F.pmod(F.xxhash64("slug"), F.lit(s["buckets"])).cast("int")
+            assert library._stored(name, [s]).where(F.col("bucket") != home).count() == 0
+    rows = [tuple(r) for r in library.table("chunks").select("chunk_id", "slug", "text").collect()]
+    assert library.table("vectors").count() == library.table("lengths").count() == len(rows)
+    same_search(spark, library, sorted(rows))
+
+
+def test_stored_files_are_small(spark, tmp_path):
+    """Tables of a library, delete files and term counts are not in the default codec."""
+    import pyarrow.parquet as pq
+
+    root = str(tmp_path / "library")
+    library = ingest.append(batch(spark, range(5)), SegmentedLibrary.create(spark, root))
+    ingest.append(batch(spark, [1], turn=1), library, replace_known=True).delete(slugs(spark, [2])).merged(2)
+    found = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files(root) if pq.ParquetFile(f).metadata.num_row_groups}
+    assert found == {"ZSTD"}
+
+
+def test_settings_end_with_their_block(spark):
+    name, known = "spark.shelfmine.nothing", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(known)
+    with pytest.raises(KeyError):
+        with settings(spark, {name: "1", known: "3"}):
+            assert (spark.conf.get(name), spark.conf.get(known)) == ("1", "3")
+            raise KeyError
+    assert (spark.conf.get(name, None), spark.conf.get(known)) == (None, before)
+
+
+def test_rows_that_follow_need_a_bucket(spark):
+    segment = SegmentedLibrary.create(spark, fresh_table_path(spark, "lib")).begin()
+    first = chunks(spark, range(3))
+    segment.write({"chunks": first})
+    with pytest.raises(ValueError, match="bucket"):
+        segment.follow({"vectors": first})
+    with pytest.raises(ValueError, match="layout"):
+        segment.write({"others": segment.stored("chunks")})
+    segment.follow({"others": segment.stored("chunks").drop("text")})
+    assert sorted(segment.commit().table("others").collect()) == sorted(first.drop("text").collect())
