@@ -191,7 +191,10 @@ class SegmentedLibrary:
         return rows.groupBy("slug").agg(F.max("id").alias("_dead_before")), sum(d["slugs"] for d in wanted)
 
     def _live(self, name: str, segments: list[dict]) -> DataFrame:
-        rows = self._stored(name, segments)
+        return self._alive(self._stored(name, segments), segments)
+
+    def _alive(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
+        """Rows with ``slug`` and ``segment`` that no later delete file takes."""
         deleted, n = self._deleted(min((s["id"] for s in segments), default=0))
         if deleted is None:
             return rows
@@ -340,9 +343,9 @@ class SegmentedLibrary:
             return 0
         return self._stored(name, [made], _own(rows if folded is None else folded)).count()
 
-    def _write_terms(self, counts: DataFrame, name: str, *by: str) -> None:
+    def _write_terms(self, counts: DataFrame, name: str, *by: str, mode: str = "overwrite") -> None:
         ordered = counts.repartitionByRange("term").sortWithinPartitions(*by, "term")
-        _save(ordered, f"{self.root}/{name}", *by)
+        _save(ordered, f"{self.root}/{name}", *by, mode=mode)
 
     def _after_delete(self, slugs: DataFrame) -> dict:
         manifest = self._next()
@@ -355,11 +358,11 @@ class SegmentedLibrary:
         _save(slugs.withColumn("id", F.lit(now).cast("long")), f"{self.root}/deletes", "id")
         hit: dict[int, tuple[int, int]] = {}
         if "lengths" in self.manifest["schemas"]:
-            hurt = self._of_slugs("lengths", slugs, n).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
-            hit = {r.segment: (r.n, r.dl) for r in hurt.collect()}
-        if hit and "postings" in self.manifest["schemas"]:
-            lost = self._of_slugs("postings", slugs, n).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df"))
-            self._write_terms(lost.withColumn("id", F.lit(now).cast("long")), "removed", "id", "segment")
+            hurt = cut_lineage(self._hurt(slugs, n), "hurt")
+            hit = {r.segment: (r.n, r.dl) for r in hurt.groupBy("segment").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect()}
+            if hit and "postings" in self.manifest["schemas"]:
+                self._write_removed(hurt, now)
+            drop_steps(hurt)
         written = [int(x.split("=")[1]) for x in _Files(self.spark, self.root).names(f"removed/id={now}") if "=" in x]
         for s in manifest["segments"]:
             chunks, tokens = hit.get(s["id"], (0, 0))
@@ -368,16 +371,38 @@ class SegmentedLibrary:
         drop_steps(slugs)
         return manifest
 
-    def _of_slugs(self, name: str, slugs: DataFrame, n: int) -> DataFrame:
-        """Live rows of some documents. Only the buckets that these fall into are read."""
+    def _hurt(self, slugs: DataFrame, n: int) -> DataFrame:
+        """``(slug, segment, bucket, n, dl)``: live chunks and tokens of some documents in each segment. Only the buckets that
+        these fall into are read, and documents are summed up before they are joined."""
         rows = None
         for buckets in sorted({s["buckets"] for s in self.segments}):
             group = [s for s in self.segments if s["buckets"] == buckets]
             asked = slugs.select(F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int").alias("b")).distinct()
             wanted = [r.b for r in asked.collect()]  # at most MOST_BUCKETS numbers
-            part = self._live(name, group).where(F.col("bucket").isin(wanted))
+            part = self._stored("lengths", group).where(F.col("bucket").isin(wanted))
             rows = part if rows is None else rows.unionByName(part)
-        return join_small(rows, slugs, ["slug"], rows.columns[0], "left_semi", fits=n <= BROADCAST_ROWS)
+        documents = rows.groupBy("slug", "segment", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
+        return self._alive(join_small(documents, slugs, ["slug"], "segment", "left_semi", fits=n <= BROADCAST_ROWS), self.segments)
+
+    def _write_removed(self, hurt: DataFrame, now: int) -> None:
+        """What the documents of ``hurt`` take from the document frequencies. Postings are far more than documents, so they are
+        not exchanged: as many buckets are read at a time as have documents for one broadcast, so a term may have several rows."""
+        shares: list[tuple[int, dict[int, list[int]]]] = []
+        for r in hurt.groupBy("segment", "bucket").count().orderBy("segment", "bucket").collect():  # at most MOST_BUCKETS a segment
+            if not shares or shares[-1][0] + r["count"] > BROADCAST_ROWS:
+                shares.append((0, {}))
+            size, places = shares.pop()
+            places.setdefault(r.segment, []).append(r.bucket)
+            shares.append((size + r["count"], places))
+        for i, (size, places) in enumerate(shares):
+            here = F.lit(False)
+            for segment, numbers in places.items():
+                here = here | ((F.col("segment") == segment) & F.col("bucket").isin(numbers))
+            rows = self._stored("postings", [s for s in self.segments if s["id"] in places]).where(here)
+            own = hurt.where(here).select("segment", "slug")
+            lost = join_small(rows, own, ["segment", "slug"], "chunk_id", "left_semi", fits=size <= BROADCAST_ROWS)
+            lost = lost.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.lit(now).cast("long"))
+            self._write_terms(lost, "removed", "id", "segment", mode="append" if i else "overwrite")
 
 
 class SegmentWriter:
@@ -424,8 +449,8 @@ def _own(table: DataFrame | Folded) -> T.StructType:
     return T.StructType([f for f in table.schema.fields if f.name != "bucket"])
 
 
-def _save(rows: DataFrame, path: str, *by: str) -> None:
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
+def _save(rows: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
     writer.partitionBy(*by).parquet(path)
 
 

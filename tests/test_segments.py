@@ -266,3 +266,25 @@ def test_rows_that_follow_need_a_bucket(spark):
         segment.write({"others": segment.stored("chunks")})
     segment.follow({"others": segment.stored("chunks").drop("text")})
     assert sorted(segment.commit().table("others").collect()) == sorted(first.drop("text").collect())
+
+
+def test_many_removed_documents_exchange_no_postings(spark, monkeypatch, tmp_path):
+    """More documents than a broadcast may have: their buckets are read in shares, each with a broadcast of its own."""
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 120)
+    monkeypatch.setattr(segments, "BROADCAST_ROWS", 12)
+    plans, write = [], SegmentedLibrary._write_terms
+
+    def watched(self, counts, name, *by, **options):
+        if name == "removed":
+            plans.append(counts._jdf.queryExecution().executedPlan().toString())
+        return write(self, counts, name, *by, **options)
+
+    monkeypatch.setattr(SegmentedLibrary, "_write_terms", watched)
+    first, second = chunks(spark, range(60)), chunks(spark, range(5, 50), turn=1)
+    library = SegmentedLibrary.create(spark, str(tmp_path / "library")).append({"chunks": first, **index_tables(first)})
+    library = library.append({"chunks": second, **index_tables(second)}, second.select("slug"))
+    assert len(plans) > 2 and not any("SortMergeJoin" in p or "hashpartitioning(slug" in p for p in plans)
+    library = library.delete(slugs(spark, [*range(0, 60, 2), 99])).delete(slugs(spark, [0, 3, 8]))
+    final = [r for rows, gone in ((first, range(5, 50)), (second, ())) for r in map(tuple, rows.collect()) if int(r[1][1:]) not in {*gone, *range(0, 60, 2), 3}]
+    assert sorted(map(tuple, library.table("chunks").collect())) == sorted(final)
+    same_search(spark, library, sorted(final))
